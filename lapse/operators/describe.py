@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.sources.session import pin
 
 
 def quantiles(
@@ -15,7 +16,7 @@ def quantiles(
     probabilities: Sequence[float],
     keys: Sequence[str] = (),
     weight: str | None = None,
-    slices: int = 32,
+    rows_per_slice: int = 0,
     interpolate: bool = True,
 ) -> DataFrame:
     """Exact quantiles per key as columns q0, q1, ..., linear between neighbouring
@@ -26,12 +27,12 @@ def quantiles(
     `weight` names a count column when the input is already collapsed.
     """
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    values = (
+    values = pin(
         df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
         .groupBy(*keys, F.col(column).cast("double").alias("_x"))
         .agg(count.alias("_n"))
     )
-    ranked = running_totals(sliced(values, "_x", ["_n"], slices), "_x", {"_upto": "_n"}, keys)
+    ranked = running_totals(sliced(values, "_x", rows_per_slice), "_x", {"_upto": "_n"}, keys)
     sizes = values.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:
         ranked = same_keys_join(ranked, sizes, keys)
@@ -65,7 +66,7 @@ def quantiles(
     )
 
 
-def describe(df: DataFrame, column: str, keys: Sequence[str] = (), slices: int = 32) -> DataFrame:
+def describe(df: DataFrame, column: str, keys: Sequence[str] = (), rows_per_slice: int = 0) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per key."""
     basics = df.groupBy(*keys).agg(
         F.count(column).alias("count"),
@@ -74,7 +75,7 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = (), slices: int =
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    quarters = quantiles(df, column, (0.25, 0.5, 0.75), keys, slices=slices)
+    quarters = quantiles(df, column, (0.25, 0.5, 0.75), keys, rows_per_slice=rows_per_slice)
     if keys:
         joined = same_keys_join(basics, quarters, keys)
     else:

@@ -2,8 +2,8 @@
 
 Input contract: one row per subject with a duration (>= 0) and an event flag
 (1 = churned, 0 = censored). Rows are collapsed to distinct times by one
-aggregation with map-side combine; everything after that runs on the
-collapsed table. Rows with a NULL duration or event carry no information and
+aggregation with map-side combine, and that small table is materialised;
+everything after that runs on it. Rows with a NULL duration or event carry no information and
 are left out.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapse.functions.tails import normal_quantile
 from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.sources.session import pin
 
 
 def _collapsed(df: DataFrame, duration: str, event: str, groups: Sequence[str]) -> DataFrame:
@@ -25,16 +26,16 @@ def _collapsed(df: DataFrame, duration: str, event: str, groups: Sequence[str])
     )
 
 
-def _event_table(df, duration, event, groups, slices) -> DataFrame:
-    times = sliced(_collapsed(df, duration, event, groups), "t", ["observed", "removed"], slices)
+def _event_table(df, duration, event, groups, rows_per_slice) -> DataFrame:
+    times = sliced(pin(_collapsed(df, duration, event, groups)), "t", rows_per_slice)
     return running_totals(times, "t", {"at_risk": "removed"}, groups, descending=True)
 
 
 def event_table(
-    df: DataFrame, duration: str, event: str, groups: Sequence[str] = (), slices: int = 32
+    df: DataFrame, duration: str, event: str, groups: Sequence[str] = (), rows_per_slice: int = 0
 ) -> DataFrame:
     """Per distinct time: removed, observed, censored and at risk."""
-    return _event_table(df, duration, event, groups, slices).select(
+    return _event_table(df, duration, event, groups, rows_per_slice).select(
         *groups,
         "t",
         "removed",
@@ -50,14 +51,14 @@ def km_curve(
     event: str,
     groups: Sequence[str] = (),
     alpha: float = 0.05,
-    slices: int = 32,
+    rows_per_slice: int = 0,
 ) -> DataFrame:
     """Survival curve with Greenwood variance and log-log confidence band.
 
     Columns: groups, t, at_risk, observed, censored, survival, lower, upper.
     Each curve starts with (0, 1.0) unless a subject left at time 0.
     """
-    table = _event_table(df, duration, event, groups, slices)
+    table = _event_table(df, duration, event, groups, rows_per_slice)
     d, n = F.col("observed"), F.col("at_risk")
     last_death = d == n
     steps = table.withColumns(

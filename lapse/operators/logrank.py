@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapse.functions.tails import chi2_tail_1df
 from lapse.operators.running import running_totals, sliced
+from lapse.sources.session import pin
 
 
 def logrank(
-    df: DataFrame, duration: str, event: str, variables: Sequence[str], slices: int = 32
+    df: DataFrame, duration: str, event: str, variables: Sequence[str], rows_per_slice: int = 0
 ) -> DataFrame:
     """For every variable and every pair of its levels (level_a < level_b): test
     statistic (1 degree of freedom), p and -log2 p.
@@ -19,18 +20,18 @@ def logrank(
     All variables are unpivoted to (variable, level) and collapsed to distinct
     times before the shuffle, so the sweep over many covariates is one job.
     """
-    grid = _at_risk_grid(df, duration, event, variables, slices)
+    grid = _at_risk_grid(df, duration, event, variables, rows_per_slice)
     result = _pair_statistic(grid)
     result = result.withColumn("p", chi2_tail_1df(F.col("statistic")))
     return result.withColumn("neg_log2_p", -F.log2("p"))
 
 
-def _at_risk_grid(df, duration, event, variables, slices) -> DataFrame:
+def _at_risk_grid(df, duration, event, variables, rows_per_slice) -> DataFrame:
     """(variable, level, t) for all levels at every time any level loses someone."""
     arms = F.array(
         *[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables]
     )
-    counts = (
+    counts = pin(
         df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
         .select(F.col(duration).alias("t"), F.col(event).cast("long").alias("e"), F.inline(arms))
         .where(F.col("level").isNotNull())
@@ -56,7 +57,7 @@ def _at_risk_grid(df, duration, event, variables, slices) -> DataFrame:
         F.coalesce(here["d"], F.lit(0)).alias("d"),
         F.coalesce(here["removed"], F.lit(0)).alias("removed"),
     )
-    grid = sliced(grid, "t", ["d", "removed", "d_any"], slices)
+    grid = sliced(pin(grid), "t", rows_per_slice)
     return running_totals(grid, "t", {"n": "removed"}, ["variable", "level"], descending=True)
 
 

@@ -1,11 +1,12 @@
-"""Running totals over an ordered column without a single-task window.
+"""Running totals over an ordered column without an unbounded single-task window.
 
 A window ordered by time and partitioned only by a group key sends the whole
-group to one task. Here the ordered column is cut at approximate quantiles
-into slices; totals run inside a (group, slice) window, the slice totals (at
-most `slices` per group) run in a second window, and the two are added. The
-cuts are values in the plan (a scalar subquery), so a retried task lands
-every row in the same slice.
+group to one task. The tables here are first collapsed to distinct values and
+materialised, so their size is known. Up to `ROWS_PER_SLICE` rows a plain
+window is the best plan. Beyond that the ordered column is cut at approximate
+quantiles into slices: totals run inside (group, slice), the slice totals run
+in a second, tiny window, and the two are added. The cuts are literals, so a
+retried task lands every row in the same slice.
 
 Input must already be collapsed: one row per (keys, order).
 """
@@ -15,25 +16,27 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICE = "_slice"
+ROWS_PER_SLICE = 200_000
 
 
-def sliced(df: DataFrame, order: str, weights: Sequence[str], slices: int = 32) -> DataFrame:
-    """Add the slice number of `order`.
+def sliced(df: DataFrame, order: str, rows_per_slice: int = 0) -> DataFrame:
+    """Add a slice number along `order` if the table is too long for one window.
 
-    Cuts are balanced over the rows that carry weight. Looking at the weights
-    also keeps the cut scan identical to the main scan up to its shuffle, so
-    Spark computes that shuffle once and reuses it.
+    `df` must be materialised (see `pin`): it is counted, and read again for
+    the cuts only when it is long.
     """
+    slices = -(-df.count() // (rows_per_slice or ROWS_PER_SLICE))
     if slices <= 1:
-        return df.withColumn(SLICE, F.lit(0))
-    carries = reduce(lambda a, b: a | b, [F.col(w) != 0 for w in weights])
+        return df
     shares = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(F.when(carries, F.col(order)), shares, 1000)).scalar()
-    below = F.expr(" + ".join(f"int(get(_cuts, {i}) < `{order}`)" for i in range(slices - 1)))
-    return df.withColumn("_cuts", cuts).withColumn(SLICE, below).drop("_cuts")
+    cuts = sorted(set(df.approxQuantile(order, shares, 0.1 / slices)))
+    splits = [float("-inf"), *cuts, float("inf")]
+    place = Bucketizer(splits=splits, inputCol="_order", outputCol=SLICE)
+    return place.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
 
 
 def running_totals(
@@ -43,13 +46,16 @@ def running_totals(
     keys: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
-    """Add inclusive running totals `{new column: summed column}` to a sliced table."""
-    keys = list(keys)
+    """Add inclusive running totals `{new column: summed column}` to a `sliced` table."""
     sums = {name: F.col(c) if isinstance(c, str) else c for name, c in totals.items()}
     by = F.col(order).desc() if descending else F.col(order).asc()
-    slice_by = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
+    so_far = (Window.unboundedPreceding, 0)
+    if SLICE not in df.columns:
+        window = Window.partitionBy(*keys).orderBy(by).rowsBetween(*so_far)
+        return df.withColumns({name: F.sum(c).over(window) for name, c in sums.items()})
 
-    inside = Window.partitionBy(*keys, SLICE).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    slice_by = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
+    inside = Window.partitionBy(*keys, SLICE).orderBy(by).rowsBetween(*so_far)
     before = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
     lead_in = (
         df.groupBy(*keys, SLICE)

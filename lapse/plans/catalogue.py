@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.scalars import rounded
-from lapse.operators import describe, kaplan_meier as km, kmeans, prep, rfm
+from lapse.operators import aft, clv, concordance as conc, cox, describe, kaplan_meier as km, kmeans, prep, rfm
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
 
@@ -138,7 +138,7 @@ def churn_flag(spark, root):
 def select_supported(spark, root):
     return _round(
         prep.select_supported(retail.churn_features(spark, root), ["Tenure", "TotalSpend", "MonthlySpend"]),
-        2, "TotalSpend", "MonthlySpend",
+        4, "TotalSpend", "MonthlySpend",
     )
 
 
@@ -276,7 +276,7 @@ def describe_by_cluster(spark, root):
         ]
     )
     stats = describe.describe(ranked.select(F.inline(cells)), "x", ["measure", "cluster"])
-    return _round(stats, 2, "mean", "std", "min", "p25", "p50", "p75", "max")
+    return _round(stats, 4, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query
@@ -309,3 +309,183 @@ def segment_scatter(spark, root):
 @query
 def segment_scatter_binned(spark, root):
     return rfm.binned_scatter(rfm.scatter(_segments(spark, root)), 20)
+
+
+# --- survival: Cox and accelerated failure time ------------------------------------
+
+# Coefficients at which diagnostics and lifetime value are compared with SQL.
+GAP_COEF = {"urgent": 0.15, "building": -0.25}
+LAPSE_COEF = {"building": -0.3, "asia": 0.4}
+SCENARIOS = (
+    {"building": 0, "asia": 0},
+    {"building": 1, "asia": 0},
+    {"building": 0, "asia": 1, "rate": 0.05},
+    {"building": 1, "asia": 1, "rate": 0.2},
+)
+
+
+def _gaps(spark, root):
+    """Purchase gaps with 0/1 covariates."""
+    flags = prep.one_hot(
+        retail.purchase_gaps(spark, root), ["priority"],
+        {"priority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]},
+    )
+    return flags.withColumnRenamed("priority_1-URGENT", "urgent").withColumns(
+        {"building": (F.col("segment") == "BUILDING").cast("int"), "filled": (F.col("status") == "F").cast("int")}
+    )
+
+
+def _lapses(spark, root):
+    """Customers with 0/1 covariates and a scaled balance."""
+    return retail.customers_survival(spark, root).withColumns(
+        {
+            "building": (F.col("segment") == "BUILDING").cast("int"),
+            "asia": (F.col("region") == "ASIA").cast("int"),
+            "balance": F.col("acctbal") / 1000,
+        }
+    )
+
+
+@query
+def cox_fit(spark, root):
+    model = cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent"])
+    return _round(cox.summary(spark, model).select("covariate", "coef", "exp_coef", "se", "z"), 5, "coef", "exp_coef", "se", "z")
+
+
+@query
+def cox_stratified(spark, root):
+    model = cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent"], strata=["segment"])
+    return _round(cox.summary(spark, model).select("covariate", "coef", "se"), 5, "coef", "se")
+
+
+@query
+def cox_summary(spark, root):
+    return cox.summary(spark, cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
+
+
+@query
+def hazard_ratios(spark, root):
+    return cox.hazard_ratios(spark, cox.fit_cox(_lapses(spark, root), "duration", "event", ["building", "asia", "balance"]))
+
+
+@query
+def concordance(spark, root):
+    counts = conc.concordance(retail.customers_survival(spark, root), "duration", "event", "acctbal")
+    return _round(counts.withColumns({c: F.col(c).cast("long") for c in ("pairs", "concordant", "tied")}), 9, "concordance")
+
+
+@query
+def cox_metrics(spark, root):
+    lapses = _lapses(spark, root)
+    model = cox.fit_cox(lapses, "duration", "event", ["building", "asia"])
+    scored = lapses.withColumn("score", -cox.relative_risk(model))
+    index = conc.concordance(scored, "duration", "event", "score").first()["concordance"]
+    return cox.metrics(spark, model, index)
+
+
+@query
+def baseline_hazard(spark, root):
+    model = cox.at_fixed(_gaps(spark, root), "duration", "event", GAP_COEF)
+    return _round(cox.baseline_hazard(model), 6, "cumulative_hazard", "survival")
+
+
+@query
+def cox_predict(spark, root):
+    model = cox.at_fixed(_lapses(spark, root), "duration", "event", LAPSE_COEF)
+    return _round(cox.predict_survival(model, SCENARIOS), 6, "survival")
+
+
+@query
+def schoenfeld(spark, root):
+    model = cox.at_fixed(_gaps(spark, root), "duration", "event", GAP_COEF)
+    return _round(cox.schoenfeld(model).select("t", "covariate", "x", "n", "residual").groupBy("t", "covariate", "x").agg(
+        F.sum("n").alias("n"), F.avg("residual").alias("residual")), 6, "residual")
+
+
+@query
+def ph_test(spark, root):
+    model = cox.at_fixed(_gaps(spark, root), "duration", "event", {"urgent": 0.15})
+    tests = cox.ph_test(model).drop("neg_log2_p")
+    return _round(tests, 5, "statistic", "p")
+
+
+@query
+def ph_report(spark, root):
+    return cox.ph_report(cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
+
+
+def _positive(df):
+    return df.where("duration > 0")
+
+
+@query
+def aft_loglogistic(spark, root):
+    model = aft.fit_aft(_positive(_gaps(spark, root)), "duration", "event", ["urgent", "building"])
+    return aft.summary(spark, model)
+
+
+@query
+def aft_summary(spark, root):
+    """Fit metrics of the three families side by side."""
+    gaps = _positive(_lapses(spark, root))
+    tables_ = []
+    for family in ("loglogistic", "weibull", "lognormal"):
+        model = aft.fit_aft(gaps, "duration", "event", ["building", "balance"], family)
+        scored = gaps.withColumn("score", aft.median_column(model))
+        index = conc.concordance(scored, "duration", "event", "score").first()["concordance"]
+        tables_.append(aft.metrics(spark, model, index))
+    return tables_[0].unionByName(tables_[1]).unionByName(tables_[2])
+
+
+@query
+def aft_median(spark, root):
+    model = aft.fit_aft(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"])
+    return aft.median(spark, model)
+
+
+@query
+def aft_weibull(spark, root):
+    return aft.fit_weibull_library(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"])
+
+
+@query
+def aft_lognormal(spark, root):
+    model = aft.fit_aft(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"], "lognormal")
+    return aft.summary(spark, model)
+
+
+# --- lifetime value -----------------------------------------------------------------
+
+
+def _payback(spark, root):
+    model = cox.at_fixed(_lapses(spark, root), "duration", "event", LAPSE_COEF)
+    return clv.payback(model, SCENARIOS, horizon=60)
+
+
+@query
+def clv_payback(spark, root):
+    return _round(_payback(spark, root), 2, "expected_profit", "npv", "cumulative_npv")
+
+
+@query
+def npv_milestones(spark, root):
+    return _round(clv.milestones(_payback(spark, root)), 2, "cumulative_npv")
+
+
+@query
+def clv_survival(spark, root):
+    return clv.survival_curve(_payback(spark, root))
+
+
+@query
+def payback_period(spark, root):
+    return clv.payback_period(_payback(spark, root), 600.0)
+
+
+@query
+def customer_ltv(spark, root):
+    lapses = _lapses(spark, root)
+    model = cox.at_fixed(lapses, "duration", "event", LAPSE_COEF)
+    return _round(clv.customer_ltv(lapses, model, "o_custkey"), 2, "lifetime_value").withColumn(
+        "relative_risk", rounded(F.col("relative_risk"), 6)
+    )

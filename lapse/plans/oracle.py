@@ -190,7 +190,7 @@ SQL["distinct_customers"] = f"WITH {LINES} SELECT DISTINCT CustomerID FROM lines
 SQL["churn_flag"] = """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ChurnBool FROM lineitem"""
 SQL["select_supported"] = f"""
-WITH {FEATURES} SELECT Tenure, {r('TotalSpend', 2)} AS TotalSpend, {r('MonthlySpend', 2)} AS MonthlySpend FROM features"""
+WITH {FEATURES} SELECT Tenure, {r('TotalSpend', 4)} AS TotalSpend, {r('MonthlySpend', 4)} AS MonthlySpend FROM features"""
 SQL["one_hot"] = "SELECT c_custkey, " + ", ".join(
     f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS \"c_mktsegment_{s}\""
     for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -323,9 +323,9 @@ SELECT o_custkey, nation_rank FROM people JOIN ranks USING (nation)"""
 
 SQL["describe_by_cluster"] = f"""
 WITH {CLUSTERED}
-SELECT measure, up AS cluster, count(*) AS count, {r('avg(x)', 2)} AS mean, {r('stddev_samp(x)', 2)} AS std, {r('min(x)', 2)} AS min,
-  {r('quantile_cont(x, 0.25)', 2)} AS p25, {r('quantile_cont(x, 0.5)', 2)} AS p50, {r('quantile_cont(x, 0.75)', 2)} AS p75,
-  {r('max(x)', 2)} AS max
+SELECT measure, up AS cluster, count(*) AS count, {r('avg(x)', 4)} AS mean, {r('stddev_samp(x)', 4)} AS std, {r('min(x)', 4)} AS min,
+  {r('quantile_cont(x, 0.25)', 4)} AS p25, {r('quantile_cont(x, 0.5)', 4)} AS p50, {r('quantile_cont(x, 0.75)', 4)} AS p75,
+  {r('max(x)', 4)} AS max
 FROM member GROUP BY measure, up"""
 
 SQL["score_means"] = f"""
@@ -350,3 +350,155 @@ box AS (SELECT pair, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM
 SELECT pair, Segment, CAST(least(floor((x - x0) / (x1 - x0) * 20), 19) AS INTEGER) AS x_bin,
   CAST(least(floor((y - y0) / (y1 - y0) * 20), 19) AS INTEGER) AS y_bin, count(*) AS customers
 FROM points JOIN box USING (pair) GROUP BY ALL"""
+
+
+# --- survival: Cox -------------------------------------------------------------------
+
+GAP_ROWS = f"""{GAPS},
+base AS (
+  SELECT duration AS t, event AS e, segment,
+    CASE WHEN priority = '1-URGENT' THEN 1.0 ELSE 0.0 END AS urgent,
+    CASE WHEN segment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS building
+  FROM gaps)"""
+
+LAPSE_ROWS = f"""{CUSTOMERS},
+base AS (
+  SELECT o_custkey, duration AS t, event AS e,
+    CASE WHEN segment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS building,
+    CASE WHEN region = 'ASIA' THEN 1.0 ELSE 0.0 END AS asia
+  FROM people)"""
+
+
+def risk_sets(coef: dict[str, float]) -> str:
+    """rs: per time d, s0, e0 and, per covariate, s1_<x>, e1_<x>, s2_<x>, e2_<x> (centred)."""
+    centre = {x: f"({x} - (SELECT avg({x}) FROM base))" for x in coef}
+    w = "exp(" + " + ".join(f"{b} * {centre[x]}" for x, b in coef.items()) + ")"
+    own = ["sum(w) AS w0", "sum(e * w) AS e0"]
+    cumulated = ["sum(w0) OVER (ORDER BY t DESC) AS s0", "e0"]
+    for x in coef:
+        own += [f"sum(w * z_{x}) AS w1_{x}", f"sum(e * w * z_{x}) AS e1_{x}",
+                f"sum(w * z_{x} * z_{x}) AS w2_{x}", f"sum(e * w * z_{x} * z_{x}) AS e2_{x}"]
+        cumulated += [f"sum(w1_{x}) OVER (ORDER BY t DESC) AS s1_{x}", f"e1_{x}",
+                      f"sum(w2_{x}) OVER (ORDER BY t DESC) AS s2_{x}", f"e2_{x}"]
+    return f"""
+weighted AS (SELECT t, e, {', '.join(f'{x}, {z} AS z_{x}' for x, z in centre.items())}, {w} AS w FROM base),
+own AS (SELECT t, sum(e) AS d, count(*) AS n, {', '.join(own)} FROM weighted GROUP BY t),
+rs AS MATERIALIZED (SELECT t, CAST(d AS BIGINT) AS d, n, {', '.join(cumulated)} FROM own)"""
+
+
+def hazard(coef: dict[str, float]) -> str:
+    return risk_sets(coef) + """,
+hz AS MATERIALIZED (SELECT t, sum(d / s0) OVER (ORDER BY t) AS h FROM rs)"""
+
+
+def newton(strata: str = "'all'") -> str:
+    """One 0/1 covariate `urgent` with Efron ties: fitted (beta, information) by recursion."""
+    return f"""
+counts AS (SELECT {strata} AS s, t, sum(e) AS d, sum(e * urgent) AS d1, sum(urgent) AS n1, count(*) AS n FROM base GROUP BY ALL),
+risk AS MATERIALIZED (
+  SELECT s, t, CAST(d AS BIGINT) AS d, CAST(d1 AS DOUBLE) AS d1, d - d1 AS d0,
+    CAST(sum(n1) OVER (PARTITION BY s ORDER BY t DESC) AS DOUBLE) AS r1,
+    CAST(sum(n - n1) OVER (PARTITION BY s ORDER BY t DESC) AS DOUBLE) AS r0
+  FROM counts),
+tied AS MATERIALIZED (SELECT d, d1, d0, r1, r0, l FROM (SELECT *, unnest(range(d)) AS l FROM risk WHERE d > 0)),
+fit AS (
+  WITH RECURSIVE step(it, beta, info) AS (
+    SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+    UNION ALL
+    SELECT it + 1, beta + (SELECT sum(d1) FROM risk) / i - g / i, i FROM (
+      SELECT it, beta, sum(m) AS g, sum(m * (1 - m)) AS i FROM (
+        SELECT it, beta, (r1 - l / d * d1) * exp(beta) / ((r0 - l / d * d0) + (r1 - l / d * d1) * exp(beta)) AS m
+        FROM step, tied WHERE it < 12) a
+      GROUP BY it, beta) b)
+  SELECT * FROM step WHERE it = 12)"""
+
+
+SQL["cox_fit"] = f"""
+WITH {GAP_ROWS}, {newton()}
+SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('exp(beta)', 5)} AS exp_coef, {r('1 / sqrt(info)', 5)} AS se,
+  {r('beta * sqrt(info)', 5)} AS z FROM fit"""
+SQL["cox_stratified"] = f"""
+WITH {GAP_ROWS}, {newton('segment')}
+SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('1 / sqrt(info)', 5)} AS se FROM fit"""
+
+SQL["concordance"] = f"""
+WITH {CUSTOMERS},
+c AS (
+  SELECT count(*) AS pairs, count(*) FILTER (a.acctbal < b.acctbal) AS concordant, count(*) FILTER (a.acctbal = b.acctbal) AS tied
+  FROM people a JOIN people b ON a.event = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event = 0)))
+SELECT *, {r('(concordant + tied / 2) / pairs', 9)} AS concordance FROM c"""
+
+_GAP = {"urgent": 0.15, "building": -0.25}
+_LAPSE = {"building": -0.3, "asia": 0.4}
+_PROFILES = "(VALUES (0, 0, 0, 0.10), (1, 1, 0, 0.10), (2, 0, 1, 0.05), (3, 1, 1, 0.20)) p(row, building, asia, rate)"
+_RISK = "exp(-0.3 * ({p}building - (SELECT avg(building) FROM base)) + 0.4 * ({p}asia - (SELECT avg(asia) FROM base)))"
+
+SQL["baseline_hazard"] = f"""
+WITH {GAP_ROWS}, {hazard(_GAP)} SELECT t, {r('h')} AS cumulative_hazard, {r('exp(-h)')} AS survival FROM hz"""
+SQL["cox_predict"] = f"""
+WITH {LAPSE_ROWS}, {hazard(_LAPSE)}
+SELECT row, t, {r('exp(-h * ' + _RISK.format(p='p.') + ')')} AS survival FROM hz, {_PROFILES}"""
+SQL["schoenfeld"] = f"""
+WITH {GAP_ROWS}, {risk_sets(_GAP)},
+centre AS (
+  SELECT t, avg((s1_urgent - l / d * e1_urgent) / (s0 - l / d * e0)) AS urgent,
+    avg((s1_building - l / d * e1_building) / (s0 - l / d * e0)) AS building
+  FROM (SELECT *, unnest(range(d)) AS l FROM rs WHERE d > 0) GROUP BY t)
+SELECT w.t, 'urgent' AS covariate, w.urgent AS x, count(*) AS n, {r('avg(w.z_urgent - c.urgent)')} AS residual
+FROM weighted w JOIN centre c ON w.t = c.t WHERE e = 1 GROUP BY ALL
+UNION ALL
+SELECT w.t, 'building', w.building, count(*), {r('avg(w.z_building - c.building)')}
+FROM weighted w JOIN centre c ON w.t = c.t WHERE e = 1 GROUP BY ALL"""
+SQL["ph_test"] = f"""
+WITH {GAP_ROWS}, {risk_sets({'urgent': 0.15})},
+terms AS (SELECT t, (s1_urgent - l / d * e1_urgent) / (s0 - l / d * e0) AS m,
+    (s2_urgent - l / d * e2_urgent) / (s0 - l / d * e0) AS q
+  FROM (SELECT *, unnest(range(d)) AS l FROM rs WHERE d > 0)),
+centre AS (SELECT t, avg(m) AS m FROM terms GROUP BY t),
+var AS (SELECT 1 / sum(q - m * m) AS v FROM terms),
+times AS (
+  SELECT t, sum(n) OVER (ORDER BY t) - (n - 1) / 2 AS rank,
+    1 - exp(sum(CASE WHEN d = at_risk THEN -1e300 ELSE ln(1 - d / at_risk) END) OVER (ORDER BY t)) AS km
+  FROM (SELECT t, d, n, sum(n) OVER (ORDER BY t DESC) AS at_risk FROM rs)),
+res AS (
+  SELECT g.transform, CASE WHEN g.transform = 'km' THEN km ELSE rank END AS g, z_urgent - centre.m AS r
+  FROM weighted w JOIN centre ON w.t = centre.t JOIN times ON w.t = times.t, (VALUES ('km'), ('rank')) g(transform) WHERE e = 1),
+tests AS (
+  SELECT transform, pow(sum(g * r) - sum(g) / count(*) * sum(r), 2) * count(*) * any_value(v)
+    / (sum(g * g) - pow(sum(g), 2) / count(*)) AS statistic
+  FROM res, var GROUP BY transform)
+SELECT 'urgent' AS covariate, transform, {r('statistic', 5)} AS statistic, {r(erfc('sqrt(statistic / 2)'), 5)} AS p FROM tests"""
+
+
+# --- lifetime value -----------------------------------------------------------------
+
+
+def payback(horizon: int) -> str:
+    return f"""{LAPSE_ROWS}, {hazard(_LAPSE)},
+months AS (SELECT m, coalesce((SELECT max(h) FROM hz WHERE t <= m), 0) AS h FROM range(1, {horizon}) g(m)),
+curves AS (
+  SELECT row, rate, 0 AS m, CAST(1 AS DOUBLE) AS survival FROM {_PROFILES}
+  UNION ALL SELECT row, rate, m, round_even(exp(-h * {_RISK.format(p='p.')}), 2) FROM months, {_PROFILES}),
+priced AS (SELECT *, round_even(survival * 30, 2) AS expected FROM curves),
+valued AS (SELECT *, round_even(expected / pow(1 + CAST(rate AS DOUBLE) / 12, m), 2) AS npv FROM priced),
+pay AS (
+  SELECT CAST(row AS INTEGER) AS scenario, CAST(m + 1 AS INTEGER) AS contract_month, survival, CAST(30 AS DOUBLE) AS monthly_profit,
+    expected AS expected_profit, npv, sum(npv) OVER (PARTITION BY row ORDER BY m) AS cumulative_npv
+  FROM valued)"""
+
+
+SQL["clv_payback"] = f"""
+WITH {payback(60)}
+SELECT * REPLACE ({r('expected_profit', 2)} AS expected_profit, {r('npv', 2)} AS npv, {r('cumulative_npv', 2)} AS cumulative_npv) FROM pay"""
+SQL["npv_milestones"] = f"""
+WITH {payback(60)} SELECT scenario, contract_month, {r('cumulative_npv', 2)} AS cumulative_npv FROM pay WHERE contract_month IN (12, 24, 36)"""
+SQL["clv_survival"] = f"WITH {payback(60)} SELECT scenario, contract_month, survival FROM pay"
+SQL["payback_period"] = f"""
+WITH {payback(60)} SELECT scenario, min(contract_month) FILTER (cumulative_npv >= 600) AS payback_month FROM pay GROUP BY scenario"""
+SQL["customer_ltv"] = f"""
+WITH {LAPSE_ROWS}, {hazard(_LAPSE)},
+months AS (SELECT m, coalesce((SELECT max(h) FROM hz WHERE t <= m), 0) AS h FROM range(1, 36) g(m)),
+risks AS (SELECT o_custkey, {_RISK.format(p='')} AS rr FROM base)
+SELECT o_custkey, {r('any_value(rr)')} AS relative_risk,
+  {r('30 + sum(round_even(round_even(round_even(exp(-h * rr), 2) * 30, 2) / pow(1 + 0.1::DOUBLE / 12, m), 2))', 2)} AS lifetime_value
+FROM risks, months GROUP BY o_custkey"""
