@@ -232,7 +232,7 @@ def fit_weibull_library(
         F.col(duration).cast("double").alias("label"), F.col(event).cast("double").alias("censor"), *[f"`{c}`" for c in covariates]
     )
     points = VectorAssembler(inputCols=list(covariates), outputCol="features").transform(ready)
-    model = AFTSurvivalRegression(maxIter=max_iter, tol=1e-9).fit(points)
+    model = AFTSurvivalRegression(maxIter=max_iter).fit(points)
     location, shape = PARAMETERS["weibull"]
     rows = [(location, c, float(b)) for c, b in zip(covariates, model.coefficients)]
     rows += [(location, "Intercept", float(model.intercept)), (shape, "Intercept", -math.log(model.scale))]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.scalars import rounded
-from lapse.operators import aft, clv, concordance as conc, cox, describe, kaplan_meier as km, kmeans, prep, rfm
+from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, evaluate, explain
+from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
 
@@ -489,3 +492,198 @@ def customer_ltv(spark, root):
     return _round(clv.customer_ltv(lapses, model, "o_custkey"), 2, "lifetime_value").withColumn(
         "relative_risk", rounded(F.col("relative_risk"), 6)
     )
+
+
+# --- dataset profile ----------------------------------------------------------------
+
+
+def _orders_with_gaps(spark, root):
+    """Orders with values missing where the price is low or the status is partial."""
+    return retail.table(spark, root, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_totalprice") > 100_000, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        F.lit(1).alias("constant"),
+    )
+
+
+def _lineitem(spark, root):
+    return profile.Profile(
+        retail.table(spark, root, "lineitem"), drop=["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+    )
+
+
+@query
+def profile_overview(spark, root):
+    return profile.Profile(_orders_with_gaps(spark, root).drop("o_orderkey")).overview()
+
+
+@query
+def profile_numeric(spark, root):
+    stats = _lineitem(spark, root).numeric_stats()
+    precise = ["mean", "std", "mad", "cv", "skewness", "kurtosis"]
+    stats = _round(stats, 6, *precise)
+    return _round(stats, 2, "min", "max", "range", "sum").withColumn("variance", F.format_string("%.8e", "variance"))
+
+
+@query
+def profile_quantiles(spark, root):
+    return _round(_lineitem(spark, root).quantiles(), 4, "p5", "p25", "p50", "p75", "p95", "iqr")
+
+
+@query
+def profile_categorical(spark, root):
+    return _round(profile.Profile(_orders_with_gaps(spark, root)).categorical_stats(), 6, "mean_length")
+
+
+@query
+def profile_common_values(spark, root):
+    customers = retail.table(spark, root, "customer").select("c_mktsegment", "c_nationkey", "c_name")
+    return profile.Profile(customers).common_values(3)
+
+
+@query
+def profile_extremes(spark, root):
+    return _lineitem(spark, root).extremes()
+
+
+@query
+def profile_histogram(spark, root):
+    return _lineitem(spark, root).histograms()
+
+
+@query
+def profile_missing(spark, root):
+    return _round(profile.Profile(_orders_with_gaps(spark, root)).missing(), 6, "share")
+
+
+@query
+def profile_missing_correlation(spark, root):
+    return _round(profile.Profile(_orders_with_gaps(spark, root)).missing_correlation(), 6, "value")
+
+
+@query
+def profile_correlation(spark, root):
+    lines = _lineitem(spark, root)
+    pearson = lines.pearson().withColumn("method", F.lit("pearson"))
+    spearman = lines.spearman().withColumn("method", F.lit("spearman"))
+    cramer = lines.cramers_v().select("a", "b", "value", F.lit("cramers_v").alias("method"))
+    return _round(pearson.unionByName(spearman).unionByName(cramer), 6, "value")
+
+
+@query
+def profile_interactions(spark, root):
+    return _lineitem(spark, root).interactions()
+
+
+@query
+def profile_alerts(spark, root):
+    return profile.Profile(_orders_with_gaps(spark, root)).alerts()
+
+
+@query
+def profile_sample(spark, root):
+    return profile.Profile(retail.table(spark, root, "customer")).sample(["c_custkey"])
+
+
+# --- churn classifier ---------------------------------------------------------------
+
+# A fixed scorer: logistic in the three features, so that SQL can score too.
+SCORER = "1 / (1 + exp(0.8 + 0.02 * Tenure - 0.00002 * MonthlySpend - 0.0000001 * TotalSpend))"
+
+
+def _split_features(spark, root):
+    return prep.hash_split(retail.churn_features(spark, root), "CustomerID")
+
+
+def _fixed_scorer():
+    return PipelineModel(
+        [
+            SQLTransformer(statement=f"SELECT *, {SCORER} AS probability FROM __THIS__"),
+            SQLTransformer(statement="SELECT *, if(probability >= 0.5, 1D, 0D) AS prediction FROM __THIS__"),
+        ]
+    )
+
+
+@query
+def impute_mean(spark, root):
+    rows = _split_features(spark, root).withColumn("Balance", F.when(F.col("Balance") > 0, F.col("Balance")))
+    filled = prep.impute_mean(rows, ["Balance"], rows.where("split = 'train'"))
+    return _round(filled.select("CustomerID", "Balance"), 4, "Balance")
+
+
+@query
+def standardize(spark, root):
+    rows = _split_features(spark, root)
+    scaled = prep.standardize(rows, ["Tenure", "Balance"], rows.where("split = 'train'"))
+    return _round(scaled.select("CustomerID", "Tenure", "Balance"), 6, "Tenure", "Balance")
+
+
+@query
+def train_gbt(spark, root):
+    rows = _split_features(spark, root)
+    model = classify.train_gbt(rows, max_rounds=10)
+    return classify.batch_score(rows, model).select("CustomerID", "split", "prediction", "probability")
+
+
+@query
+def trial_table(spark, root):
+    grid = [{"maxDepth": 2, "stepSize": 0.1}, {"maxDepth": 4, "stepSize": 0.3}]
+    return classify.trials(_split_features(spark, root), grid, max_rounds=5)[0]
+
+
+@query
+def batch_score(spark, root):
+    scored = classify.batch_score(_split_features(spark, root), _fixed_scorer())
+    return _round(scored.select("CustomerID", "prediction", "probability", "Churn"), 8, "probability")
+
+
+@query
+def binary_metrics(spark, root):
+    scored = classify.batch_score(_split_features(spark, root), _fixed_scorer())
+    metrics = evaluate.binary_metrics(scored, "ChurnBool", "probability", ["split"])
+    return _round(metrics, 6, "accuracy", "precision", "recall", "f1", "log_loss", "roc_auc")
+
+
+@query
+def metrics_table(spark, root):
+    scored = classify.batch_score(_split_features(spark, root), _fixed_scorer())
+    metrics = evaluate.binary_metrics(scored, "ChurnBool", "probability", ["split"])
+    table = evaluate.metrics_table(metrics, "split", {"val": "validation", "test": "test"})
+    return _round(table, 6, "validation", "test")
+
+
+@query
+def confusion_matrix(spark, root):
+    scored = classify.batch_score(_split_features(spark, root), _fixed_scorer())
+    return evaluate.confusion_matrix(scored.where("split = 'val'"), "ChurnBool", "prediction")
+
+
+@query
+def roc_curve(spark, root):
+    return _round(evaluate.roc_curve(retail.scored_documents(spark, root), "label", "score"), 6, "threshold", "fpr", "tpr")
+
+
+@query
+def pr_curve(spark, root):
+    points = evaluate.pr_curve(retail.scored_documents(spark, root), "label", "score")
+    return _round(points, 6, "threshold", "precision", "recall")
+
+
+def _shapley(spark, root):
+    rows = _split_features(spark, root)
+    return explain.shapley_values(
+        rows.where("split = 'val'"), rows.where("split = 'train'"), "CustomerID",
+        classify.FEATURES, _fixed_scorer().transform,
+    )
+
+
+@query
+def shapley_values(spark, root):
+    return _round(_shapley(spark, root), 6, "value", "shapley")
+
+
+@query
+def shapley_summary(spark, root):
+    return _round(explain.shapley_summary(_shapley(spark, root)), 6, "mean_abs_shapley")

@@ -24,7 +24,7 @@ people AS (
     CASE WHEN last_order < (SELECT max(o_orderdate) FROM orders) - INTERVAL 180 DAY THEN 1 ELSE 0 END AS event,
     c_mktsegment AS segment, n_name AS nation, r_name AS region, c_acctbal AS acctbal, total_spend
   FROM (SELECT o_custkey, min(o_orderdate) AS first_order, max(o_orderdate) AS last_order,
-               sum(o_totalprice) AS total_spend FROM orders GROUP BY o_custkey) o
+               CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_spend FROM orders GROUP BY o_custkey) o
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -502,3 +502,205 @@ risks AS (SELECT o_custkey, {_RISK.format(p='')} AS rr FROM base)
 SELECT o_custkey, {r('any_value(rr)')} AS relative_risk,
   {r('30 + sum(round_even(round_even(round_even(exp(-h * rr), 2) * 30, 2) / pow(1 + 0.1::DOUBLE / 12, m), 2))', 2)} AS lifetime_value
 FROM risks, months GROUP BY o_custkey"""
+
+
+# --- dataset profile ----------------------------------------------------------------
+
+HOLES = """
+holes AS (
+  SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority, o_orderstatus AS status, 1 AS "constant" FROM orders)"""
+
+NUMBERS = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LONG_LINES = "lines AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM lineitem" for c in NUMBERS
+) + ")"
+
+
+def pairs(names) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+SQL["profile_overview"] = f"""
+WITH {HOLES}
+SELECT count(*) AS rows, 4 AS columns, CAST(sum((price IS NULL)::INT + (priority IS NULL)::INT) AS BIGINT) AS missing_cells,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT price, priority, status, "constant" FROM holes)) AS duplicate_rows,
+  2 AS numeric_columns, 2 AS categorical_columns, 0 AS other_columns FROM holes"""
+SQL["profile_numeric"] = f"""
+WITH {LONG_LINES}
+SELECT "column", count(*) AS count, 0::BIGINT AS missing, count(DISTINCT x) AS "distinct", {r('avg(x)')} AS mean, {r('stddev_samp(x)')} AS std,
+  printf('%.8e', var_samp(x)) AS variance, {r('min(x)', 2)} AS min, {r('max(x)', 2)} AS max, {r('max(x) - min(x)', 2)} AS range,
+  {r('sum(x)', 2)} AS sum, count(*) FILTER (x = 0) AS zeros, count(*) FILTER (x < 0) AS negatives, 0::BIGINT AS infinite,
+  {r('stddev_samp(x) / avg(x)')} AS cv, {r('mad(x)')} AS mad, {r('skewness(x)')} AS skewness, {r('kurtosis(x)')} AS kurtosis
+FROM lines GROUP BY "column" """
+SQL["profile_quantiles"] = f"""
+WITH {LONG_LINES}
+SELECT "column", {', '.join(f"{r(f'quantile_cont(x, {p / 100})', 4)} AS p{p}" for p in (5, 25, 50, 75, 95))},
+  {r('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 4)} AS iqr FROM lines GROUP BY "column" """
+SQL["profile_categorical"] = f"""
+WITH {HOLES}, v AS (SELECT 'priority' AS "column", priority AS x FROM holes UNION ALL SELECT 'status', status FROM holes),
+top AS (SELECT "column", x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL
+        QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, x) = 1)
+SELECT v."column", count(v.x) AS count, count(*) - count(v.x) AS missing, count(DISTINCT v.x) AS "distinct", any_value(top.x) AS mode,
+  any_value(top.n) AS mode_count, CAST(min(length(v.x)) AS INTEGER) AS min_length, {r('avg(length(v.x))')} AS mean_length,
+  CAST(max(length(v.x)) AS INTEGER) AS max_length
+FROM v JOIN top ON v."column" = top."column" GROUP BY v."column" """
+SQL["profile_common_values"] = """
+WITH v AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS x FROM customer
+  UNION ALL SELECT 'c_nationkey', CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_name', c_name FROM customer)
+SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, x) AS INTEGER) AS rank, x AS value, count(*) AS count
+FROM v GROUP BY "column", x QUALIFY rank <= 3"""
+SQL["profile_extremes"] = f"""
+WITH {LONG_LINES}, c AS (SELECT "column", x, count(*) AS n FROM lines GROUP BY ALL)
+SELECT "column", 'smallest' AS "end", CAST(row_number() OVER (PARTITION BY "column" ORDER BY x) AS INTEGER) AS rank, x AS value, n AS count FROM c QUALIFY rank <= 5
+UNION ALL
+SELECT "column", 'largest', CAST(row_number() OVER (PARTITION BY "column" ORDER BY x DESC) AS INTEGER) AS rank, x, n FROM c QUALIFY rank <= 5"""
+SQL["profile_histogram"] = f"""
+WITH {LONG_LINES},
+grid AS (SELECT "column", {NICE_STEP} AS step FROM (
+  SELECT "column", min(x) AS lo, max(x) AS hi, pow(10, floor(log10((max(x) - min(x)) / 10))) AS p FROM lines GROUP BY "column") g)
+SELECT "column", floor(x / step) * step AS bin_start, (floor(x / step) + 1) * step AS bin_end, count(*) AS count
+FROM lines JOIN grid USING ("column") GROUP BY ALL"""
+SQL["profile_missing"] = f"""
+WITH {HOLES}""" + " UNION ALL ".join(
+    f"""
+SELECT '{c}' AS "column", count(*) - count("{c}") AS missing, {r(f'(count(*) - count("{c}")) / count(*)')} AS share FROM holes"""
+    for c in ("o_orderkey", "price", "priority", "status", "constant")
+)
+SQL["profile_missing_correlation"] = f"""
+WITH {HOLES}""" + " UNION ALL ".join(
+    f"""
+SELECT '{a}' AS a, '{b}' AS b, {r(f'corr(("{a}" IS NULL)::INT, ("{b}" IS NULL)::INT)')} AS value FROM holes"""
+    if {a, b} == {"price", "priority"}
+    else f"""
+SELECT '{a}' AS a, '{b}' AS b, CAST(NULL AS DOUBLE) AS value"""
+    for a, b in pairs(("o_orderkey", "price", "priority", "status", "constant"))
+)
+SQL["profile_correlation"] = (
+    "WITH ranked AS (SELECT "
+    + ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in NUMBERS
+    )
+    + " FROM lineitem), cells AS (SELECT l_returnflag AS u, l_linestatus AS v, count(*) AS n FROM lineitem GROUP BY ALL), "
+    "margins AS (SELECT n, sum(n) OVER (PARTITION BY u) AS nu, sum(n) OVER (PARTITION BY v) AS nv FROM cells) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, 'pearson' AS method, {r(f'corr({a}, {b})')} AS value FROM lineitem "
+        f"UNION ALL SELECT '{a}', '{b}', 'spearman', {r(f'corr({a}, {b})')} FROM ranked"
+        for a, b in pairs(NUMBERS)
+    )
+    + f" UNION ALL SELECT 'l_returnflag', 'l_linestatus', 'cramers_v', "
+    f"{r('sqrt((sum(n * n / (CAST(nu AS DOUBLE) * nv)) - 1) / (SELECT least(count(DISTINCT u), count(DISTINCT v)) - 1 FROM cells))')} FROM margins"
+)
+SQL["profile_interactions"] = (
+    "WITH box AS (SELECT "
+    + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMBERS)
+    + " FROM lineitem), placed AS (SELECT "
+    + ", ".join(
+        f"CAST(least(floor((CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}) * 20), 19) AS INTEGER) AS {c}" for c in NUMBERS
+    )
+    + " FROM lineitem, box) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {a} AS a_bin, {b} AS b_bin, count(*) AS n FROM placed GROUP BY ALL"
+        for a, b in pairs(NUMBERS)
+    )
+)
+SQL["profile_alerts"] = f"""
+WITH {HOLES},
+s AS (
+  SELECT 'o_orderkey' AS "column", count(o_orderkey) AS c, count(DISTINCT o_orderkey) AS d, count(*) AS n,
+    count(*) FILTER (o_orderkey = 0) AS z, skewness(o_orderkey) AS k, false AS text FROM holes
+  UNION ALL SELECT 'price', count(price), count(DISTINCT price), count(*), count(*) FILTER (price = 0), skewness(price), false FROM holes
+  UNION ALL SELECT 'constant', count("constant"), count(DISTINCT "constant"), count(*), 0, NULL, false FROM holes
+  UNION ALL SELECT 'priority', count(priority), count(DISTINCT priority), count(*), 0, NULL, true FROM holes
+  UNION ALL SELECT 'status', count(status), count(DISTINCT status), count(*), 0, NULL, true FROM holes)
+SELECT "column", 'constant' AS alert FROM s WHERE d = 1
+UNION ALL SELECT "column", 'unique' FROM s WHERE d = c AND c > 1
+UNION ALL SELECT "column", 'high cardinality' FROM s WHERE text AND d > 50
+UNION ALL SELECT "column", 'mostly zero' FROM s WHERE z > 0.5 * c
+UNION ALL SELECT "column", 'mostly missing' FROM s WHERE n - c > 0.5 * n
+UNION ALL SELECT "column", 'skewed' FROM s WHERE abs(k) > 20
+UNION ALL SELECT 'o_orderkey, price', 'highly correlated' FROM holes HAVING abs(corr(o_orderkey, price)) > 0.9
+UNION ALL SELECT '(rows)', 'duplicates' FROM holes HAVING count(*) > count(DISTINCT o_orderkey)"""
+SQL["profile_sample"] = """
+SELECT * FROM (SELECT *, 'head' AS part FROM customer ORDER BY c_custkey LIMIT 10)
+UNION ALL SELECT * FROM (SELECT *, 'tail' AS part FROM customer ORDER BY c_custkey DESC LIMIT 10)"""
+
+
+# --- churn classifier ---------------------------------------------------------------
+
+SCORED = f"""{SPLIT},
+scored AS (
+  SELECT *, 1 / (1 + exp(0.8 + 0.02 * Tenure - 0.00002 * MonthlySpend - 0.0000001 * TotalSpend)) AS probability FROM split_features),
+labelled AS (SELECT *, CASE WHEN probability >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM scored)"""
+
+SQL["impute_mean"] = f"""
+WITH {SPLIT}
+SELECT CustomerID, {r("CASE WHEN Balance > 0 THEN Balance ELSE (SELECT avg(Balance) FROM split_features WHERE split = 'train' AND Balance > 0) END", 4)} AS Balance
+FROM split_features"""
+SQL["standardize"] = f"""
+WITH {SPLIT}, m AS (SELECT avg(Tenure) AS mt, stddev_pop(Tenure) AS st, avg(Balance) AS mb, stddev_pop(Balance) AS sb FROM split_features WHERE split = 'train')
+SELECT CustomerID, {r('(Tenure - mt) / st')} AS Tenure, {r('(Balance - mb) / sb')} AS Balance FROM split_features, m"""
+SQL["batch_score"] = f"""
+WITH {SCORED} SELECT CustomerID, prediction, {r('probability', 8)} AS probability, prediction AS Churn FROM labelled"""
+
+METRICS = f"""{SCORED},
+m AS (
+  SELECT split, count(*) AS n,
+    {r('avg((prediction = ChurnBool)::INT)')} AS accuracy,
+    {r('coalesce(sum(prediction * ChurnBool) / nullif(sum(prediction), 0), 0)')} AS precision,
+    {r('sum(prediction * ChurnBool) / sum(ChurnBool)')} AS recall,
+    {r('2 * sum(prediction * ChurnBool) / (sum(prediction) + sum(ChurnBool))')} AS f1,
+    {r('avg(-CASE WHEN ChurnBool = 1 THEN ln(probability) ELSE ln(1 - probability) END)')} AS log_loss
+  FROM labelled GROUP BY split),
+auc AS (
+  SELECT a.split, {r('avg(CASE WHEN a.probability > b.probability THEN 1 WHEN a.probability = b.probability THEN 0.5::DOUBLE ELSE 0 END)')} AS roc_auc
+  FROM labelled a JOIN labelled b ON a.split = b.split AND a.ChurnBool = 1 AND b.ChurnBool = 0 GROUP BY a.split)"""
+SQL["binary_metrics"] = f"WITH {METRICS} SELECT m.*, roc_auc FROM m JOIN auc USING (split)"
+SQL["metrics_table"] = f"""
+WITH {METRICS},
+long AS (UNPIVOT (SELECT m.* EXCLUDE (n), roc_auc FROM m JOIN auc USING (split)) ON accuracy, precision, recall, f1, log_loss, roc_auc INTO NAME metric VALUE v)
+SELECT metric, max(v) FILTER (split = 'val') AS validation, max(v) FILTER (split = 'test') AS test FROM long GROUP BY metric"""
+SQL["confusion_matrix"] = f"""
+WITH {SCORED}
+SELECT CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction,
+  (SELECT count(*) FROM labelled WHERE split = 'val' AND ChurnBool = a AND labelled.prediction = b) AS n
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)"""
+
+DOC_SCORES = """
+docs AS (SELECT quality AS label, n_chars / (n_chars + 1000) AS score FROM labels JOIN documents USING (doc_id)),
+points AS (
+  SELECT score AS threshold, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS flagged,
+    sum(p) OVER () AS all_p, sum(n) OVER () AS all_n
+  FROM (SELECT score, CAST(sum(label) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM docs GROUP BY score))"""
+SQL["roc_curve"] = f"""
+WITH {DOC_SCORES}
+SELECT {r('threshold')} AS threshold, {r('(flagged - tp) / (all_n - all_p)')} AS fpr, {r('tp / all_p')} AS tpr FROM points
+UNION ALL SELECT 'infinity'::DOUBLE, 0, 0"""
+SQL["pr_curve"] = f"""
+WITH {DOC_SCORES}
+SELECT {r('threshold')} AS threshold, {r('tp / flagged')} AS precision, {r('tp / all_p')} AS recall FROM points
+UNION ALL SELECT NULL, 1, 0"""
+
+
+SHAPLEY = f"""{SPLIT},
+hashed AS (SELECT *, md5(CAST(CustomerID AS VARCHAR) || ':460409061') AS h FROM split_features),
+e AS (SELECT * FROM hashed WHERE split = 'val' ORDER BY h, CustomerID LIMIT 100),
+b AS (SELECT * FROM hashed WHERE split = 'train' ORDER BY h, CustomerID LIMIT 100),
+mixed AS (""" + " UNION ALL ".join(
+    f"""
+  SELECT e.CustomerID, {mask} AS mask, {', '.join(f"{'e' if mask >> j & 1 else 'b'}.{n} AS {n}" for j, n in enumerate(('MonthlySpend', 'Tenure', 'TotalSpend')))} FROM e, b"""
+    for mask in range(8)
+) + """),
+v AS (
+  SELECT CustomerID, mask, avg(CASE WHEN 1 / (1 + exp(0.8 + 0.02 * Tenure - 0.00002 * MonthlySpend - 0.0000001 * TotalSpend)) >= 0.5
+    THEN 1.0::DOUBLE ELSE 0 END) AS v
+  FROM mixed GROUP BY ALL),
+w AS (SELECT CustomerID, max(v) FILTER (mask = 0) AS v0, max(v) FILTER (mask = 1) AS v1, max(v) FILTER (mask = 2) AS v2, max(v) FILTER (mask = 3) AS v3,
+    max(v) FILTER (mask = 4) AS v4, max(v) FILTER (mask = 5) AS v5, max(v) FILTER (mask = 6) AS v6, max(v) FILTER (mask = 7) AS v7 FROM v GROUP BY CustomerID),
+shap AS (
+  SELECT e.CustomerID, 'MonthlySpend' AS feature, e.MonthlySpend AS value, (v1 - v0) / 3 + (v3 - v2) / 6 + (v5 - v4) / 6 + (v7 - v6) / 3 AS shapley FROM w JOIN e USING (CustomerID)
+  UNION ALL SELECT e.CustomerID, 'Tenure', e.Tenure, (v2 - v0) / 3 + (v3 - v1) / 6 + (v6 - v4) / 6 + (v7 - v5) / 3 FROM w JOIN e USING (CustomerID)
+  UNION ALL SELECT e.CustomerID, 'TotalSpend', e.TotalSpend, (v4 - v0) / 3 + (v5 - v1) / 6 + (v6 - v2) / 6 + (v7 - v3) / 3 FROM w JOIN e USING (CustomerID))"""
+SQL["shapley_values"] = f"WITH {SHAPLEY} SELECT CustomerID, feature, {r('value')} AS value, {r('shapley')} AS shapley FROM shap"
+SQL["shapley_summary"] = f"WITH {SHAPLEY} SELECT feature, {r('avg(abs(shapley))')} AS mean_abs_shapley FROM shap GROUP BY feature"

@@ -36,7 +36,8 @@ def customers_survival(spark: SparkSession, root: str) -> DataFrame:
     span = orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
-        F.sum("o_totalprice").alias("total_spend"),
+        # summed as cents, so the total does not depend on the order of addition
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_spend"),
     )
     newest = orders.agg(F.max("o_orderdate")).scalar()
     people = table(spark, root, "customer").join(

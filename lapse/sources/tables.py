@@ -58,20 +58,29 @@ def write_version(df: DataFrame, base: str, fmt: str = FORMAT) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest version under `base` whose write has finished."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(base)
+def mark_finished(spark: SparkSession, path: str) -> None:
+    """Put the end-of-write marker into a folder, as a DataFrame writer does."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(marker).close()
+
+
+def finished_versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the version folders under `base` whose write has finished."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(base)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return None
-    done = [
-        int(status.getPath().getName()[2:])
-        for status in fs.listStatus(folder)
-        if status.getPath().getName().startswith("v=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+        return []
+    paths = [status.getPath() for status in fs.listStatus(folder)]
+    return [
+        int(path.getName()[2:])
+        for path in paths
+        if path.getName().startswith("v=") and fs.exists(hadoop.Path(path, "_SUCCESS"))
     ]
-    return max(done, default=None)
+
+
+def latest_version(spark: SparkSession, base: str) -> int | None:
+    return max(finished_versions(spark, base), default=None)
 
 
 def read_version(spark: SparkSession, base: str, version: int | None = None, fmt: str = FORMAT) -> DataFrame:
