@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.operators.running import lookup_join, running_totals, sliced
 from lapse.sources.session import pin
 
 
@@ -50,7 +50,7 @@ def count_pairs(rows: DataFrame, rows_per_slice: int = 0) -> DataFrame:
             f"named_struct('bit', {b}, 'prefix', shiftright(_rank, {b + 1}), 'early', if({zero}, d, 0L), "
             f"'late', if({zero}, 0L, n), 'late_deaths', if({zero}, 0L, d))"
         )
-    ranked = same_keys_join(rows, ranks, ["score"])
+    ranked = lookup_join(rows, ranks, ["score"])
     groups = (
         ranked.select("t", F.expr(f"inline(array({', '.join(cells)}))"))
         .where("early > 0 OR late > 0")

@@ -21,10 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.tails import chi2_tail, normal_quantile, normal_two_sided, surprise
-from lapse.operators.running import SLICE, running_totals, same_keys_join, sliced
+from lapse.operators.running import SLICE, lookup_join, running_totals, sliced
 from lapse.sources.session import pin
 
 EFRON_CHUNK = 4096
+# a log hazard per standard deviation beyond this is a likelihood without a maximum
+RUNAWAY = 15.0
 
 
 @dataclass
@@ -45,6 +47,14 @@ class CoxModel:
     iterations: int
     table: DataFrame = field(repr=False)
 
+    @property
+    def keys(self) -> list[str]:
+        return _stratum_keys(self.strata)
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """Give the strata their own names again."""
+        return df.withColumnsRenamed(dict(zip(self.keys, self.strata)))
+
     @property
     def standard_errors(self) -> np.ndarray:
         return np.sqrt(np.diag(self.covariance))
@@ -65,7 +75,7 @@ def risk_table(
     strata: Sequence[str] = (),
     rows_per_slice: int = 0,
 ) -> DataFrame:
-    """(strata, t, e, x0.., n), materialised and sliced along t. Rows with a missing
+    """(_stratum0.., t, e, x0.., n), materialised and sliced along t. Rows with a missing
     duration, event or covariate are left out."""
     complete = F.lit(True)
     for c in (duration, event, *covariates):
@@ -73,7 +83,7 @@ def risk_table(
     collapsed = (
         df.where(complete)
         .groupBy(
-            *strata,
+            *[F.col(f"`{s}`").alias(key) for s, key in zip(strata, _stratum_keys(strata))],
             F.col(duration).alias("t"),
             F.col(event).cast("int").alias("e"),
             *[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(covariates)],
@@ -83,6 +93,11 @@ def risk_table(
     return sliced(pin(collapsed), "t", rows_per_slice)
 
 
+def _stratum_keys(strata: Sequence[str]) -> list[str]:
+    """Internal names of the strata, which no column of a step can collide with."""
+    return [f"_stratum{i}" for i in range(len(strata))]
+
+
 def _scales(table: DataFrame, means: Sequence[float]) -> list[float]:
     deviations = [f"sqrt(sum(n * pow(x{j} - {m!r}D, 2)) / sum(n))" for j, m in enumerate(means)]
     row = table.agg(*[F.expr(d).alias(f"s{j}") for j, d in enumerate(deviations)]).first() if means else ()
@@ -210,19 +225,20 @@ def fit_cox(
             raise ValueError(f"{name} does not vary")
 
     beta = np.zeros(p)
-    value, gradient, information = _evaluate(table, beta, means, scales, strata, ties)
+    keys = _stratum_keys(strata)
+    value, gradient, information = _evaluate(table, beta, means, scales, keys, ties)
     null_value, iterations = value, 0
     for iterations in range(1, max_iter + 1):
         step = _solve(information, gradient)
         newton_gain = float(gradient @ step)
         while True:
-            tried = _evaluate(table, beta + step, means, scales, strata, ties)
+            tried = _evaluate(table, beta + step, means, scales, keys, ties)
             if tried[0] >= value - 1e-9 * abs(value) or np.max(np.abs(step)) < precision:
                 break
             step = step / 2
         beta = beta + step
         value, gradient, information = tried
-        if np.max(np.abs(beta)) > 50:
+        if np.max(np.abs(beta)) > RUNAWAY:
             raise ValueError("the likelihood is monotone: a covariate separates the events")
         if np.max(np.abs(step)) < precision or newton_gain < precision**2:
             break
@@ -325,8 +341,9 @@ def at_fixed(
     ).first()
     means, ones = [float(sizes[f"m{j}"]) for j in range(p)], [1.0] * p
     beta = np.array([float(coef[c]) for c in covariates])
-    value, _, information = _evaluate(table, beta, means, ones, strata, ties)
-    null_value, _, _ = _evaluate(table, np.zeros(p), means, ones, strata, ties)
+    keys = _stratum_keys(strata)
+    value, _, information = _evaluate(table, beta, means, ones, keys, ties)
+    null_value, _, _ = _evaluate(table, np.zeros(p), means, ones, keys, ties)
     return CoxModel(
         covariates, beta, np.linalg.inv(information), float(value), float(null_value), int(sizes["n"]),
         int(sizes["events"]), ties, 0.05, strata, np.array(means), 0, table,
@@ -337,14 +354,14 @@ def baseline_hazard(model: CoxModel) -> DataFrame:
     """Breslow baseline at the mean covariates: strata, t, cumulative_hazard, survival."""
     means = [float(m) for m in model.means]
     per_time = _per_time(
-        model.table, model.coef, means, [1.0] * len(means), model.strata, second_order=False
+        model.table, model.coef, means, [1.0] * len(means), model.keys, second_order=False
     )
     steps = per_time.select(
-        *model.strata, "t", *([SLICE] if SLICE in per_time.columns else []), (F.col("d") / F.col("s0")).alias("hazard")
+        *model.keys, "t", *([SLICE] if SLICE in per_time.columns else []), (F.col("d") / F.col("s0")).alias("hazard")
     )
-    curve = running_totals(steps, "t", {"cumulative_hazard": "hazard"}, model.strata)
-    return curve.select(
-        *model.strata, "t", "cumulative_hazard", F.exp(-F.col("cumulative_hazard")).alias("survival")
+    curve = running_totals(steps, "t", {"cumulative_hazard": "hazard"}, model.keys)
+    return model.named(
+        curve.select(*model.keys, "t", "cumulative_hazard", F.exp(-F.col("cumulative_hazard")).alias("survival"))
     )
 
 
@@ -382,17 +399,21 @@ def schoenfeld(model: CoxModel) -> DataFrame:
     and number of events. Subjects with the same time and covariates have the
     same residual, so they stay collapsed.
     """
+    return model.named(_schoenfeld(model))
+
+
+def _schoenfeld(model: CoxModel) -> DataFrame:
     p = len(model.covariates)
     means = [float(m) for m in model.means]
-    per_time = _per_time(model.table, model.coef, means, [1.0] * p, model.strata, second_order=False)
+    per_time = _per_time(model.table, model.coef, means, [1.0] * p, model.keys, second_order=False)
     terms = _tie_sums(per_time, model.ties)
     centre = (
-        terms.groupBy(*model.strata, "t")
+        terms.groupBy(*model.keys, "t")
         .agg(*[F.expr(f"sum(a * s1_{j} - b * e1_{j}) / first(d) AS c{j}") for j in range(p)])
     )
     events = model.table.where("e = 1").drop(SLICE)
-    residuals = same_keys_join(events, centre, [*model.strata, "t"]).selectExpr(
-        *model.strata, "t", *[f"x{j}" for j in range(p)], "n",
+    residuals = lookup_join(events, centre, [*model.keys, "t"]).selectExpr(
+        *model.keys, "t", *[f"x{j}" for j in range(p)], "n",
         *[f"x{j} - {means[j]!r}D - c{j} AS r{j}" for j in range(p)],
     )
     cells = []
@@ -402,28 +423,28 @@ def schoenfeld(model: CoxModel) -> DataFrame:
         cells.append(f"named_struct('covariate', '{name}', 'x', x{j}, 'residual', r{j}, 'scaled', {scaled})")
     pattern = ", ".join(f"x{j}" for j in range(p))
     return residuals.selectExpr(
-        *model.strata, "t", "n", f"array({pattern}) AS pattern", f"inline(array({', '.join(cells)}))"
+        *model.keys, "t", "n", f"array({pattern}) AS pattern", f"inline(array({', '.join(cells)}))"
     )
 
 
 def _time_transforms(model: CoxModel) -> DataFrame:
     """Per (strata, t): average rank over all subjects, and 1 - Kaplan-Meier."""
-    per_time = model.table.groupBy(*model.strata, "t", *([SLICE] if SLICE in model.table.columns else [])).agg(
+    per_time = model.table.groupBy(*model.keys, "t", *([SLICE] if SLICE in model.table.columns else [])).agg(
         F.expr("sum(n * e) AS d"), F.expr("sum(n) AS m")
     )
-    up = running_totals(per_time, "t", {"upto": "m"}, model.strata)
-    down = running_totals(up, "t", {"at_risk": "m"}, model.strata, descending=True)
+    up = running_totals(per_time, "t", {"upto": "m"}, model.keys)
+    down = running_totals(up, "t", {"at_risk": "m"}, model.keys, descending=True)
     logs = down.withColumn("ln", F.expr("CASE WHEN d = at_risk THEN -1e300D ELSE log1p(-d / at_risk) END"))
-    steps = running_totals(logs, "t", {"cum": "ln"}, model.strata)
-    return steps.selectExpr(*model.strata, "t", "upto - (m - 1) / 2 AS rank", "1 - exp(cum) AS km")
+    steps = running_totals(logs, "t", {"cum": "ln"}, model.keys)
+    return steps.selectExpr(*model.keys, "t", "upto - (m - 1) / 2 AS rank", "1 - exp(cum) AS km")
 
 
 def ph_test(model: CoxModel) -> DataFrame:
     """Grambsch-Therneau test of proportional hazards per covariate, for rank- and
     Kaplan-Meier-transformed time: covariate, transform, statistic, p, -log2 p."""
-    residuals = schoenfeld(model)
+    residuals = _schoenfeld(model)
     times = _time_transforms(model)
-    joined = same_keys_join(residuals, times, [*model.strata, "t"])
+    joined = lookup_join(residuals, times, [*model.keys, "t"])
     long = joined.selectExpr(
         "covariate", "n", "scaled",
         "inline(array(named_struct('transform', 'km', 'g', km), named_struct('transform', 'rank', 'g', rank)))",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.operators.running import ROWS_PER_SLICE, SLICE, lookup_join, same_keys_join, sliced
 from lapse.sources.session import pin
 
+ONE_PASS_ROWS = 1_000_000
+
 
 def quantiles(
     df: DataFrame,
@@ -18,42 +20,62 @@ def quantiles(
     weight: str | None = None,
     rows_per_slice: int = 0,
     interpolate: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per key as columns q0, q1, ..., linear between neighbouring
     ranks or, without interpolation, the value at the lower rank.
 
-    Values are collapsed to (key, value, count) and ranked by running totals,
-    so a hot key is spread over slices instead of being sorted in one task.
-    `weight` names a count column when the input is already collapsed.
+    Values are collapsed to (key, value, count). Up to `ONE_PASS_ROWS` of them
+    are handed to the built-in exact percentile; more are cut into slices along
+    the value. Slice counts tell which slices hold the wanted ranks; only those are
+    sorted, each in its own task, so neither a long column nor a hot key is
+    ever sorted as a whole. `weight` names the count column of an input that is
+    already collapsed, and materialised or cheap to derive: it is read a few times.
+    `rows` is its length, if known.
     """
-    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    values = pin(
-        df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-        .groupBy(*keys, F.col(column).cast("double").alias("_x"))
-        .agg(count.alias("_n"))
+    x = F.col(column).cast("double")
+    present = df.where(x.isNotNull() & ~F.isnan(x)).select(
+        *keys, x.alias("_x"), F.lit(1).alias("_n") if weight is None else F.col(weight).alias("_n")
     )
-    ranked = running_totals(sliced(values, "_x", rows_per_slice), "_x", {"_upto": "_n"}, keys)
-    sizes = values.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        ranked = same_keys_join(ranked, sizes, keys)
-    else:
-        ranked = ranked.withColumn("_size", sizes.scalar())
+    if weight is None:
+        present = pin(present.groupBy(*keys, "_x").agg(F.sum("_n").alias("_n")))
+    if rows is None:
+        rows = present.count()
+    if interpolate and not rows_per_slice and rows <= ONE_PASS_ROWS:
+        shares = ", ".join(f"{float(p)!r}D" for p in probabilities)
+        found = present.groupBy(*keys).agg(F.expr(f"percentile(_x, array({shares}), _n)").alias("_q"))
+        return found.select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probabilities))])
+
+    # shorter slices than a running total needs: most of them are never sorted
+    placed = sliced(present, "_x", rows_per_slice or ROWS_PER_SLICE // 8)
+    if SLICE not in placed.columns:
+        placed = placed.withColumn(SLICE, F.lit(0.0))
+
+    whole = Window.partitionBy(*keys)
+    lower = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    slices = placed.groupBy(*keys, SLICE).agg(F.sum("_n").alias("_in")).select(
+        *keys,
+        SLICE,
+        (F.sum("_in").over(lower) - F.col("_in")).alias("_before"),
+        F.sum("_in").over(lower).alias("_through"),
+        F.sum("_in").over(whole).alias("_size"),
+    )
+    positions = [f"((_size - 1) * {float(p)!r}D)" for p in probabilities]
+    ranks = [f"floor({at})" for at in positions] + [f"ceil({at})" for at in positions if interpolate]
+    wanted = " OR ".join(f"(_before <= {rank} AND {rank} < _through)" for rank in ranks)
+    rows = lookup_join(placed, slices.where(wanted), [*keys, SLICE])
+    inside = Window.partitionBy(*keys, SLICE).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
 
-    def value_at(rank: Column) -> Column:
-        # rank counts from 0: the value whose run (upto - n, upto] covers it
-        holds = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(holds, F.col("_x")))
+    def value_at(rank: str) -> Column:
+        # ranks count from 0: the value whose run (upto - n, upto] covers it
+        return F.expr(f"max(CASE WHEN _upto - _n <= {rank} AND {rank} < _upto THEN _x END)")
 
     picks = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("_size") - 1) * F.lit(float(p))
-        picks.append(value_at(F.floor(position)).alias(f"_lo{i}" if interpolate else f"q{i}"))
-        if not interpolate:
-            continue
-        picks += [
-            value_at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_part{i}"),
-        ]
+    for i, at in enumerate(positions):
+        picks.append(value_at(f"floor({at})").alias(f"_lo{i}" if interpolate else f"q{i}"))
+        if interpolate:
+            picks += [value_at(f"ceil({at})").alias(f"_hi{i}"), F.expr(f"max({at} - floor({at}))").alias(f"_part{i}")]
     found = ranked.groupBy(*keys).agg(*picks)
     if not interpolate:
         return found
@@ -106,7 +128,7 @@ def histogram(
     bounds = present.groupBy(*keys).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
     bounds = bounds.select(*keys, "_low", nice_step(F.col("_low"), F.col("_high"), at_most).alias("_step"))
     if keys:
-        placed = same_keys_join(present, bounds, keys)
+        placed = lookup_join(present, bounds, keys)
     else:
         packed = bounds.select(F.struct("_low", "_step")).scalar()
         placed = present.withColumn("_grid", packed).withColumns(

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lapse.operators.describe import quantiles
 from lapse.sources.session import pin
@@ -39,7 +39,6 @@ def fit_kmeans(
     counts: DataFrame, ks: Sequence[int], max_iter: int = 300, tol: float = 1e-4
 ) -> Centroids:
     """Centroids per (measure, k) for a `value_counts` table that is cheap to reread."""
-    spark = counts.sparkSession
     spread = {
         row["measure"]: row["mean_square"] - row["mean"] ** 2
         for row in counts.groupBy("measure")
@@ -51,13 +50,17 @@ def fit_kmeans(
     }
     centroids = _seeds(counts, ks)
     moving = dict(centroids)
-    for _ in range(max_iter):
-        if not moving:
-            break
-        moved = _lloyd_step(spark, counts, moving)
-        shifts = {key: sum((a - b) ** 2 for a, b in zip(moving[key], moved[key])) for key in moved}
-        centroids.update(moved)
-        moving = {key: moved[key] for key in moved if shifts[key] > tol * spread[key[0]]}
+    cached = counts.persist()
+    try:
+        for _ in range(max_iter):
+            if not moving:
+                break
+            moved = _lloyd_step(cached, moving)
+            shifts = {key: sum((a - b) ** 2 for a, b in zip(moving[key], moved[key])) for key in moved}
+            centroids.update(moved)
+            moving = {key: moved[key] for key in moved if shifts[key] > tol * spread[key[0]]}
+    finally:
+        cached.unpersist()
     return centroids
 
 
@@ -71,33 +74,35 @@ def _seeds(counts: DataFrame, ks: Sequence[int]) -> Centroids:
     }
 
 
-def _parameter_table(spark: SparkSession, centroids: Centroids) -> DataFrame:
-    """(measure, k, centers, cuts): a literal table with one row per fit."""
-    def doubles(values):
-        return "cast(array(" + ", ".join(f"{v!r}D" for v in values) + ") as array<double>)"
-
-    rows = ", ".join(
-        f"('{measure}', {k}, {doubles(c)}, {doubles(midpoints(c))})" for (measure, k), c in centroids.items()
-    )
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS fits(measure, k, centers, cuts)")
-
-
 def midpoints(centers: Sequence[float]) -> list[float]:
     return [(a + b) / 2 for a, b in zip(centers, centers[1:])]
 
 
-def _assigned(spark: SparkSession, counts: DataFrame, centroids: Centroids) -> DataFrame:
-    # At most (measures x values of k) rows: small by construction.
-    fits = F.broadcast(_parameter_table(spark, centroids))
-    cluster = F.size(F.filter("cuts", lambda cut: cut < F.col("x")))
-    return counts.join(fits, "measure").withColumn("cluster", cluster)
+def _assigned(counts: DataFrame, centroids: Centroids) -> DataFrame:
+    """Every value once per fit of its measure: measure, x, n, k, centers, cluster.
+
+    The fits (at most measures x values of k) travel as one literal, so a step
+    needs neither a join nor new generated code.
+    """
+    def doubles(values):
+        return "cast(array(" + ", ".join(f"{v!r}D" for v in values) + ") as array<double>)"
+
+    fits: dict[str, list[str]] = {}
+    for (measure, k), c in centroids.items():
+        fits.setdefault(measure, []).append(
+            f"named_struct('k', {k}, 'centers', {doubles(c)}, 'cuts', {doubles(midpoints(c))})"
+        )
+    by_measure = ", ".join(f"'{measure}', array({', '.join(own)})" for measure, own in fits.items())
+    return counts.selectExpr("measure", "x", "n", f"inline(map({by_measure})[measure])").selectExpr(
+        "*", "size(filter(cuts, cut -> cut < x)) AS cluster"
+    )
 
 
-def _lloyd_step(spark: SparkSession, counts: DataFrame, centroids: Centroids) -> Centroids:
+def _lloyd_step(counts: DataFrame, centroids: Centroids) -> Centroids:
     means = (
-        _assigned(spark, counts, centroids)
+        _assigned(counts, centroids)
         .groupBy("measure", "k", "cluster")
-        .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+        .agg(F.expr("sum(x * n) / sum(n) AS mean"))
         .collect()
     )
     moved = {key: list(c) for key, c in centroids.items()}
@@ -110,7 +115,7 @@ def inertia(counts: DataFrame, centroids: Centroids) -> DataFrame:
     """Sum of squared distances to the own centroid: measure, k, inertia."""
     gap = F.col("x") - F.element_at("centers", F.col("cluster") + 1)
     return (
-        _assigned(counts.sparkSession, counts, centroids)
+        _assigned(counts, centroids)
         .groupBy("measure", "k")
         .agg(F.sum(gap * gap * F.col("n")).alias("inertia"))
     )
@@ -126,7 +131,7 @@ def elbow(
 
 def occupied(counts: DataFrame, centroids: Centroids) -> dict[str, list[float]]:
     """Centroids of the clusters that hold at least one value, per measure."""
-    used = _assigned(counts.sparkSession, counts, centroids).select("measure", "k", "cluster").distinct()
+    used = _assigned(counts, centroids).select("measure", "k", "cluster").distinct()
     kept: dict[str, list[float]] = {}
     for row in sorted(used.collect()):
         kept.setdefault(row["measure"], []).append(centroids[row["measure"], row["k"]][row["cluster"]])

@@ -45,7 +45,7 @@ def _at_risk_grid(df, duration, event, variables, rows_per_slice) -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct("level", F.struct("d", "removed")))).alias("seen"),
             F.sum("d").alias("d_any"),
         )
-        .join(levels, "variable")
+        .join(F.broadcast(levels), "variable")  # one row per variable
         .select("variable", "t", "d_any", "seen", F.explode("levels").alias("level"))
     )
     here = F.col("seen")[F.col("level")]

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapse.operators import describe
-from lapse.operators.running import running_totals, sliced
+from lapse.operators.running import BROADCAST_ROWS, running_totals, sliced
 from lapse.sources.session import pin
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -43,6 +43,10 @@ class Profile:
         cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in self.numeric]
         return pin(self._value_counts(cells, "x"))
 
+    @cached_property
+    def number_rows(self) -> int:
+        return self.numbers.count()
+
     @cached_property
     def texts(self) -> DataFrame:
         """(column, x, n) over the categorical columns, materialised."""
@@ -130,19 +134,19 @@ class Profile:
         )
 
     def _mad(self) -> DataFrame:
-        medians = describe.quantiles(
-            self.numbers, "x", [0.5], ["column"], weight="n", rows_per_slice=self.rows_per_slice
-        )
+        # one row per column
+        medians = F.broadcast(self._quantiles(self.numbers, "x", [0.5]))
         gaps = self.numbers.join(medians, "column").select("column", F.abs(F.col("x") - F.col("q0")).alias("gap"), "n")
+        return self._quantiles(gaps, "gap", [0.5]).withColumnRenamed("q0", "mad")
+
+    def _quantiles(self, values: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
         return describe.quantiles(
-            gaps, "gap", [0.5], ["column"], weight="n", rows_per_slice=self.rows_per_slice
-        ).withColumnRenamed("q0", "mad")
+            values, column, probabilities, ["column"], "n", self.rows_per_slice, rows=self.number_rows
+        )
 
     def quantiles(self) -> DataFrame:
         """Exact 5, 25, 50, 75 and 95 % quantiles and the interquartile range."""
-        found = describe.quantiles(
-            self.numbers, "x", [0.05, 0.25, 0.5, 0.75, 0.95], ["column"], weight="n", rows_per_slice=self.rows_per_slice
-        )
+        found = self._quantiles(self.numbers, "x", [0.05, 0.25, 0.5, 0.75, 0.95])
         return found.select(
             "column",
             *[F.col(f"q{i}").alias(name) for i, name in enumerate(("p5", "p25", "p50", "p75", "p95"))],
@@ -208,22 +212,29 @@ class Profile:
 
     def missing_correlation(self) -> DataFrame:
         """Correlation of the null indicators of every two columns (NULL when one never varies)."""
-        return self._pairs(
-            self.df.columns, lambda a, b: F.corr(F.col(a).isNull().cast("double"), F.col(b).isNull().cast("double"))
-        )
+        return self._pair_correlation(self.df.columns, "double(int(isnull(`{c}`)))")
 
-    def _pairs(self, columns: Sequence[str], aggregate) -> DataFrame:
+    def _pair_correlation(self, columns: Sequence[str], value: str) -> DataFrame:
+        """Correlation of every two columns over the rows where both are present, in one
+        scan; NULL when either does not vary (`corr` raises then)."""
         pairs = list(combinations(columns, 2))
         wide = self.df.agg(
             *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), aggregate(a, b).alias("value")).alias(f"_{i}")
+                F.struct(
+                    F.lit(a).alias("a"),
+                    F.lit(b).alias("b"),
+                    F.expr(
+                        "try_divide(covar_pop({x}, {y}), stddev_pop(if({y} IS NULL, NULL, {x})) * "
+                        "stddev_pop(if({x} IS NULL, NULL, {y})))".format(x=value.format(c=a), y=value.format(c=b))
+                    ).alias("value"),
+                ).alias(f"_{i}")
                 for i, (a, b) in enumerate(pairs)
             ]
         )
         return wide.select(F.inline(F.array(*[f"_{i}" for i in range(len(pairs))])))
 
     def pearson(self) -> DataFrame:
-        return self._pairs(self.numeric, lambda a, b: F.corr(F.col(a).cast("double"), F.col(b).cast("double")))
+        return self._pair_correlation(self.numeric, "double(`{c}`)")
 
     def spearman(self) -> DataFrame:
         """Rank correlation (average ranks) of every two numeric columns, over rows
@@ -233,12 +244,17 @@ class Profile:
         counts = pin(
             complete.select(F.inline(F.array(*cells))).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
         )
-        ranks = running_totals(sliced(counts, "x", self.rows_per_slice), "x", {"upto": "n"}, ["column"]).select(
-            "column", "x", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
+        ranks = pin(
+            running_totals(sliced(counts, "x", self.rows_per_slice), "x", {"upto": "n"}, ["column"]).select(
+                "column", "x", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
+            )
         )
+        sizes = {row["column"]: row["count"] for row in ranks.groupBy("column").count().collect()}
         ranked = complete
         for i, c in enumerate(self.numeric):
             own = ranks.where(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias(f"_r{i}"))
+            if sizes.get(c, 0) <= BROADCAST_ROWS:
+                own = F.broadcast(own)
             ranked = ranked.join(own, c)
         ranked = ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(self.numeric)])
         return Profile(ranked).pearson()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lapse.functions.scalars import segment_label, whole_days
 from lapse.operators.kmeans import fit_kmeans, occupied, value_counts, with_clusters
-from lapse.operators.running import same_keys_join
+from lapse.operators.running import lookup_join
 from lapse.sources.session import pin
 
 MEASURES = ("Recency", "Frequency", "Revenue")
@@ -85,7 +85,7 @@ def order_cluster(df: DataFrame, cluster: str, target: str, ascending: bool) ->
     by = F.col("_mean").asc() if ascending else F.col("_mean").desc()
     # one row per cluster reaches this window
     ranks = means.select(cluster, (F.row_number().over(Window.orderBy(by, cluster)) - 1).alias("_rank"))
-    return same_keys_join(df, ranks, [cluster]).withColumn(cluster, F.col("_rank")).drop("_rank")
+    return lookup_join(df, ranks, [cluster]).withColumn(cluster, F.col("_rank")).drop("_rank")
 
 
 def clustered(

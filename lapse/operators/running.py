@@ -19,8 +19,11 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lapse.sources.session import pin
+
 SLICE = "_slice"
-ROWS_PER_SLICE = 200_000
+ROWS_PER_SLICE = 250_000
+BROADCAST_ROWS = 200_000
 
 
 def sliced(df: DataFrame, order: str, rows_per_slice: int = 0) -> DataFrame:
@@ -67,12 +70,25 @@ def running_totals(
         )
     )
     local = df.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()})
-    joined = same_keys_join(local, lead_in, [*keys, SLICE])
+    joined = lookup_join(local, lead_in, [*keys, SLICE])
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop(
         *[f"_before_{n}" for n in sums]
     )
 
 
+def lookup_join(left: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a long table with a table of one row per key.
+
+    The lookup table is materialised and counted. Up to `BROADCAST_ROWS` rows it
+    is sent to every task, so rows of a hot key stay where they are; a longer
+    one is joined by shuffle, where adaptive execution splits skewed partitions.
+    """
+    table = pin(table)
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    return same_keys_join(left, table, keys, how)
+
+
 def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; `right` contributes its other columns."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

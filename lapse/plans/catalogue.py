@@ -139,10 +139,7 @@ def churn_flag(spark, root):
 
 @query
 def select_supported(spark, root):
-    return _round(
-        prep.select_supported(retail.churn_features(spark, root), ["Tenure", "TotalSpend", "MonthlySpend"]),
-        4, "TotalSpend", "MonthlySpend",
-    )
+    return prep.select_supported(retail.churn_features(spark, root), ["Tenure", "TotalSpend", "MonthlySpend"])
 
 
 @query

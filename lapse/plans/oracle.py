@@ -190,7 +190,7 @@ SQL["distinct_customers"] = f"WITH {LINES} SELECT DISTINCT CustomerID FROM lines
 SQL["churn_flag"] = """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ChurnBool FROM lineitem"""
 SQL["select_supported"] = f"""
-WITH {FEATURES} SELECT Tenure, {r('TotalSpend', 4)} AS TotalSpend, {r('MonthlySpend', 4)} AS MonthlySpend FROM features"""
+WITH {FEATURES} SELECT Tenure, TotalSpend, MonthlySpend FROM features"""
 SQL["one_hot"] = "SELECT c_custkey, " + ", ".join(
     f"CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS \"c_mktsegment_{s}\""
     for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -539,7 +539,7 @@ SELECT "column", {', '.join(f"{r(f'quantile_cont(x, {p / 100})', 4)} AS p{p}" fo
   {r('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 4)} AS iqr FROM lines GROUP BY "column" """
 SQL["profile_categorical"] = f"""
 WITH {HOLES}, v AS (SELECT 'priority' AS "column", priority AS x FROM holes UNION ALL SELECT 'status', status FROM holes),
-top AS (SELECT "column", x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL
+top AS (SELECT "column", x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY "column", x
         QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, x) = 1)
 SELECT v."column", count(v.x) AS count, count(*) - count(v.x) AS missing, count(DISTINCT v.x) AS "distinct", any_value(top.x) AS mode,
   any_value(top.n) AS mode_count, CAST(min(length(v.x)) AS INTEGER) AS min_length, {r('avg(length(v.x))')} AS mean_length,
