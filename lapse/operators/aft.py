@@ -187,6 +187,11 @@ def summary(spark: SparkSession, model: AftModel) -> DataFrame:
     return spark.createDataFrame(rows, "parameter string, " + COEFFICIENT_SCHEMA)
 
 
+def intervals(spark: SparkSession, model: AftModel) -> DataFrame:
+    """Coefficient interval data for a plot, largest coefficient first."""
+    return summary(spark, model).select("parameter", "covariate", "coef", "lower", "upper").orderBy(F.desc("coef"))
+
+
 def metrics(spark: SparkSession, model: AftModel, concordance: float | None = None) -> DataFrame:
     p = len(model.covariates)
     ratio = 2 * (model.log_likelihood - model.null_log_likelihood)

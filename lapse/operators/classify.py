@@ -7,6 +7,7 @@ executors and a stored model scores a table without Python in the row path.
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -92,6 +93,12 @@ def train_gbt(
     return PipelineModel([*preprocessing.stages, fitted])
 
 
+def random_grid(space: Mapping[str, Sequence], n: int, seed: int = PARAMETERS["seed"]) -> list[dict]:
+    """n parameter sets drawn from lists of choices, the same for the same seed."""
+    draw = random.Random(seed)
+    return [{name: draw.choice(list(choices)) for name, choices in sorted(space.items())} for _ in range(n)]
+
+
 def trials(
     df: DataFrame,
     grid: Sequence[Mapping],
@@ -130,14 +137,14 @@ def trials(
 
 def batch_score(table: DataFrame, model: Model, output: str = "Churn") -> DataFrame:
     """The table plus `prediction` (label), `probability` of churn, and the label again
-    under the output name. A column of that name in the input is replaced."""
+    under the output name. Such columns from an earlier scoring are replaced."""
+    table = table.drop(output, "prediction", "probability")
     scored = model.transform(table)
     probability = F.col("probability")
     if scored.schema["probability"].dataType.typeName() != "double":
         probability = vector_to_array("probability")[1]
-    kept = [c for c in table.columns if c not in (output, "prediction", "probability")]
     return scored.select(
-        *kept,
+        *table.columns,
         F.col("prediction").cast("double").alias("prediction"),
         probability.alias("probability"),
         F.col("prediction").cast("double").alias(output),

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapse.operators.running import lookup_join, running_totals, sliced
+from lapse.operators.running import ROWS_PER_SLICE, SLICE, lookup_join, running_totals, sliced
 from lapse.sources.session import pin
 
 
@@ -44,20 +44,24 @@ def count_pairs(rows: DataFrame, rows_per_slice: int = 0) -> DataFrame:
         "named_struct('bit', -2, 'prefix', 0L, 'early', d, 'late', n, 'late_deaths', d)",
         "named_struct('bit', -1, 'prefix', _rank, 'early', d, 'late', n, 'late_deaths', d)",
     ]
-    for b in range(max(levels - 1, 0).bit_length()):
+    bits = max(levels - 1, 0).bit_length()
+    for b in range(bits):
         zero = f"(shiftright(_rank, {b}) & 1L) = 0"
         cells.append(
             f"named_struct('bit', {b}, 'prefix', shiftright(_rank, {b + 1}), 'early', if({zero}, d, 0L), "
             f"'late', if({zero}, 0L, n), 'late_deaths', if({zero}, 0L, d))"
         )
-    ranked = lookup_join(rows, ranks, ["score"])
+    # the slices are cut before the rows multiply, for the length they will have
+    placed = sliced(rows, "t", max((rows_per_slice or ROWS_PER_SLICE) // (bits + 2), 1))
+    own_slice = [SLICE] if SLICE in placed.columns else []
     groups = (
-        ranked.select("t", F.expr(f"inline(array({', '.join(cells)}))"))
+        lookup_join(placed, ranks, ["score"])
+        .select("t", *own_slice, F.expr(f"inline(array({', '.join(cells)}))"))
         .where("early > 0 OR late > 0")
-        .groupBy("bit", "prefix", "t")
+        .groupBy("bit", "prefix", "t", *own_slice)
         .agg(F.sum("early").alias("early"), F.sum("late").alias("late"), F.sum("late_deaths").alias("late_deaths"))
     )
-    totals = running_totals(sliced(pin(groups), "t", rows_per_slice), "t", {"since": "late"}, ["bit", "prefix"], descending=True)
+    totals = running_totals(groups, "t", {"since": "late"}, ["bit", "prefix"], descending=True)
     # at the same time only the censored count as later
     found = "CAST(early AS DECIMAL(38, 0)) * (since - late_deaths)"
     counts = totals.agg(

@@ -420,7 +420,8 @@ def _schoenfeld(model: CoxModel) -> DataFrame:
     for j, name in enumerate(model.covariates):
         weights = [float(v) * model.events for v in model.covariance[j]]
         scaled = " + ".join(f"{w!r}D * r{k}" for k, w in enumerate(weights))
-        cells.append(f"named_struct('covariate', '{name}', 'x', x{j}, 'residual', r{j}, 'scaled', {scaled})")
+        label = name.replace("'", "\\'")
+        cells.append(f"named_struct('covariate', '{label}', 'x', x{j}, 'residual', r{j}, 'scaled', {scaled})")
     pattern = ", ".join(f"x{j}" for j in range(p))
     return residuals.selectExpr(
         *model.keys, "t", "n", f"array({pattern}) AS pattern", f"inline(array({', '.join(cells)}))"

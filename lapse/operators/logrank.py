@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lapse.functions.tails import chi2_tail_1df
-from lapse.operators.running import running_totals, sliced
+from lapse.operators.running import ROWS_PER_SLICE, SLICE, running_totals, sliced
 from lapse.sources.session import pin
 
 
@@ -31,33 +31,36 @@ def _at_risk_grid(df, duration, event, variables, rows_per_slice) -> DataFrame:
     arms = F.array(
         *[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables]
     )
-    counts = pin(
+    counts = (
         df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
         .select(F.col(duration).alias("t"), F.col(event).cast("long").alias("e"), F.inline(arms))
         .where(F.col("level").isNotNull())
         .groupBy("variable", "level", "t")
         .agg(F.sum("e").alias("d"), F.count(F.lit(1)).alias("removed"))
     )
+    # the grid is longer than the counts, so the slices are cut finer
+    counts = sliced(pin(counts), "t", rows_per_slice or ROWS_PER_SLICE // 8)
+    own_slice = [SLICE] if SLICE in counts.columns else []
     levels = counts.groupBy("variable").agg(F.collect_set("level").alias("levels"))
     per_time = (
-        counts.groupBy("variable", "t")
+        counts.groupBy("variable", "t", *own_slice)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("level", F.struct("d", "removed")))).alias("seen"),
             F.sum("d").alias("d_any"),
         )
         .join(F.broadcast(levels), "variable")  # one row per variable
-        .select("variable", "t", "d_any", "seen", F.explode("levels").alias("level"))
+        .select("variable", "t", *own_slice, "d_any", "seen", F.explode("levels").alias("level"))
     )
     here = F.col("seen")[F.col("level")]
     grid = per_time.select(
         "variable",
         "level",
         "t",
+        *own_slice,
         "d_any",
         F.coalesce(here["d"], F.lit(0)).alias("d"),
         F.coalesce(here["removed"], F.lit(0)).alias("removed"),
     )
-    grid = sliced(pin(grid), "t", rows_per_slice)
     return running_totals(grid, "t", {"n": "removed"}, ["variable", "level"], descending=True)
 
 

@@ -100,8 +100,8 @@ def scan_parquet(spark, root):
 
 @query
 def select_all(spark, root):
-    retail.table(spark, root, "nation").createOrReplaceTempView("lapse_nation")
-    return spark.sql("SELECT * FROM lapse_nation")
+    retail.table(spark, root, "orders").createOrReplaceTempView("lapse_orders")
+    return tables.select_all(spark, "lapse_orders")
 
 
 @query

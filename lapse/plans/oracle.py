@@ -181,7 +181,15 @@ features AS (
   FROM people)"""
 
 SQL["scan_parquet"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
-SQL["select_all"] = "SELECT * FROM nation"
+SQL["select_all"] = "SELECT * FROM orders"
+SQL["schema_listing"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS type, count({c}) AS filled FROM lineitem"
+    for i, (c, t) in enumerate(
+        [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+         ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+         ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+    )
+)
 SQL["preview"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
 SQL["clean_transactions"] = f"""
 WITH {LINES}

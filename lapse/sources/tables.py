@@ -113,6 +113,18 @@ def select_all(spark: SparkSession, table: str) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """Column names and types as a table: position, column, type."""
-    rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    """Column names, types and filled cells: position, column, type, filled."""
+    counts = df.agg(*[F.count(f"`{name}`").alias(f"c{i}") for i, name in enumerate(df.columns)])
+    return counts.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("type"),
+                        F.col(f"c{i}").alias("filled"),
+                    )
+                    for i, (name, kind) in enumerate(df.dtypes)
+                ]
+            )
+        )
+    )

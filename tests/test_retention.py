@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from lapse.operators import classify, clv, cox, describe, evaluate, explain, kmeans, prep, profile, rfm
+from lapse.plans import retention
 from lapse.sources import schemas, tables
 from lapse.sources.session import pin
 
@@ -59,7 +60,7 @@ def test_medallion_tables(spark, tmp_path):
     assert tables.read_snapshot(spark, str(tmp_path / "plain"), ["ChurnBool"]).columns == ["CustomerID"]
     tables.save_managed(silver, "managed_copy")
     assert spark.table("managed_copy").count() == 4
-    assert rows(tables.column_types(silver)) == [(0, "CustomerID", "string"), (1, "ChurnBool", "int")]
+    assert rows(tables.column_types(silver)) == [(0, "CustomerID", "string", 4), (1, "ChurnBool", "int", 4)]
     with pytest.raises(FileNotFoundError):
         tables.read_version(spark, str(tmp_path / "nothing"))
     spark.sql("USE default")
@@ -304,6 +305,39 @@ def test_training_scoring_and_storage(spark, tmp_path):
     assert foreign.where(F.abs(F.col("Churn") - F.col("Tenure") / 100) > 1e-9).count() == 0
 
 
+def test_medallion_to_scored_table(spark, tmp_path):
+    churn = churners(spark, 400)
+    history = str(tmp_path / "history.csv")
+    lines = ["CustomerID,Gender,WinLossRatio,Tenure,NumberActiveGames,Platform,PaymentMethod,MonthlySpend,TotalSpend,TimeWindow,Churn"]
+    for r in churn.collect():
+        total = "" if r["TotalSpend"] is None else r["TotalSpend"]
+        lines.append(f"c{r['CustomerID']},Male,0.5,{r['Tenure']},2,Web,Mailed check,{r['MonthlySpend']},{total},w,{'Yes' if r['ChurnBool'] else 'No'}")
+    with open(history, "w") as f:
+        f.write("\n".join(lines))
+    new = str(tmp_path / "new.csv")
+    with open(new, "w", encoding="utf-8", newline="") as f:
+        f.write(HEADER + LINES)
+    base = str(tmp_path / "tables")
+    with pytest.warns(UserWarning):
+        retention.load_medallion(spark, history, new, base, "lapse_flow", replace=True)
+    assert spark.table(f"lapse_flow.{schemas.SILVER_TABLE}").count() == 400
+    version = retention.train_and_store(spark, "lapse_flow", f"{base}/models", "churn", max_rounds=3, minInstancesPerNode=10)
+    assert version == 1
+    retention.score_and_store(spark, "lapse_flow", base, f"{base}/models", "churn")
+    scored = spark.table(f"lapse_flow.{schemas.NEW_CUSTOMERS_TABLE}")
+    assert scored.count() == 2 and {"Churn", "probability"} <= set(scored.columns)
+    # scoring the scored table again replaces the column
+    retention.score_and_store(spark, "lapse_flow", base, f"{base}/models", "churn")
+    assert spark.table(f"lapse_flow.{schemas.NEW_CUSTOMERS_TABLE}").columns == scored.columns
+    spark.sql("USE default")
+
+
+def test_random_grid_is_repeatable():
+    space = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1]}
+    assert classify.random_grid(space, 5, 1) == classify.random_grid(space, 5, 1)
+    assert len(classify.random_grid(space, 5, 1)) == 5
+
+
 def test_preprocessing_uses_training_rows_only(spark):
     df = churners(spark)
     train = df.where("split = 'train'")
