@@ -360,7 +360,9 @@ def cox_stratified(spark, root):
 
 @query
 def cox_summary(spark, root):
-    return cox.summary(spark, cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
+    table = cox.summary(spark, cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
+    rest = [c for c in table.columns if c not in ("covariate", "neg_log2_p")]
+    return _round(table, 5, *rest).withColumn("neg_log2_p", rounded(F.col("neg_log2_p"), 4))
 
 
 @query
@@ -380,7 +382,8 @@ def cox_metrics(spark, root):
     model = cox.fit_cox(lapses, "duration", "event", ["building", "asia"])
     scored = lapses.withColumn("score", -cox.relative_risk(model))
     index = conc.concordance(scored, "duration", "event", "score").first()["concordance"]
-    return cox.metrics(spark, model, index)
+    table = _round(cox.metrics(spark, model, index), 6, "concordance")
+    return _round(table, 5, "partial_log_likelihood", "partial_aic", "lr_statistic", "lr_p", "lr_neg_log2_p")
 
 
 @query

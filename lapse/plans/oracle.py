@@ -429,6 +429,97 @@ SQL["cox_stratified"] = f"""
 WITH {GAP_ROWS}, {newton('segment')}
 SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('1 / sqrt(info)', 5)} AS se FROM fit"""
 
+def newton_binary(base: str, names: tuple[str, ...], steps: int = 12) -> str:
+    """Efron fit of up to three 0/1 covariates: final(b0.., i00.., ll) after `steps` Newton steps.
+
+    Risk sets are counts per covariate pattern, so they do not depend on beta.
+    """
+    p, patterns = len(names), range(2 ** len(names))
+    on = [[j for j in range(p) if m >> j & 1] for m in patterns]
+    code = " + ".join(f"{1 << j} * CAST({x} AS INTEGER)" for j, x in enumerate(names))
+    theta = [("exp(" + " + ".join(f"b{j}" for j in on[m]) + ")") if on[m] else "1.0" for m in patterns]
+    at_risk = [f"(r{m} - l / d * d{m}) * {theta[m]}" for m in patterns]
+
+    def total(*needed):
+        return "(" + " + ".join(at_risk[m] for m in patterns if set(needed) <= set(on[m])) + ")"
+
+    cells = [(j, k) for j in range(p) for k in range(j, p)]
+    i = lambda j, k: f"i{min(j, k)}{max(j, k)}"
+    if p == 1:
+        inverse = {(0, 0): "1 / i00"}
+    elif p == 2:
+        det = "(i00 * i11 - i01 * i01)"
+        inverse = {(0, 0): f"i11 / {det}", (0, 1): f"-i01 / {det}", (1, 1): f"i00 / {det}"}
+    else:
+        det = "(i00 * (i11 * i22 - i12 * i12) - i01 * (i01 * i22 - i12 * i02) + i02 * (i01 * i12 - i11 * i02))"
+        inverse = {
+            (0, 0): f"(i11 * i22 - i12 * i12) / {det}", (0, 1): f"(i02 * i12 - i01 * i22) / {det}",
+            (0, 2): f"(i01 * i12 - i02 * i11) / {det}", (1, 1): f"(i00 * i22 - i02 * i02) / {det}",
+            (1, 2): f"(i01 * i02 - i00 * i12) / {det}", (2, 2): f"(i00 * i11 - i01 * i01) / {det}",
+        }
+    inv = lambda j, k: f"({inverse[min(j, k), max(j, k)]})"
+    moved = ", ".join(f"b{j} + " + " + ".join(f"{inv(j, k)} * g{k}" for k in range(p)) + f" AS b{j}" for j in range(p))
+    bs, is_ = ", ".join(f"b{j}" for j in range(p)), ", ".join(i(j, k) for j, k in cells)
+    zero = ", ".join(["0"] + ["CAST(0 AS DOUBLE)"] * (p + len(cells) + 1))
+    return f"""
+pattern AS (SELECT t, e, {code} AS m FROM {base}),
+counted AS (SELECT t, sum(e) AS d, {', '.join(f'count(*) FILTER (m = {m}) AS n{m}, count(*) FILTER (m = {m} AND e = 1) AS d{m}' for m in patterns)} FROM pattern GROUP BY t),
+sets AS MATERIALIZED (
+  SELECT t, CAST(d AS BIGINT) AS d, {', '.join(f'CAST(d{m} AS DOUBLE) AS d{m}, CAST(sum(n{m}) OVER (ORDER BY t DESC) AS DOUBLE) AS r{m}' for m in patterns)} FROM counted),
+ties AS MATERIALIZED (SELECT *, unnest(range(d)) AS l FROM sets WHERE d > 0),
+deaths AS MATERIALIZED (SELECT {', '.join(f"sum({' + '.join(f'd{m}' for m in patterns if j in on[m])}) AS x{j}" for j in range(p))} FROM sets),
+newton AS (
+  WITH RECURSIVE step(it, {bs}, {is_}, ll) AS (
+    SELECT {zero}
+    UNION ALL
+    SELECT it + 1, {moved}, {is_}, ll FROM (
+      SELECT it, {bs}, {', '.join(f'any_value(x{j}) - sum(m{j}) AS g{j}' for j in range(p))},
+        {', '.join(f'sum(q{j}{k} - m{j} * m{k}) AS {i(j, k)}' for j, k in cells)},
+        {' + '.join(f'b{j} * any_value(x{j})' for j in range(p))} - sum(ln(s0)) AS ll
+      FROM (
+        SELECT it, {bs}, s0, {', '.join(f'{total(j)} / s0 AS m{j}' for j in range(p))},
+          {', '.join(f'{total(j, k)} / s0 AS q{j}{k}' for j, k in cells)}
+        FROM (SELECT *, {total()} AS s0 FROM step, ties WHERE it < {steps}) a) b, deaths
+      GROUP BY it, {bs}) c)
+  SELECT * FROM step),
+final AS (SELECT *, {', '.join(f'sqrt({inv(j, j)}) AS se{j}' for j in range(p))} FROM newton WHERE it = {steps})"""
+
+
+def coefficients(names: tuple[str, ...]) -> str:
+    return "coefs AS (" + " UNION ALL ".join(
+        f"SELECT '{x}' AS covariate, b{j} AS coef, se{j} AS se FROM final" for j, x in enumerate(names)
+    ) + ")"
+
+
+Z95 = "1.959963984540054"
+GAP_FLAGS = f"""{GAPS},
+base AS (
+  SELECT duration AS t, event AS e, priority = '1-URGENT' AS urgent, segment = 'BUILDING' AS building, status = 'F' AS filled FROM gaps)"""
+_FLAGS = ("urgent", "building", "filled")
+SQL["cox_summary"] = f"""
+WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {coefficients(_FLAGS)},
+tested AS (SELECT *, {erfc('abs(coef / se) / sqrt(2)')} AS p FROM coefs)
+SELECT covariate, {r('coef', 5)} AS coef, {r('exp(coef)', 5)} AS exp_coef, {r('se', 5)} AS se,
+  {r(f'coef - {Z95} * se', 5)} AS lower, {r(f'coef + {Z95} * se', 5)} AS upper,
+  {r(f'exp(coef - {Z95} * se)', 5)} AS exp_lower, {r(f'exp(coef + {Z95} * se)', 5)} AS exp_upper,
+  {r('coef / se', 5)} AS z, {r('p', 5)} AS p, {r('-log2(p)', 4)} AS neg_log2_p FROM tested"""
+
+_TWO = ("building", "asia")
+SQL["cox_metrics"] = f"""
+WITH {CUSTOMERS},
+base AS (SELECT duration AS t, event AS e, segment = 'BUILDING' AS building, region = 'ASIA' AS asia FROM people),
+{newton_binary('base', _TWO)},
+risks AS (SELECT t, e, -(b0 * building::INT + b1 * asia::INT) AS s, building, asia FROM base, final),
+c AS (
+  SELECT count(*) AS pairs, count(*) FILTER (NOT (a.building = b.building AND a.asia = b.asia) AND a.s < b.s) AS up,
+    count(*) FILTER (a.building = b.building AND a.asia = b.asia) AS tied
+  FROM risks a JOIN risks b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0))),
+fits AS (SELECT (SELECT ll FROM newton WHERE it = 1) AS ll0, ll FROM final)
+SELECT (SELECT count(*) FROM base) AS observations, (SELECT sum(e)::BIGINT FROM base) AS events, {r('ll', 5)} AS partial_log_likelihood,
+  {r('(SELECT (up + tied / 2) / pairs FROM c)')} AS concordance, {r('4 - 2 * ll', 5)} AS partial_aic,
+  {r('2 * (ll - ll0)', 5)} AS lr_statistic, 2 AS lr_df, {r('exp(ll0 - ll)', 5)} AS lr_p, {r('(ll - ll0) / ln(2)', 5)} AS lr_neg_log2_p
+FROM fits"""
+
 SQL["concordance"] = f"""
 WITH {CUSTOMERS},
 c AS (
