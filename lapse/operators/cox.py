@@ -6,9 +6,11 @@ running total over the distinct times, and a sum to one row; the driver
 solves a p x p system. Risk sets are never enumerated.
 
 Ties follow Efron. For `d` deaths at one time with risk-set total S0 and
-death total E0 the l-th term uses phi_l = S0 - l/d * E0. Only six sums over l
-are needed, and times with very many deaths are cut into chunks of l so that
-no single row carries them.
+death total E0 the l-th term uses phi_l = S0 - l/d * E0, l = 0..d-1. All that
+is needed are the sums over l of 1/phi, 1/phi^2 and ln phi. The last terms are
+added one by one and the others by the Euler-Maclaurin formula, which is exact
+to rounding there, so a time with millions of deaths costs no more than one
+with twenty.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from lapse.functions.tails import chi2_tail, normal_quantile, normal_two_sided,
 from lapse.operators.running import SLICE, lookup_join, running_totals, sliced
 from lapse.sources.session import pin
 
-EFRON_CHUNK = 4096
+# deaths at one time whose terms are added one by one
+EFRON_TERMS = 16
 # a log hazard per standard deviation beyond this is a likelihood without a maximum
 RUNAWAY = 15.0
 
@@ -144,27 +147,55 @@ def _tie_sums(per_time: DataFrame, ties: str) -> DataFrame:
     """Times with deaths, with the sums over l of 1/phi and so on.
 
     a, b: sum of 1/phi, (l/d)/phi;  c, f, g: sum of 1, l/d, (l/d)^2 over phi^2;
-    h: sum of ln phi. Efron rows cover chunks of l; sums over a time need all its rows.
+    h: sum of ln phi. As l/d = (s0 - phi) / e0, b, f and g follow from a and c.
     """
     deaths = per_time.where("d > 0")
     if ties == "breslow":
         return deaths.selectExpr(
-            "*", "1 AS opening", "d / s0 AS a", "0.0D AS b", "d / (s0 * s0) AS c", "0.0D AS f", "0.0D AS g",
-            "d * ln(s0) AS h",
+            "*", "d / s0 AS a", "0.0D AS b", "d / (s0 * s0) AS c", "0.0D AS f", "0.0D AS g", "d * ln(s0) AS h"
         )
-    chunks = deaths.withColumn("_from", F.expr(f"explode(sequence(0L, d - 1, {EFRON_CHUNK}L))"))
-    start = "named_struct('a', 0.0D, 'b', 0.0D, 'c', 0.0D, 'f', 0.0D, 'g', 0.0D, 'h', 0.0D)"
-    phi = "(s0 - l / d * e0)"
-    step = (
-        f"named_struct('a', acc.a + 1 / {phi}, 'b', acc.b + l / d / {phi}, 'c', acc.c + 1 / ({phi} * {phi}), "
-        f"'f', acc.f + l / d / ({phi} * {phi}), 'g', acc.g + l / d * l / d / ({phi} * {phi}), 'h', acc.h + ln({phi}))"
+    phi = "(s0 - l * _u)"
+    one_by_one = (
+        f"aggregate(sequence(_m, d - 1), named_struct('a', 0.0D, 'c', 0.0D, 'h', 0.0D), (acc, l) -> named_struct("
+        f"'a', acc.a + 1 / {phi}, 'c', acc.c + 1 / ({phi} * {phi}), 'h', acc.h + ln({phi})))"
     )
-    folded = f"aggregate(sequence(_from, least(_from + {EFRON_CHUNK}, d) - 1), {start}, (acc, l) -> {step})"
-    return (
-        chunks.withColumn("_ties", F.expr(folded))
-        .withColumn("opening", (F.col("_from") == 0).cast("int"))
-        .selectExpr("* EXCEPT (_ties, _from)", "_ties.*")
+    # the first _m terms run from s0 down to just above _low, in steps of _u
+    span = "-log1p(-_m * _u / s0)"
+    smooth = {
+        "a": f"{span} / _u + " + _euler_maclaurin(lambda x: f"1 / {x}", [(1, -1), (3, -6), (5, -120), (7, -5040)], 1),
+        "c": "(1 / _low - 1 / s0) / _u + "
+        + _euler_maclaurin(lambda x: f"1 / ({x} * {x})", [(1, -2), (3, -24), (5, -720), (7, -40320)], 2),
+        "h": f"(s0 * {span} / _u + _m * ln(_low) - _m) + "
+        + _euler_maclaurin(lambda x: f"ln({x})", [(1, 1), (3, 2), (5, 24), (7, 720)], 0),
+    }
+    prepared = deaths.selectExpr("*", "e0 / d AS _u", f"greatest(d - {EFRON_TERMS}, 0L) AS _m").selectExpr(
+        "*", "s0 - _m * _u AS _low", f"{one_by_one} AS _last"
     )
+    sums = prepared.selectExpr(
+        "* EXCEPT (_u, _m, _low, _last)",
+        *[f"_last.{name} + if(_m = 0, 0.0D, {term}) AS {name}" for name, term in smooth.items()],
+    )
+    return sums.selectExpr(
+        "*",
+        "(s0 * a - d) / e0 AS b",
+        "(s0 * c - a) / e0 AS f",
+        "(s0 * s0 * c - 2 * s0 * a + d) / (e0 * e0) AS g",
+    )
+
+
+def _euler_maclaurin(term, derivatives, power: int) -> str:
+    """Corrections for the sum of term(x) over x = _low + _u, ..., s0 beyond its integral.
+
+    `derivatives` lists (order, factor): that derivative is factor / x^(order + power).
+    """
+    # B_2k / (2k)! for k = 1..4.
+    weights = {1: 1 / 12, 3: -1 / 720, 5: 1 / 30240, 7: -1 / 1209600}
+    parts = [f"({term('s0')} - {term('_low')}) / 2"]
+    for order, factor in derivatives:
+        parts.append(
+            f"{weights[order] * factor!r}D * pow(_u, {order}) * (pow(s0, -{order + power}) - pow(_low, -{order + power}))"
+        )
+    return " + ".join(parts)
 
 
 def _evaluate(table, beta, means, scales, strata, ties) -> tuple[float, np.ndarray, np.ndarray]:
@@ -172,8 +203,8 @@ def _evaluate(table, beta, means, scales, strata, ties) -> tuple[float, np.ndarr
     p = len(beta)
     terms = _tie_sums(_per_time(table, beta, means, scales, strata), ties)
     score_x = " + ".join(f"{float(b)!r}D * ex_{j}" for j, b in enumerate(beta)) or "0.0D"
-    wanted = [f"sum(opening * ({score_x}) - h) AS value"]
-    wanted += [f"sum(opening * ex_{j} - (a * s1_{j} - b * e1_{j})) AS g{j}" for j in range(p)]
+    wanted = [f"sum({score_x} - h) AS value"]
+    wanted += [f"sum(ex_{j} - (a * s1_{j} - b * e1_{j})) AS g{j}" for j in range(p)]
     wanted += [
         f"sum(a * s2_{j}_{k} - b * e2_{j}_{k} - (c * s1_{j} * s1_{k} - f * (s1_{j} * e1_{k} + e1_{j} * s1_{k}) "
         f"+ g * e1_{j} * e1_{k})) AS i{j}_{k}"
@@ -406,10 +437,8 @@ def _schoenfeld(model: CoxModel) -> DataFrame:
     p = len(model.covariates)
     means = [float(m) for m in model.means]
     per_time = _per_time(model.table, model.coef, means, [1.0] * p, model.keys, second_order=False)
-    terms = _tie_sums(per_time, model.ties)
-    centre = (
-        terms.groupBy(*model.keys, "t")
-        .agg(*[F.expr(f"sum(a * s1_{j} - b * e1_{j}) / first(d) AS c{j}") for j in range(p)])
+    centre = _tie_sums(per_time, model.ties).selectExpr(
+        *model.keys, "t", *[f"(a * s1_{j} - b * e1_{j}) / d AS c{j}" for j in range(p)]
     )
     events = model.table.where("e = 1").drop(SLICE)
     residuals = lookup_join(events, centre, [*model.keys, "t"]).selectExpr(

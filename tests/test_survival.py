@@ -193,12 +193,16 @@ def test_cox_recovers_known_coefficients(spark):
     assert metrics["partial_aic"] == pytest.approx(-2 * model.log_likelihood + 4)
 
 
-def test_efron_chunks_add_up(spark, monkeypatch):
-    df = table(spark, [(1, 1, i % 2) for i in range(20)] + [(2, i % 2, 1) for i in range(9)], "t int, e int, x int")
-    whole = cox.fit_cox(df, "t", "e", ["x"])
-    monkeypatch.setattr(cox, "EFRON_CHUNK", 3)
-    chunked = cox.fit_cox(df, "t", "e", ["x"])
-    assert chunked.coef == pytest.approx(whole.coef) and chunked.log_likelihood == pytest.approx(whole.log_likelihood)
+def test_efron_with_very_many_ties(spark):
+    rng = random.Random(8)
+    # hundreds of deaths at each of three times, and everyone dies at the last one
+    data = [(i, t, int(t == 3 or rng.random() < 0.8), rng.randint(0, 1), round(rng.gauss(0, 1), 1)) for i in range(900) for t in [rng.randint(1, 3)]]
+    df = spark.createDataFrame(data, "id int, t int, e int, x int, y double")
+    beta, ll, info = brute_cox(data)
+    model = cox.fit_cox(df, "t", "e", ["x", "y"])
+    assert model.coef == pytest.approx(beta, abs=1e-9)
+    assert model.log_likelihood == pytest.approx(ll, abs=1e-8)
+    assert model.covariance == pytest.approx(np.linalg.inv(info), abs=1e-10)
 
 
 def test_score_test_is_the_logrank_without_ties(spark):
