@@ -10,8 +10,19 @@ LOWEST_SEGMENT = "Low-Value"
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Complete 24-hour periods from `start` to `end` (not calendar days)."""
-    return F.timestamp_diff("DAY", start, end)
+    """Complete 24-hour periods from `start` to `end` (not calendar days, and the
+    same in every session time zone)."""
+    return F.extract(F.lit("DAY"), end - start).cast("long")
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    gap = end - start
+
+    def part(name: str) -> Column:
+        return F.extract(F.lit(name), gap)
+
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def yes_flag(column: Column) -> Column:

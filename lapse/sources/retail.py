@@ -7,9 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lapse.functions.scalars import whole_days
-
-SECONDS_PER_DAY = 86_400
+from lapse.functions.scalars import micros_between, whole_days
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -125,9 +123,7 @@ def event_gaps(spark: SparkSession, root: str) -> DataFrame:
         "event_id",
         "user_id",
         F.col("event_type").alias("kind"),
-        (
-            F.timestamp_diff("MICROSECOND", F.col("ts"), F.coalesce(following, newest)) / F.lit(1e6)
-        ).alias("duration"),
+        (micros_between(F.col("ts"), F.coalesce(following, newest)) / F.lit(1e6)).alias("duration"),
         following.isNotNull().cast("int").alias("event"),
     )
 
