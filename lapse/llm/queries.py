@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.llm import language, simhash
-from lapse.llm.common import table
+from lapse.llm import bpe, fingerprint, language, lines, packing, pii, quality, sharding, simhash, warc
+from lapse.llm.common import shared_folder, table
+from lapse.sources.session import pin
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +18,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4))
@@ -23,6 +30,72 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_language_id)}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    spans = F.col("spans")
+    counts = [pii.counted(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.sha2(pii.listed(spans, base=True), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    # the payloads are checked while they are read and not kept
+    records = pin(warc.read(spark, folder).drop("payload"))
+    found = warc.assemble(records)
+    page = warc.field(F.col("metadata"), "page-id").cast("long")
+    found = pin(found.select("capture_id", page.alias("page_id"), "response.*"))
+    origin = found.where("record_type = 'response'").select(
+        F.col("capture_id").alias("_origin"), F.col("page_id").alias("_page")
+    )
+    joined = found.join(origin, F.col("refers_to") == F.col("_origin"), "left")
+    return joined.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to")
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicate(docs).select("doc_id", "lines_removed", "text")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = pin(quality.statistics(docs))
+    rules = quality.learn(stats, table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return stats.select(
+        "doc_id", *quality.BASE, failed.alias("base_failed"), (~failed & quality.verdict(rules)).alias("kept")
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_dedup, op2_bpe, op3_pii, op4_fingerprints, op5_language_id, op6_sharding, op7_warc,
+        op8_line_dedup, op9_quality_rules, op10_packing,
+    )
+}
 
 SQL: dict[str, str] = {}
