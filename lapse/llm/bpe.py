@@ -2,8 +2,8 @@
 
 A BPE encoding extends like this: if a word's last token is t, what stands before
 t is encoded as that prefix is by itself, and t can follow only tokens it is
-compatible with (the two, merged from symbols side by side, stay apart). So a
-prefix is described by its last token alone. Distinct words go into a trie;
+compatible with (the letters of the two, merged side by side, end as these two).
+So a prefix is described by its last token alone. Distinct words go into a trie;
 a depth-first walk finds each node's last token among the vocabulary's entries
 that end there, and words with a common prefix share its nodes and its work.
 A word's ids are read back from its last node upwards. The trie and the words'
@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,21 +27,46 @@ from tokenizers import Tokenizer
 from lapse.llm.common import by_bytes
 
 END = "</w>"
-#: Trie nodes and remembered pieces a worker holds; beyond that it starts anew. Results do not depend on it.
-MOST_NODES = 100_000
-MOST_PIECES = 100_000
+#: Trie nodes, token pairs and encoded words a worker holds; beyond that it starts anew. Results do not depend on it.
+MOST_NODES = 250_000
+MOST_PAIRS = 200_000
+MOST_WORDS = 200_000
 
-#: What the tokenizer calls white space (fixed values: the White_Space property).
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES = re.compile(f"[{_SPACE}]+")
-#: str.split() cuts at these too.
-_ALSO_SPLIT = re.compile("[\x1c-\x1f]")
+_NEVER = 1 << 60
+
+#: Below this code point normal form changes nothing, lower case stays below it, and every edition of Unicode agrees.
+PLAIN = 0x180
+#: Of the plain characters, U+0130 changes length in lower case, and U+0000 marks words here.
+_NOT_PLAIN = re.compile("[\x00\u0130\u0180-\U0010ffff]")
+#: The word pattern (a fixed value of the tokenizer file) that is known here.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _plain_words() -> re.Pattern:
+    """`_PATTERN` for plain text."""
+
+    def held(category: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == category)
+
+    letters, digits, spaces = held("L"), held("N"), r"\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
+
+
+_WORDS = _plain_words()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256, 257, ..."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+Side = list[tuple[str, int]]
 
 
 class Vocabulary:
-    """Tokens, merge ranks and special strings of a tokenizer file with word ends. Its character rules
-    (normal form, case, word pattern, byte letters) are applied by the public library, so that they
-    follow the same edition of Unicode; merging is done here."""
+    """Tokens, merge ranks and special strings of a tokenizer file with word ends."""
 
     def __init__(self, file: str):
         spec = json.loads(file)
@@ -51,19 +77,28 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        # character rules (normal form, case, word pattern) of text that is not plain
         rules = Tokenizer.from_str(file)
         self.normalizer, self.pre_tokenizer = rules.normalizer, rules.pre_tokenizer
-        self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.names = {i: t for t, i in (self.ids | self.special).items()}
-
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merge the pair of least rank, leftmost first, until none is left."""
+        cut = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.plain = cut == [_PATTERN]
+        self.letters = [_byte_letters()[b] for b in range(256)]
+
+    def merge(self, symbols: list[str]) -> tuple[list[str], Side, Side]:
+        """Merge the pair of least rank, leftmost first, until none is left. Also what the first and the
+        last symbol were in turn, each with the rank of the merge that ended it."""
+        first, last = [], []
         while len(symbols) > 1:
-            rank, at = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 60:
+            rank, at = min((self.rank.get(p, _NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if rank == _NEVER:
                 break
+            if at == 0:
+                first.append((symbols[0], rank))
+            if at == len(symbols) - 2:
+                last.append((symbols[-1], rank))
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
-        return symbols
+        return symbols, [*first, (symbols[0], _NEVER)], [*last, (symbols[-1], _NEVER)]
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -71,158 +106,147 @@ class Vocabulary:
         return [*body[:-1], body[-1] + END] if len(body) < len(token) else [*body]
 
 
-class Node:
-    """A prefix: its children by letter, its last token and the node before that token;
-    `word`: the same for the word that ends here."""
-
-    __slots__ = ("children", "last", "back", "word")
-
-    def __init__(self):
-        self.children: dict[str, Node] = {}
-        self.last: str | None = None
-        self.back: Node | None = None
-        self.word: tuple[str, Node] | None = None
-
-
 class Trie:
+    """Prefixes of the words met so far. A node is found by its letters and holds where its last token
+    starts; the encoding of what stands before is that of the node there."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes = Node(), 0
+        self.nodes: dict[str, int] = {}
+        #: By token, and "" for the start of a word: whether another token can stand next.
+        self.after: dict[str, dict[str, bool]] = {"": {}}
+        self.sides: dict[str, tuple[Side, Side, bool] | None] = {}
+        self.pairs = 0
 
-    def encode(self, words: list[str]) -> dict[str, list[str]]:
+    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word (in byte letters). Words in sorted order are the depth-first
         walk: what a word shares with the one before stays on the path."""
-        if self.nodes > MOST_NODES:
+        if len(self.nodes) > MOST_NODES or self.pairs > MOST_PAIRS:
             self.clear()
-        longest = self.vocabulary.longest
-        tokens, path, before = {}, [self.root], ""
+        nodes, after = self.nodes, self.after
+        # along the path: where the last token starts, and what can follow it
+        tokens, starts, follows, before = {}, [0], [after[""]], ""
         for word in sorted(words):
-            shared = 0
-            while shared < len(before) and shared < len(word) and before[shared] == word[shared]:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
+            del starts[shared + 1 :], follows[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                child = path[-1].children.get(word[depth - 1])
-                if child is None:
-                    child = path[-1].children[word[depth - 1]] = Node()
-                    self.nodes += 1
-                path.append(child)
-                if child.last is None:
-                    child.last, child.back = self._state(word[max(0, depth - longest) : depth], path, "")
-            if path[-1].word is None:
-                path[-1].word = self._state(word[-longest:], path, END)
-            tokens[word] = self._read(path[-1])
+                prefix = word[:depth]
+                start = nodes.get(prefix)
+                if start is None:
+                    start = nodes[prefix] = self._start(word, depth, starts, follows, "")
+                starts.append(start)
+                token = word[start:depth]
+                follow = after.get(token)
+                if follow is None:
+                    follow = after[token] = {}
+                follows.append(follow)
+            at = self._start(word, len(word), starts, follows, END)
+            found = [word[at:] + END]
+            while at:
+                start = starts[at]
+                found.append(word[start:at])
+                at = start
+            found.reverse()
+            tokens[word] = found
             before = word
         return tokens
 
-    def _state(self, text: str, path: list[Node], end: str) -> tuple[str, Node]:
-        """The one entry that ends at the path's last node and is compatible with what stands before it."""
+    def _start(self, word: str, depth: int, starts: list[int], follows: list[dict[str, bool]], end: str) -> int:
+        """Where the one entry starts that ends at this depth and is compatible with what stands before it."""
         ids = self.vocabulary.ids
-        depth = len(path) - 1
-        for size in range(min(len(text), depth), 0, -1):
-            token = text[len(text) - size :] + end
+        for start in range(depth - 1, max(-1, depth - self.vocabulary.longest - 1), -1):
+            token = word[start:depth] + end
             if token in ids:
-                before = path[depth - size]
-                if self._stays(token) if before is self.root else self._follows(before.last, token):
-                    return token, before
-        raise ValueError(f"no token ends {text!r}")
-
-    def _stays(self, token: str) -> bool:
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = len(self.vocabulary.merge(Vocabulary.symbols(token))) == 1
-        return known
-
-    def _follows(self, left: str, right: str) -> bool:
-        known = self.follows.get((left, right))
-        if known is None:
-            known = self._stays(right) and self.vocabulary.merge(
-                Vocabulary.symbols(left) + Vocabulary.symbols(right)
-            ) == [left, right]
-            if len(self.follows) > MOST_NODES:
-                self.follows.clear()
-            self.follows[left, right] = known
-        return known
-
-    def _read(self, node: Node) -> list[str]:
-        token, node = node.word
-        tokens = [token]
-        while node is not self.root:
-            tokens.append(node.last)
-            node = node.back
-        return tokens[::-1]
+                fits = follows[start].get(token)
+                if fits is None:
+                    fits = follows[start][token] = self._fits(word[starts[start] : start], token)
+                    self.pairs += 1
+                if fits:
+                    return start
+        raise ValueError(f"no token ends {word[:depth]!r}")
+
+    def _sides(self, token: str) -> tuple[Side, Side, bool] | None:
+        """A token's first and last symbols in turn, and whether their ranks rise; None if its letters
+        do not merge to it."""
+        if token not in self.sides:
+            merged, first, last = self.vocabulary.merge(Vocabulary.symbols(token))
+            ranked = all(x[1] < y[1] for side in (first, last) for x, y in zip(side, side[1:], strict=False))
+            self.sides[token] = (first, last, ranked) if len(merged) == 1 else None
+        return self.sides[token]
+
+    def _fits(self, left: str, right: str) -> bool:
+        """Whether the letters of both merge to just these two: as symbols grow on either side of the
+        border, no pair across it is ever due before the next merge on its own side."""
+        after = self._sides(right)
+        if after is None or not left:
+            return after is not None
+        before = self._sides(left)
+        if not (after[2] and before[2]):  # merges out of the order of ranks: try it
+            symbols = Vocabulary.symbols(left) + Vocabulary.symbols(right)
+            return self.vocabulary.merge(symbols)[0] == [left, right]
+        rank, i, j = self.vocabulary.rank, 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = before[1][i], after[0][j]
+            across = rank.get((a, b), _NEVER)
+            # of equal ranks the left one is merged first
+            if across < a_ends and across <= b_ends:
+                return False
+            if a_ends == b_ends == _NEVER:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
 
 
 class Encoder:
-    """Texts to ids; remembers the pieces between white space that it has met."""
+    """Texts to ids; remembers the words that it has met."""
 
     def __init__(self, file: str):
         self.vocabulary = Vocabulary(file)
         self.trie = Trie(self.vocabulary)
-        #: piece: (number of ids, ids joined by spaces, tokens joined by spaces)
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def parts(self, text: str) -> Iterator[str]:
-        """The text between special strings, and those, in order."""
-        found = self.vocabulary.specials and self.vocabulary.specials.search(text)
-        if not found:
-            yield text
-            return
-        at = 0
-        for m in self.vocabulary.specials.finditer(text):
-            yield text[at : m.start()]
-            yield m.group()
-            at = m.end()
-        yield text[at:]
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces between white space; special strings are pieces of their own."""
-        found: list[str] = []
-        for part in self.parts(text):
-            if part in self.vocabulary.special:
-                found.append(part)
-            elif _ALSO_SPLIT.search(part):
-                found += [p for p in _SPACES.split(part) if p]
+        self.names = {t: str(i) for t, i in self.vocabulary.ids.items()}
+        #: Ids joined by spaces, by word; a zero byte comes before words in byte letters, two before special strings.
+        self.known: dict[str, str] = {}
+
+    def _words(self, text: str) -> list[str]:
+        rules, words = self.vocabulary, []
+        for i, part in enumerate(rules.specials.split(text) if rules.specials else [text]):
+            if i % 2:
+                words.append("\0\0" + part)
+            elif rules.plain and not _NOT_PLAIN.search(part):
+                words += _WORDS.findall(part.lower())
             else:
-                found += part.split()
-        return found
-
-    def words(self, piece: str) -> list[str]:
-        """A piece's words in byte letters."""
-        rules = self.vocabulary
-        return [w for w, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(piece))]
-
-    def learn(self, pieces: set[str]) -> None:
-        special, ids = self.vocabulary.special, self.vocabulary.ids
-        words = {p: self.words(p) for p in pieces if p not in special}
-        tokens = self.trie.encode(list({w for ws in words.values() for w in ws}))
-        for p, ws in words.items():
-            found = [t for w in ws for t in tokens[w]]
-            self.known[p] = len(found), " ".join([str(ids[t]) for t in found]), " ".join(found)
-        for p in pieces & special.keys():
-            self.known[p] = 1, str(special[p]), p
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, tokens joined by spaces) of each text."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > MOST_PIECES:
+                cut = rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(part))
+                words += ["\0" + w for w, _ in cut]
+        return words
+
+    def _learn(self, words: set[str]) -> None:
+        rules, spelt = self.vocabulary, {}
+        for w in words:
+            if w.startswith("\0\0"):
+                self.known[w] = str(rules.special[w[2:]])
+            elif w[0] == "\0":
+                spelt[w] = w[1:]
+            else:
+                spelt[w] = "".join([rules.letters[b] for b in w.encode()])
+        tokens, names = self.trie.encode(set(spelt.values())), self.names
+        for w, spelling in spelt.items():
+            self.known[w] = " ".join([names[t] for t in tokens[spelling]])
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """Ids of each text, joined by spaces."""
+        cut = [self._words(t) for t in texts]
+        if len(self.known) > MOST_WORDS:
             self.known.clear()
-        self.learn({p for pieces in cut for p in pieces} - self.known.keys())
-        known, out = self.known, []
-        for pieces in cut:
-            got = [x for p in pieces if (x := known[p])[0]]
-            out.append((sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as a tokenizer file without a decoder decodes; unknown ids are left out."""
-        names = self.vocabulary.names
-        return " ".join([names[i] for i in ids if i in names])
+        known = self.known
+        self._learn({w for words in cut for w in words if w not in known})
+        return [" ".join([known[w] for w in words]) for words in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -237,6 +261,18 @@ def _encoder(file: str) -> Encoder:
     return _ENCODERS[name]
 
 
+def token_names(file: str) -> dict[str, str]:
+    """Tokens by decimal id."""
+    spec = json.loads(file)
+    names = {str(i): t for t, i in spec["model"]["vocab"].items()}
+    return names | {str(t["id"]): t["content"] for t in spec["added_tokens"]}
+
+
+def text_of(ids: str, names: dict[str, str]) -> str:
+    """Tokens joined by spaces, as a tokenizer file without a decoder decodes; unknown ids are left out."""
+    return " ".join([names[i] for i in ids.split() if i in names])
+
+
 def encode(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
     """`docs` with `n_tokens long, ids string`, every column kept (a clashing one is replaced).
 
@@ -250,7 +286,8 @@ def encode(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
         encoder = _encoder(shared.value)
         for batch in by_bytes(batches, text, 4 << 20):
             found = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
-            added = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.string())]
+            counts = [x.count(" ") + 1 if x else 0 for x in found]
+            added = [pa.array(counts, pa.int64()), pa.array(found, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "n_tokens", "ids"])
 
     return docs.mapInArrow(run, schema)
@@ -263,12 +300,9 @@ def decode(docs: DataFrame, file: str, ids: str = "ids") -> DataFrame:
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("decoded string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {str(i): t for i, t in _encoder(shared.value).vocabulary.names.items()}
+        names = token_names(shared.value)
         for batch in by_bytes(batches, ids, 4 << 20):
-            found = [
-                None if x is None else " ".join([names[i] for i in x.split()])
-                for x in batch.column(ids).to_pylist()
-            ]
+            found = [None if x is None else text_of(x, names) for x in batch.column(ids).to_pylist()]
             column = pa.array(found, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "decoded"])
 
