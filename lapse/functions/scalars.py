@@ -62,3 +62,8 @@ def logistic(z: Column) -> Column:
 def rounded(column: Column, places: int) -> Column:
     """round() with negative zero folded to zero, for printing and comparing."""
     return F.round(column, places) + F.lit(0.0)
+
+
+def text_literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lapse.functions.scalars import log1p_exp, logistic
 from lapse.functions.tails import chi2_tail, normal_log_survival, surprise
 from lapse.operators.cox import COEFFICIENT_SCHEMA, _scales, coefficient_rows, risk_table
+from lapse.operators.running import present
 
 # Names of the location and shape parameter of each family.
 PARAMETERS = {"loglogistic": ("alpha_", "beta_"), "weibull": ("lambda_", "rho_"), "lognormal": ("mu_", "sigma_")}
@@ -230,11 +231,17 @@ def median(spark: SparkSession, model: AftModel) -> DataFrame:
 
 
 def fit_weibull_library(
-    df: DataFrame, duration: str, event: str, covariates: Sequence[str], max_iter: int = 100
+    df: DataFrame, duration: str, event: str, covariates: Sequence[str], max_iter: int = 100, shift: float = 0.0
 ) -> DataFrame:
-    """Weibull by the built-in learner: parameter, covariate, coef (location) and ln k (shape)."""
-    ready = df.where(F.col(duration) > 0).select(
-        F.col(duration).cast("double").alias("label"), F.col(event).cast("double").alias("censor"), *[f"`{c}`" for c in covariates]
+    """Weibull by the built-in learner: parameter, covariate, coef (location) and ln k (shape).
+    `shift` is added to every duration; a duration that is not positive then is refused, as
+    `fit_aft` does, and rows with a missing value are left out."""
+    df = df.where(present(df, duration, event, *covariates))
+    least = df.agg(F.min(duration)).first()[0]
+    if least is not None and least + shift <= 0:
+        raise ValueError(f"durations must be positive, the smallest is {least}: pass shift=")
+    ready = df.select(
+        (F.col(duration) + shift).cast("double").alias("label"), F.col(event).cast("double").alias("censor"), *[f"`{c}`" for c in covariates]
     )
     points = VectorAssembler(inputCols=list(covariates), outputCol="features").transform(ready)
     model = AFTSurvivalRegression(maxIter=max_iter).fit(points)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import random
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import Imputer, ImputerModel, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,7 @@ from lapse.sources.tables import finished_versions, mark_finished
 # up to 1, so its own default of 0.1 stands in for a rate of 3.285.
 FEATURES = ("MonthlySpend", "Tenure", "TotalSpend")
 MAX_ROUNDS = 2005
+PATIENCE = 5
 PARAMETERS = {
     "maxDepth": 6,
     "maxBins": 221,
@@ -62,10 +64,39 @@ def fit_preprocessing(train: DataFrame, features: Sequence[str] = FEATURES) -> P
     return PipelineModel([coerce, imputer, standardise, VectorAssembler(inputCols=scaled, outputCol="features")])
 
 
-def learner(max_rounds: int, **overrides) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol="_label", validationIndicatorCol="_is_val", maxIter=max_rounds, **{**PARAMETERS, **overrides}
-    )
+def learner(rounds: int, **overrides) -> GBTClassifier:
+    return GBTClassifier(labelCol="_label", maxIter=rounds, **{**PARAMETERS, **overrides})
+
+
+def boosted(rows: DataFrame, max_rounds: int, patience: int = PATIENCE, **overrides) -> GBTClassificationModel:
+    """The rounds with the least validation loss, found with `patience` rounds without a better one.
+
+    The learner's own early stopping gives up after one round, so rounds are grown without it, 8 and
+    then twice as many, until the losses after each round show that the patience is used up or the
+    limit is reached. Growing is deterministic: the first rounds are the same every time.
+    """
+    train, validation = rows.where("NOT _is_val"), rows.where("_is_val")
+    rounds = min(8, max_rounds)
+    while True:
+        model = learner(rounds, **overrides).fit(train)
+        losses = model.evaluateEachIteration(validation)
+        best, stopped = best_round(losses, patience)
+        if stopped or rounds == max_rounds:
+            break
+        rounds = min(2 * rounds, max_rounds)
+    return model if best == rounds else learner(best, **overrides).fit(train)
+
+
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Number of the round (from 1) with the least loss before `patience` rounds in a row brought no
+    better one, and whether that happened."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def _prepared(df: DataFrame, label: str, split: str, preprocessing: PipelineModel) -> DataFrame:
@@ -83,13 +114,9 @@ def train_gbt(
     max_rounds: int = MAX_ROUNDS,
     **overrides,
 ) -> PipelineModel:
-    """Boosted trees with early stopping on the validation split.
-
-    The learner stops when a round improves the validation loss too little
-    (`validationTol`) and keeps the best round.
-    """
+    """Boosted trees with early stopping on the validation split (see `boosted`)."""
     preprocessing = fit_preprocessing(df.where(F.col(split) == "train"), features)
-    fitted = learner(max_rounds, **overrides).fit(pin(_prepared(df, label, split, preprocessing)))
+    fitted = boosted(pin(_prepared(df, label, split, preprocessing)), max_rounds, **overrides)
     return PipelineModel([*preprocessing.stages, fitted])
 
 
@@ -105,7 +132,7 @@ def trials(
     label: str = "ChurnBool",
     split: str = "split",
     features: Sequence[str] = FEATURES,
-    max_rounds: int = 20,
+    max_rounds: int = MAX_ROUNDS,
     parallelism: int = 4,
 ) -> tuple[DataFrame, PipelineModel]:
     """Fit every parameter set, score the validation split, and return the trials
@@ -118,7 +145,7 @@ def trials(
     validation = rows.where("_is_val")
 
     def run(parameters: Mapping):
-        model = learner(max_rounds, **parameters).fit(rows)
+        model = boosted(rows, max_rounds, **parameters)
         scored = model.transform(validation).withColumn("p", vector_to_array("probability")[1])
         return model, binary_metrics(scored, "_label", "p").first()
 
@@ -137,8 +164,10 @@ def trials(
 
 def batch_score(table: DataFrame, model: Model, output: str = "Churn") -> DataFrame:
     """The table plus `prediction` (label), `probability` of churn, and the label again
-    under the output name. Such columns from an earlier scoring are replaced."""
+    under the output name. Such columns from an earlier scoring are replaced. A feature that is
+    missing in every row is reported, as all its values are then the training mean."""
     table = table.drop(output, "prediction", "probability")
+    _report_missing(table, model)
     scored = model.transform(table)
     probability = F.col("probability")
     if scored.schema["probability"].dataType.typeName() != "double":
@@ -151,6 +180,19 @@ def batch_score(table: DataFrame, model: Model, output: str = "Churn") -> DataFr
     )
 
 
+def _report_missing(table: DataFrame, model: Model) -> None:
+    stages = getattr(model, "stages", [])
+    at = next((i for i, stage in enumerate(stages) if isinstance(stage, ImputerModel)), None)
+    if at is None:
+        return
+    names = stages[at].getInputCols()
+    coerced = PipelineModel(stages[:at]).transform(table)
+    held = coerced.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in names]).first()
+    for c in names:
+        if held["_rows"] and not held[c]:
+            warnings.warn(f"{c.removeprefix('num_')} is missing in every row and is filled", stacklevel=3)
+
+
 def score_with(table: DataFrame, predict: Callable, output: str = "Churn") -> DataFrame:
     """Score with a foreign model: `predict` maps a pandas frame of all columns to one
     number per row and is applied to Arrow batches on the executors."""

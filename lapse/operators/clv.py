@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lapse.functions.scalars import discounted
 from lapse.operators.cox import CoxModel, baseline_hazard, predict_survival, relative_risk
 from lapse.operators.kaplan_meier import at_times
+from lapse.operators.running import same_keys_join
 
 # Monthly profit of the plan, default annual rate, reported months.
 MONTHLY_PROFIT = 30.0
@@ -47,21 +48,25 @@ def payback(
 
     Month m is shown as contract month m + 1; month 0 has survival 1. `dense`
     gives every month up to the horizon (a step function holds its last
-    value); otherwise only observed times appear, after the extra month 0.
+    value); otherwise only observed times appear, after the extra month 0. A
+    stratified model has a baseline per stratum: the table then starts with the
+    strata columns and prices every scenario in every stratum.
     """
-    ready = check_scenarios(model, scenarios)
+    ready, strata = check_scenarios(model, scenarios), model.strata
     baseline = baseline_hazard(model)
     if dense:
-        months = at_times(baseline, range(1, horizon), {"cumulative_hazard": 0.0})
-        steps = months.select(F.col("time").alias("t"), "cumulative_hazard")
+        months = at_times(baseline, range(1, horizon), {"cumulative_hazard": 0.0}, strata)
+        steps = months.select(*strata, F.col("time").alias("t"), "cumulative_hazard")
     else:
-        steps = baseline.select(F.col("t").cast("double").alias("t"), "cumulative_hazard")
+        steps = baseline.select(*strata, F.col("t").cast("double").alias("t"), "cumulative_hazard")
     curves = predict_survival(model, ready, steps)
     starts = ", ".join(f"named_struct('row', {i}, 't', 0.0D, 'survival', 1.0D)" for i in range(len(ready)))
-    origin = model.table.sparkSession.sql(f"SELECT inline(array({starts}))")
+    groups = baseline.select(*strata).distinct() if strata else model.table.sparkSession.range(1).select()
+    origin = groups.selectExpr(*[f"`{s}`" for s in strata], f"inline(array({starts}))")
     rates = F.element_at(F.array(*[F.lit(s["rate"]) for s in ready]), F.col("row") + 1)
-    table = origin.unionByName(curves.select("row", "t", F.bround("survival", 2).alias("survival")))
-    return _discount(table.withColumn("rate", rates), profit).select(
+    table = origin.unionByName(curves.select(*strata, "row", "t", F.bround("survival", 2).alias("survival")))
+    return _discount(table.withColumn("rate", rates), profit, strata).select(
+        *strata,
         F.col("row").alias("scenario"),
         (F.col("t").cast("int") + 1).alias("contract_month"),
         "survival",
@@ -72,14 +77,14 @@ def payback(
     )
 
 
-def _discount(table: DataFrame, profit: float) -> DataFrame:
+def _discount(table: DataFrame, profit: float, strata: Sequence[str] = ()) -> DataFrame:
     month = F.col("t").cast("int")
     priced = table.withColumn("expected_profit", F.bround(F.col("survival") * F.lit(profit), 2)).withColumn(
         "npv", F.bround(discounted(F.col("expected_profit"), F.col("rate"), month), 2)
     )
     # `survival` descending keeps the added month 0 ahead of an observed one
     running = (
-        Window.partitionBy("row").orderBy("t", F.desc("survival")).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*strata, "row").orderBy("t", F.desc("survival")).rowsBetween(Window.unboundedPreceding, 0)
     )
     return priced.withColumn("cumulative_npv", F.sum("npv").over(running))
 
@@ -87,18 +92,23 @@ def _discount(table: DataFrame, profit: float) -> DataFrame:
 def milestones(table: DataFrame, months: Sequence[int] = MILESTONES) -> DataFrame:
     """Cumulative NPV at the given contract months, selected by month number."""
     return table.where(F.col("contract_month").isin(list(months))).select(
-        "scenario", "contract_month", "cumulative_npv"
+        *_who(table), "contract_month", "cumulative_npv"
     )
 
 
+def _who(table: DataFrame) -> list[str]:
+    """Strata, if any, and scenario of a payback table."""
+    return table.columns[: table.columns.index("scenario") + 1]
+
+
 def survival_curve(table: DataFrame) -> DataFrame:
-    return table.select("scenario", "contract_month", "survival")
+    return table.select(*_who(table), "contract_month", "survival")
 
 
 def payback_period(table: DataFrame, acquisition_cost: float) -> DataFrame:
     """First contract month whose cumulative NPV covers the cost; NULL if never."""
     covered = F.when(F.col("cumulative_npv") >= acquisition_cost, F.col("contract_month"))
-    return table.groupBy("scenario").agg(F.min(covered).alias("payback_month"))
+    return table.groupBy(*_who(table)).agg(F.min(covered).alias("payback_month"))
 
 
 def customer_ltv(
@@ -113,16 +123,22 @@ def customer_ltv(
 
     The baseline at the horizon's months is an array of `horizon` doubles (a
     scalar subquery), so each customer is valued inside its own row: no join,
-    no shuffle, and no grouping that a common profile could skew.
+    no shuffle, and no grouping that a common profile could skew. A stratified
+    model has one such array per stratum, joined by the strata; a customer in a
+    stratum the model has not seen gets NULL.
     """
-    months = at_times(baseline_hazard(model), range(1, horizon), {"cumulative_hazard": 0.0})
-    hazards = months.agg(
+    strata = model.strata
+    months = at_times(baseline_hazard(model), range(1, horizon), {"cumulative_hazard": 0.0}, strata)
+    arrays = months.groupBy(*strata).agg(
         F.sort_array(F.collect_list(F.struct("time", "cumulative_hazard"))).alias("h")
-    ).select(F.col("h.cumulative_hazard")).scalar()
-    scored = customers.select(
-        F.col(key), relative_risk(model).alias("relative_risk")
-    ).withColumn("_h", hazards)
+    ).select(*strata, F.col("h.cumulative_hazard").alias("_h"))
+    scored = customers.select(F.col(key), *strata, relative_risk(model).alias("relative_risk"))
+    if strata:
+        scored = same_keys_join(scored, arrays, strata, "left")
+    else:
+        scored = scored.withColumn("_h", arrays.scalar())
     survival = "bround(exp(-h * relative_risk), 2)"
     value = f"bround(bround({survival} * {profit!r}D, 2) / pow({1 + rate / 12!r}D, i + 1), 2)"
     total = F.expr(f"aggregate(transform(_h, (h, i) -> {value}), bround({profit!r}D, 2), (total, v) -> total + v)")
+    total = F.when(F.col("_h").isNotNull(), total)
     return scored.select(key, "relative_risk", total.alias("lifetime_value"))

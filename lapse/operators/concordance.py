@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapse.operators.running import ROWS_PER_SLICE, SLICE, lookup_join, running_totals, sliced
+from lapse.operators.running import ROWS_PER_SLICE, SLICE, lookup_join, present, running_totals, sliced
 from lapse.sources.session import pin
 
 
@@ -30,9 +30,9 @@ def concordance(
 ) -> DataFrame:
     """One row: comparable pairs, concordant, tied in score, and the index
     (concordant + tied / 2) / pairs. A high score predicts long survival."""
-    weighted = df.where(
-        F.col(duration).isNotNull() & F.col(event).isNotNull() & F.col(score).isNotNull()
-    ).groupBy(F.col(score).alias("score"), F.col(duration).alias("t"))
+    weighted = df.where(present(df, duration, event, score)).groupBy(
+        F.col(score).alias("score"), F.col(duration).alias("t")
+    )
     rows = weighted.agg(F.sum(F.col(event).cast("long")).alias("d"), F.count(F.lit(1)).alias("n"))
     return count_pairs(pin(rows), rows_per_slice)
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.tails import chi2_tail, normal_quantile, normal_two_sided, surprise
-from lapse.operators.running import SLICE, lookup_join, running_totals, sliced
+from lapse.operators.running import SLICE, lookup_join, present, running_totals, sliced
 from lapse.sources.session import pin
 
 # deaths at one time whose terms are added one by one
@@ -80,11 +80,8 @@ def risk_table(
 ) -> DataFrame:
     """(_stratum0.., t, e, x0.., n), materialised and sliced along t. Rows with a missing
     duration, event or covariate are left out."""
-    complete = F.lit(True)
-    for c in (duration, event, *covariates):
-        complete = complete & F.col(f"`{c}`").isNotNull()
     collapsed = (
-        df.where(complete)
+        df.where(present(df, duration, event, *covariates))
         .groupBy(
             *[F.col(f"`{s}`").alias(key) for s, key in zip(strata, _stratum_keys(strata))],
             F.col(duration).alias("t"),
@@ -250,6 +247,9 @@ def fit_cox(
     if not sizes["events"]:
         raise ValueError("no event was observed")
     means = [float(sizes[f"m{j}"]) for j in range(p)]
+    for name, mean in zip(covariates, means):
+        if not math.isfinite(mean):
+            raise ValueError(f"{name} has an infinite value")
     scales = _scales(table, means)
     for name, scale in zip(covariates, scales):
         if scale == 0:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lapse.operators.running import ROWS_PER_SLICE, SLICE, lookup_join, same_keys_join, sliced
 from lapse.sources.session import pin
 
+#: Distinct (key, value) rows up to which the built-in percentile is used; the answer is the same.
 ONE_PASS_ROWS = 1_000_000
 
 
@@ -21,6 +22,7 @@ def quantiles(
     rows_per_slice: int = 0,
     interpolate: bool = True,
     rows: int | None = None,
+    one_pass_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per key as columns q0, q1, ..., linear between neighbouring
     ranks or, without interpolation, the value at the lower rank.
@@ -31,7 +33,7 @@ def quantiles(
     sorted, each in its own task, so neither a long column nor a hot key is
     ever sorted as a whole. `weight` names the count column of an input that is
     already collapsed, and materialised or cheap to derive: it is read a few times.
-    `rows` is its length, if known.
+    `rows` is its length, if known; `one_pass_rows` replaces `ONE_PASS_ROWS`.
     """
     x = F.col(column).cast("double")
     present = df.where(x.isNotNull() & ~F.isnan(x)).select(
@@ -41,7 +43,7 @@ def quantiles(
         present = pin(present.groupBy(*keys, "_x").agg(F.sum("_n").alias("_n")))
     if rows is None:
         rows = present.count()
-    if interpolate and not rows_per_slice and rows <= ONE_PASS_ROWS:
+    if interpolate and not rows_per_slice and rows <= (ONE_PASS_ROWS if one_pass_rows is None else one_pass_rows):
         shares = ", ".join(f"{float(p)!r}D" for p in probabilities)
         found = present.groupBy(*keys).agg(F.expr(f"percentile(_x, array({shares}), _n)").alias("_q"))
         return found.select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probabilities))])
@@ -110,19 +112,28 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = (), rows_per_slic
 
 
 def nice_step(low: Column, high: Column, at_most: int = 10) -> Column:
-    """Smallest 1, 2 or 5 times a power of ten that covers the span in `at_most` bins."""
+    """Smallest 1, 2 or 5 times a power of ten whose grid (bins start at its multiples) covers
+    the span in `at_most` bins."""
     span = high - low
     power = F.pow(F.lit(10.0), F.floor(F.log10(span / at_most)))
-    step = F.lit(10.0) * power
-    for multiple in (5.0, 2.0, 1.0):
-        step = F.when(span / (F.lit(multiple) * power) <= at_most, F.lit(multiple) * power).otherwise(step)
+    step = F.lit(20.0) * power
+    for multiple in (10.0, 5.0, 2.0, 1.0):
+        tried = F.lit(multiple) * power
+        fits = bin_number(high, tried) - bin_number(low, tried) < at_most
+        step = F.when(fits, tried).otherwise(step)
     return F.when(span > 0, step).otherwise(1.0)
 
 
+def bin_number(x: Column, step: Column) -> Column:
+    """Multiple of `step` at or below x; a quotient that is whole but for rounding counts as whole."""
+    return F.floor(x / step + F.lit(1e-9)).cast("long")
+
+
 def histogram(
     df: DataFrame, column: str, keys: Sequence[str] = (), at_most: int = 10, weight: str | None = None
 ) -> DataFrame:
-    """Bin counts on a readable grid: keys, bin_start, bin_end, count (empty bins omitted)."""
+    """Bin counts on a readable grid: keys, bin_start, bin_end, count (empty bins omitted). Missing
+    and infinite values are left out."""
     x = F.col(column).cast("double")
     present = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     bounds = present.groupBy(*keys).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
@@ -134,10 +145,9 @@ def histogram(
         placed = present.withColumn("_grid", packed).withColumns(
             {"_low": F.col("_grid._low"), "_step": F.col("_grid._step")}
         )
-    bin_number = F.floor(x / F.col("_step")).cast("long")
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
-        placed.groupBy(*keys, bin_number.alias("_bin"), "_step")
+        placed.groupBy(*keys, bin_number(x, F.col("_step")).alias("_bin"), "_step")
         .agg(count.alias("count"))
         .select(
             *keys,

@@ -10,16 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.operators.running import present, running_totals, same_keys_join, sliced
 from lapse.sources.session import pin
 
 CLIP = 1e-15
 
 
 def _score_groups(df, label, score, keys, rows_per_slice) -> DataFrame:
-    """(keys, score): positives, n, and both summed from the highest score down."""
+    """(keys, score): positives, n, and both summed from the highest score down. Rows without a label or score are left out."""
     groups = pin(
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.where(present(df, label, score))
         .groupBy(*keys, F.col(score).alias("threshold"))
         .agg(F.sum(F.col(label).cast("long")).alias("positives"), F.count(F.lit(1)).alias("n"))
     )
@@ -83,14 +83,14 @@ def metrics_table(metrics: DataFrame, split: str, names: dict[str, str]) -> Data
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """All four cells, zeros included: label, prediction, n."""
+    """All four cells, zeros included: label, prediction, n. Rows without a label or a prediction are
+    counted in cells of their own, with NULL there."""
     counts = df.groupBy(
         F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")
     ).agg(F.count(F.lit(1)).alias("n"))
     cells = df.sparkSession.sql("SELECT * FROM VALUES (0, 0), (0, 1), (1, 0), (1, 1) AS cells(label, prediction)")
-    return same_keys_join(cells, counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
+    counted = counts.unionByName(cells.withColumn("n", F.lit(0).cast("long")))
+    return counted.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def _thinned(curve: DataFrame, points: int | None) -> DataFrame:

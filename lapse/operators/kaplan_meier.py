@@ -14,13 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapse.functions.tails import normal_quantile
-from lapse.operators.running import running_totals, same_keys_join, sliced
+from lapse.operators.running import present, running_totals, same_keys_join, sliced
 from lapse.sources.session import pin
 
 
 def _collapsed(df: DataFrame, duration: str, event: str, groups: Sequence[str]) -> DataFrame:
     return (
-        df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
+        df.where(present(df, duration, event))
         .groupBy(*groups, F.col(duration).alias("t"))
         .agg(F.sum(F.col(event).cast("long")).alias("observed"), F.count(F.lit(1)).alias("removed"))
     )

@@ -7,14 +7,18 @@ of (column, value, count), so the input is read twice, not once per section.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lapse.functions.scalars import whole_days
 from lapse.operators import describe
-from lapse.operators.running import BROADCAST_ROWS, running_totals, sliced
+from lapse.operators.running import running_totals, same_keys_join, sliced
 from lapse.sources.session import pin
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -25,8 +29,90 @@ CORRELATED = 0.9
 MOSTLY = 0.5
 
 
+DATE_STATS = (
+    "column string, count long, missing long, distinct long, first timestamp_ntz, last timestamp_ntz, range_days long"
+)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pair_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Correlation of every two columns (doubles) of `df`, called by `names` in the result (a, b, value),
+    over the rows where both are present; NULL when either does not vary there.
+
+    Each batch of rows adds its matrix products to one set of sums per task, so plan and code do
+    not grow with the columns; what is shuffled is a row per pair and task. Columns are first
+    centred and scaled as a whole, so a large mean costs no digits.
+    """
+    columns = df.columns
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, value double")
+    cells = F.array(*[F.coalesce(F.col(c), F.lit(None).cast("double")) for c in columns])
+    width = len(columns)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, low, high = np.zeros(width), np.zeros(width), np.full(width, np.inf), np.full(width, -np.inf)
+        for x, there in _matrices(batches, width):
+            n += there.sum(0)
+            total += np.where(there, x, 0.0).sum(0)
+            low = np.minimum(low, np.where(there, x, np.inf).min(0, initial=np.inf))
+            high = np.maximum(high, np.where(there, x, -np.inf).max(0, initial=-np.inf))
+        arrays = [np.arange(width, dtype=np.int32), n, total, low, high]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["i", "n", "total", "low", "high"])
+
+    rows = df.select(cells.alias("x"))
+    wide = rows.mapInArrow(moments, "i int, n double, total double, low double, high double").groupBy("i")
+    wide = wide.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    centre, scale = np.zeros(width), np.ones(width)
+    for r in wide.collect():
+        if r["n"] and math.isfinite(r["total"]):
+            centre[r["i"]] = r["total"] / r["n"]
+            scale[r["i"]] = (r["high"] - r["low"]) or 1.0
+    upper = np.triu_indices(width, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x_, xx, xy = (np.zeros((width, width)) for _ in range(4))
+        for x, there in _matrices(batches, width):
+            z = np.where(there, (x - centre) / scale, 0.0)
+            there = there.astype(float)
+            n += there.T @ there
+            x_ += z.T @ there  # [i, j]: sum of i over the rows that have j
+            xx += (z * z).T @ there
+            xy += z.T @ z
+        i, j = upper
+        arrays = [i.astype(np.int32), j.astype(np.int32), n[i, j], x_[i, j], x_[j, i], xx[i, j], xx[j, i], xy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["i", "j", *SUMS])
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
+    pairs = rows.mapInArrow(sums, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+    called = F.array(*[F.lit(n) for n in names])
+    # what rounding leaves of a spread that is none
+    least = "1e-14 * n"
+    return pairs.select(
+        F.element_at(called, F.col("i") + 1).alias("a"), F.element_at(called, F.col("j") + 1).alias("b"),
+        F.expr(
+            f"CASE WHEN n > 0 AND NOT (xx - x * x / n <= {least} OR yy - y * y / n <= {least}) "
+            "THEN (xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n)) END"
+        ).alias("value"),
+    )
+
+
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values, and which of them are present, of each batch of arrays of `width` doubles."""
+    for batch in batches:
+        if batch.num_rows:
+            flat = batch.column(0).flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width), there
+
+
 class Profile:
-    """Profile of `df`; columns other than numbers and text are only counted."""
+    """Profile of `df`: numbers, text, dates; columns of other types are only counted."""
 
     def __init__(self, df: DataFrame, drop: Sequence[str] = (), rows_per_slice: int = 0):
         self.df = df.drop(*drop)
@@ -34,13 +120,14 @@ class Profile:
         kinds = dict(self.df.dtypes)
         self.numeric = [c for c in self.df.columns if kinds[c].split("(")[0] in NUMERIC]
         self.categorical = [c for c in self.df.columns if kinds[c] in ("string", "boolean")]
+        self.dates = [c for c in self.df.columns if kinds[c] in ("date", "timestamp", "timestamp_ntz")]
 
     # --- shared tables ---------------------------------------------------------
 
     @cached_property
     def numbers(self) -> DataFrame:
         """(column, x, n) over the numeric columns, materialised."""
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in self.numeric]
+        cells = [F.struct(F.lit(c).alias("column"), F.col(_quoted(c)).cast("double").alias("x")) for c in self.numeric]
         return pin(self._value_counts(cells, "x"))
 
     @cached_property
@@ -70,7 +157,7 @@ class Profile:
             *[
                 F.struct(
                     F.lit(c).alias("column"),
-                    *[F.expr(e.format(c=f"`{c}`")).alias(name) for name, e in aggregates.items()],
+                    *[F.expr(e.format(c=_quoted(c))).alias(name) for name, e in aggregates.items()],
                 ).alias(f"_{i}")
                 for i, c in enumerate(columns)
             ]
@@ -81,9 +168,9 @@ class Profile:
 
     def overview(self) -> DataFrame:
         """rows, columns, missing cells, duplicate rows, and columns by kind."""
-        missing = " + ".join(f"int(isnull(`{c}`))" for c in self.df.columns)
+        missing = " + ".join(f"int(isnull({_quoted(c)}))" for c in self.df.columns)
         totals = self.df.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"coalesce(sum({missing}), 0)").alias("missing_cells"))
-        distinct = self.df.groupBy(*self.df.columns).agg(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
+        distinct = self.df.groupBy(*map(_quoted, self.df.columns)).agg(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
         return totals.select(
             "rows",
             F.lit(len(self.df.columns)).alias("columns"),
@@ -212,52 +299,59 @@ class Profile:
 
     def missing_correlation(self) -> DataFrame:
         """Correlation of the null indicators of every two columns (NULL when one never varies)."""
-        return self._pair_correlation(self.df.columns, "double(int(isnull(`{c}`)))")
-
-    def _pair_correlation(self, columns: Sequence[str], value: str) -> DataFrame:
-        """Correlation of every two columns over the rows where both are present, in one
-        scan; NULL when either does not vary (`corr` raises then)."""
-        pairs = list(combinations(columns, 2))
-        wide = self.df.agg(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"),
-                    F.lit(b).alias("b"),
-                    F.expr(
-                        "try_divide(covar_pop({x}, {y}), stddev_pop(if({y} IS NULL, NULL, {x})) * "
-                        "stddev_pop(if({x} IS NULL, NULL, {y})))".format(x=value.format(c=a), y=value.format(c=b))
-                    ).alias("value"),
-                ).alias(f"_{i}")
-                for i, (a, b) in enumerate(pairs)
-            ]
-        )
-        return wide.select(F.inline(F.array(*[f"_{i}" for i in range(len(pairs))])))
+        flags = self.df.select(*[F.col(_quoted(c)).isNull().cast("double").alias(f"c{i}") for i, c in enumerate(self.df.columns)])
+        return pair_correlation(flags, self.df.columns)
 
     def pearson(self) -> DataFrame:
-        return self._pair_correlation(self.numeric, "double(`{c}`)")
+        """Correlation of every two numeric columns over the rows where both are present; NULL when
+        either does not vary there."""
+        return pair_correlation(self._doubles(), self.numeric)
+
+    def _doubles(self) -> DataFrame:
+        """The numeric columns as c0, c1, ..."""
+        return self.df.select(*[F.col(_quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(self.numeric)])
 
     def spearman(self) -> DataFrame:
-        """Rank correlation (average ranks) of every two numeric columns, over rows
-        without a missing number."""
-        complete = self.df.select(*[F.col(c).cast("double").alias(c) for c in self.numeric]).dropna()
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in self.numeric]
-        counts = pin(
-            complete.select(F.inline(F.array(*cells))).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
-        )
-        ranks = pin(
-            running_totals(sliced(counts, "x", self.rows_per_slice), "x", {"upto": "n"}, ["column"]).select(
-                "column", "x", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
-            )
-        )
-        sizes = {row["column"]: row["count"] for row in ranks.groupBy("column").count().collect()}
-        ranked = complete
-        for i, c in enumerate(self.numeric):
-            own = ranks.where(F.col("column") == c).select(F.col("x").alias(c), F.col("rank").alias(f"_r{i}"))
-            if sizes.get(c, 0) <= BROADCAST_ROWS:
-                own = F.broadcast(own)
-            ranked = ranked.join(own, c)
-        ranked = ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(self.numeric)])
-        return Profile(ranked).pearson()
+        """Rank correlation (average ranks) of every two numeric columns, over the rows where both are
+        present; NaN counts as missing.
+
+        A column is ranked once among all its values and once among the rows that have each column
+        with holes, from one table of counts per value; a pair then reads the ranks it needs.
+        """
+        names = [f"c{i}" for i in range(len(self.numeric))]
+        rows = self._doubles().select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+        held = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
+        holes = [i for i, c in enumerate(names) if held[c] < held["rows"]]
+        # entry 0: among all rows; entry h + 1: among the rows that have column holes[h]
+        masks = [F.lit(1).cast("long"), *[F.col(names[i]).isNotNull().cast("long") for i in holes]]
+        cells = [
+            F.struct(F.lit(i).alias("column"), F.col(c).alias("x"), *[m.alias(f"m{k}") for k, m in enumerate(masks)])
+            for i, c in enumerate(names)
+        ]
+        counts = rows.select(F.inline(F.array(*cells))).where("x IS NOT NULL").groupBy("column", "x")
+        counts = pin(counts.agg(*[F.sum(f"m{k}").alias(f"n{k}") for k in range(len(masks))]))
+        totals = {f"upto{k}": f"n{k}" for k in range(len(masks))}
+        ranks = running_totals(sliced(counts, "x", self.rows_per_slice), "x", totals, ["column"])
+        rank = [(F.col(f"upto{k}") - (F.col(f"n{k}") - 1) / 2).alias(f"r{k}") for k in range(len(masks))]
+        ranks = pin(ranks.select("column", "x", F.array(*rank).alias("ranks")))
+        for i, c in enumerate(names):
+            own = ranks.where(F.col("column") == i).select(F.col("x").alias(c), F.col("ranks").alias(f"r{i}"))
+            rows = same_keys_join(rows, own, [c], "left")
+        entry = {j: 1 + h for h, j in enumerate(holes)}
+
+        def picked(i: int, j: int) -> Column:
+            """Rank of column i among the rows that have column j, where a row has both."""
+            return F.when(F.col(f"r{j}").isNotNull(), F.col(f"r{i}")[entry.get(j, 0)])
+
+        if not holes:
+            return pair_correlation(rows.select(*[F.col(f"r{i}")[0].alias(c) for i, c in enumerate(names)]), self.numeric)
+        parts = []
+        for i, j in combinations(range(len(names)), 2):
+            x, y = picked(i, j), picked(j, i)
+            value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+            parts.append(F.struct(F.lit(self.numeric[i]).alias("a"), F.lit(self.numeric[j]).alias("b"), value.alias("value")))
+        wide = rows.agg(*[part.alias(f"p{k}") for k, part in enumerate(parts)])
+        return wide.select(F.inline(F.array(*[f"p{k}" for k in range(len(parts))])))
 
     def cramers_v(self) -> DataFrame:
         """Association of every two categorical columns: a, b, chi2, value, corrected value."""
@@ -297,32 +391,53 @@ class Profile:
         )
 
     def interactions(self, bins: int = 20) -> DataFrame:
-        """Counts on a bins x bins grid for every two numeric columns: a, b, a_bin, b_bin, n."""
-        bounds = self.df.agg(
-            *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(self.numeric)],
-            *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(self.numeric)],
-        )
+        """Counts on a bins x bins grid for every two numeric columns: a, b, a_bin, b_bin, n. Missing
+        and infinite values are left out."""
+        names = [f"c{i}" for i in range(len(self.numeric))]
+        # NaN sorts above infinity, so one comparison leaves both out
+        values = self._doubles().select(*[F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in names])
+        bounds = values.agg(*[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names])
         box = bounds.select(F.struct(*bounds.columns)).scalar()
 
-        def cell(i: int) -> Column:
-            c = self.numeric[i]
+        def cell(c: str) -> Column:
+            share = f"({c} - _box.lo{c}) / (_box.hi{c} - _box.lo{c})"
             return F.expr(
-                f"CASE WHEN `{c}` IS NULL THEN NULL WHEN _box.hi{i} = _box.lo{i} THEN 0 "
-                f"ELSE int(least(floor((double(`{c}`) - _box.lo{i}) / (_box.hi{i} - _box.lo{i}) * {bins}), {bins - 1})) END"
-            ).alias(f"c{i}")
+                f"CASE WHEN {c} IS NULL THEN NULL WHEN _box.hi{c} = _box.lo{c} THEN 0 "
+                f"ELSE int(least(floor({share} * {bins}), {bins - 1})) END"
+            ).alias(c)
 
-        placed = self.df.withColumn("_box", box).select(*[cell(i) for i in range(len(self.numeric))])
+        placed = values.withColumn("_box", box).select(*map(cell, names))
         cells = [
-            f"named_struct('a', '{self.numeric[i]}', 'b', '{self.numeric[j]}', 'a_bin', c{i}, 'b_bin', c{j})"
-            for i, j in combinations(range(len(self.numeric)), 2)
-        ]
+            F.struct(F.lit(self.numeric[i]).alias("a"), F.lit(self.numeric[j]).alias("b"),
+                     F.col(names[i]).alias("a_bin"), F.col(names[j]).alias("b_bin"))
+            for i, j in combinations(range(len(names)), 2)
+        ]
         return (
-            placed.select(F.expr(f"inline(array({', '.join(cells)}))"))
+            placed.select(F.inline(F.array(*cells)))
             .where("a_bin IS NOT NULL AND b_bin IS NOT NULL")
             .groupBy("a", "b", "a_bin", "b_bin")
             .agg(F.count(F.lit(1)).alias("n"))
         )
 
+    def date_stats(self) -> DataFrame:
+        """count, missing, distinct, first, last and range in whole days of each date column; dates
+        are shown as timestamps."""
+        cells = [
+            F.struct(F.lit(c).alias("column"), F.col(_quoted(c)).cast("timestamp_ntz").alias("x")) for c in self.dates
+        ]
+        if not cells:
+            return self.df.sparkSession.createDataFrame([], DATE_STATS)
+        counts = self.df.select(F.inline(F.array(*cells))).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+        there = F.col("x").isNotNull()
+        return counts.groupBy("column").agg(
+            F.sum(F.when(there, F.col("n")).otherwise(0)).alias("count"),
+            F.sum(F.when(there, 0).otherwise(F.col("n"))).alias("missing"),
+            F.count("x").alias("distinct"),
+            F.min("x").alias("first"),
+            F.max("x").alias("last"),
+            whole_days(F.min("x"), F.max("x")).alias("range_days"),
+        )
+
     def alerts(self) -> DataFrame:
         """column, alert: what a reader should look at first."""
         numbers = self.numeric_stats().selectExpr(

@@ -38,6 +38,13 @@ def frequency(
     return df.groupBy(customer).agg(count.alias("Frequency"))
 
 
+def frequencies(
+    df: DataFrame, customer: str = "CustomerID", date: str = "InvoiceDate", invoice: str = "InvoiceNo"
+) -> DataFrame:
+    """Both counts of `frequency` from one aggregation: Frequency (lines) and Invoices."""
+    return df.groupBy(customer).agg(F.count(date).alias("Frequency"), F.count_distinct(invoice).alias("Invoices"))
+
+
 def revenue(
     df: DataFrame, customer: str = "CustomerID", price: str = "UnitPrice", quantity: str = "Quantity"
 ) -> DataFrame:

@@ -13,33 +13,52 @@ Input must already be collapsed: one row per (keys, order).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapse.sources.session import pin
-
 SLICE = "_slice"
 ROWS_PER_SLICE = 250_000
-BROADCAST_ROWS = 200_000
+
+
+def present(df: DataFrame, *columns: str) -> Column:
+    """True where none of the columns is missing: neither NULL nor, in a floating-point column, NaN."""
+    held = F.lit(True)
+    for c in columns:
+        held = held & F.col(f"`{c}`").isNotNull()
+        if df.schema[c].dataType.typeName() in ("float", "double"):
+            held = held & ~F.isnan(f"`{c}`")
+    return held
+
+
+def _position(df: DataFrame, column: str) -> Column:
+    """Number by which a column of numbers, dates or timestamps sorts; NULL is before all, NaN after all."""
+    kind, x = df.schema[column].dataType.typeName(), F.col(f"`{column}`")
+    if kind == "date":
+        x = F.unix_date(x)
+    elif kind.startswith("timestamp"):
+        x = F.unix_micros(x.cast("timestamp"))
+    return F.coalesce(x.cast("double"), F.lit(float("-inf")))
 
 
 def sliced(df: DataFrame, order: str, rows_per_slice: int = 0) -> DataFrame:
     """Add a slice number along `order` if the table is too long for one window.
 
     `df` must be materialised (see `pin`): it is counted, and read again for
-    the cuts only when it is long.
+    the cuts only when it is long. Rows without a value along `order` take the
+    place that sorting gives them, however many slices there are.
     """
     slices = -(-df.count() // (rows_per_slice or ROWS_PER_SLICE))
     if slices <= 1:
         return df
     shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(df.approxQuantile(order, shares, 0.1 / slices)))
+    df = df.withColumn("_order", _position(df, order))
+    cuts = sorted({c for c in df.approxQuantile("_order", shares, 0.1 / slices) if math.isfinite(c)})
     splits = [float("-inf"), *cuts, float("inf")]
-    place = Bucketizer(splits=splits, inputCol="_order", outputCol=SLICE)
-    return place.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    return Bucketizer(splits=splits, inputCol="_order", outputCol=SLICE, handleInvalid="keep").transform(df).drop("_order")
 
 
 def running_totals(
@@ -79,13 +98,9 @@ def running_totals(
 def lookup_join(left: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a long table with a table of one row per key.
 
-    The lookup table is materialised and counted. Up to `BROADCAST_ROWS` rows it
-    is sent to every task, so rows of a hot key stay where they are; a longer
-    one is joined by shuffle, where adaptive execution splits skewed partitions.
+    Adaptive execution sends the lookup table to every task if its bytes allow it;
+    otherwise both are shuffled, and partitions of a hot key are split.
     """
-    table = pin(table)
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     return same_keys_join(left, table, keys, how)
 
 

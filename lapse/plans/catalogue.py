@@ -60,8 +60,8 @@ def km_by_group(spark, root):
 
 @query
 def km_at_times(spark, root):
-    curve = km.km_curve(retail.purchase_gaps(spark, root), "duration", "event", ["segment"])
-    building = curve.where(F.col("segment") == "BUILDING")
+    gaps = retail.purchase_gaps(spark, root).where(F.col("segment") == "BUILDING")
+    building = km.km_curve(gaps, "duration", "event", ["segment"])
     return _round(km.at_times(building, range(10), {"survival": 1.0}, ["segment"]), 6, "survival")
 
 
@@ -205,10 +205,7 @@ def recency(spark, root):
 
 @query
 def frequency(spark, root):
-    lines = _lines(spark, root)
-    return rfm.frequency(lines).join(
-        rfm.frequency(lines, distinct_invoices="InvoiceNo").withColumnRenamed("Frequency", "Invoices"), "CustomerID"
-    )
+    return rfm.frequencies(_lines(spark, root))
 
 
 @query
@@ -232,11 +229,10 @@ def top_customers(spark, root):
 @query
 def histogram(spark, root):
     customers = rfm.measures(_lines(spark, root))
-    parts = [
-        describe.histogram(prep.top_n(customers, m, "CustomerID", 5000), m).withColumn("measure", F.lit(m))
-        for m in rfm.MEASURES
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    cells = F.array(
+        *[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in rfm.MEASURES]
+    )
+    return describe.histogram(customers.select(F.inline(cells)), "x", ["measure"])
 
 
 @query
@@ -417,23 +413,23 @@ def ph_report(spark, root):
     return cox.ph_report(cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
 
 
-def _positive(df):
-    return df.where("duration > 0")
+# A gap of 0 days is a second order on the same day, a lifetime of 0 months a single order: half a unit.
+HALF = 0.5
 
 
 @query
 def aft_loglogistic(spark, root):
-    model = aft.fit_aft(_positive(_gaps(spark, root)), "duration", "event", ["urgent", "building"])
+    model = aft.fit_aft(_gaps(spark, root), "duration", "event", ["urgent", "building"], shift=HALF)
     return aft.summary(spark, model)
 
 
 @query
 def aft_summary(spark, root):
     """Fit metrics of the three families side by side."""
-    gaps = _positive(_lapses(spark, root))
+    gaps = _lapses(spark, root)
     tables_ = []
     for family in ("loglogistic", "weibull", "lognormal"):
-        model = aft.fit_aft(gaps, "duration", "event", ["building", "balance"], family)
+        model = aft.fit_aft(gaps, "duration", "event", ["building", "balance"], family, shift=HALF)
         scored = gaps.withColumn("score", aft.median_column(model))
         index = conc.concordance(scored, "duration", "event", "score").first()["concordance"]
         tables_.append(aft.metrics(spark, model, index))
@@ -442,18 +438,18 @@ def aft_summary(spark, root):
 
 @query
 def aft_median(spark, root):
-    model = aft.fit_aft(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"])
+    model = aft.fit_aft(_lapses(spark, root), "duration", "event", ["building", "asia"], shift=HALF)
     return aft.median(spark, model)
 
 
 @query
 def aft_weibull(spark, root):
-    return aft.fit_weibull_library(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"])
+    return aft.fit_weibull_library(_lapses(spark, root), "duration", "event", ["building", "asia"], shift=HALF)
 
 
 @query
 def aft_lognormal(spark, root):
-    model = aft.fit_aft(_positive(_lapses(spark, root)), "duration", "event", ["building", "asia"], "lognormal")
+    model = aft.fit_aft(_lapses(spark, root), "duration", "event", ["building", "asia"], "lognormal", shift=HALF)
     return aft.summary(spark, model)
 
 
@@ -470,6 +466,25 @@ def clv_payback(spark, root):
     return _round(_payback(spark, root), 2, "expected_profit", "npv", "cumulative_npv")
 
 
+STRATA = {"strata": ["region"]}
+
+
+@query
+def clv_payback_stratified(spark, root):
+    model = cox.at_fixed(_lapses(spark, root), "duration", "event", {"building": -0.3}, **STRATA)
+    table = clv.payback(model, [{"building": 0}, {"building": 1, "rate": 0.05}], horizon=60)
+    return _round(table, 2, "expected_profit", "npv", "cumulative_npv")
+
+
+@query
+def customer_ltv_stratified(spark, root):
+    lapses = _lapses(spark, root)
+    model = cox.at_fixed(lapses, "duration", "event", {"building": -0.3}, **STRATA)
+    return _round(clv.customer_ltv(lapses, model, "o_custkey"), 2, "lifetime_value").withColumn(
+        "relative_risk", rounded(F.col("relative_risk"), 6)
+    )
+
+
 @query
 def npv_milestones(spark, root):
     return _round(clv.milestones(_payback(spark, root)), 2, "cumulative_npv")
@@ -509,9 +524,7 @@ def _orders_with_gaps(spark, root):
 
 
 def _lineitem(spark, root):
-    return profile.Profile(
-        retail.table(spark, root, "lineitem"), drop=["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
-    )
+    return profile.Profile(retail.table(spark, root, "lineitem"))
 
 
 @query
@@ -553,6 +566,11 @@ def profile_histogram(spark, root):
     return _lineitem(spark, root).histograms()
 
 
+@query
+def profile_dates(spark, root):
+    return _lineitem(spark, root).date_stats()
+
+
 @query
 def profile_missing(spark, root):
     return _round(profile.Profile(_orders_with_gaps(spark, root)).missing(), 6, "share")
@@ -623,14 +641,14 @@ def standardize(spark, root):
 @query
 def train_gbt(spark, root):
     rows = _split_features(spark, root)
-    model = classify.train_gbt(rows, max_rounds=10)
+    model = classify.train_gbt(rows)
     return classify.batch_score(rows, model).select("CustomerID", "split", "prediction", "probability")
 
 
 @query
 def trial_table(spark, root):
-    grid = [{"maxDepth": 2, "stepSize": 0.1}, {"maxDepth": 4, "stepSize": 0.3}]
-    return classify.trials(_split_features(spark, root), grid, max_rounds=5)[0]
+    grid = classify.random_grid({"maxDepth": [2, 4, 6], "stepSize": [0.1, 0.3], "minInstancesPerNode": [20, 132]}, 3)
+    return classify.trials(_split_features(spark, root), grid)[0]
 
 
 @query

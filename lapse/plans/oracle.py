@@ -146,10 +146,14 @@ pairs AS (
     CAST(b.n AS DOUBLE) AS nb, CAST(a.d + b.d AS DOUBLE) AS d, CAST(a.n + b.n AS DOUBLE) AS n
   FROM risk a JOIN risk b ON a.variable = b.variable AND a.t = b.t AND a.level < b.level
   WHERE a.d + b.d > 0),
+every AS (
+  SELECT a.variable, a.level AS level_a, b.level AS level_b
+  FROM (SELECT DISTINCT variable, level FROM c) a JOIN (SELECT DISTINCT variable, level FROM c) b
+    ON a.variable = b.variable AND a.level < b.level),
 tests AS (
   SELECT variable, level_a, level_b,
     pow(sum(da - na * d / n), 2) / sum(CASE WHEN n > 1 THEN na * nb * d * (n - d) / (n * n * (n - 1)) ELSE 0 END) AS statistic
-  FROM pairs GROUP BY ALL)"""
+  FROM every LEFT JOIN pairs USING (variable, level_a, level_b) GROUP BY ALL)"""
 
 
 SQL["logrank_pairwise"] = f"""
@@ -250,7 +254,8 @@ def lloyd(ks: str, max_iter: int) -> str:
     """fits (measure, k, c): converged centroids of every measure for k in `ks`."""
     return f"""{LONG},
 hist AS MATERIALIZED (SELECT measure, x, count(*) AS n FROM long GROUP BY ALL),
-spread AS MATERIALIZED (SELECT measure, sum(x * x * n) / sum(n) - pow(sum(x * n) / sum(n), 2) AS v FROM hist GROUP BY measure),
+spread AS MATERIALIZED (SELECT measure, sum(pow(x - m, 2) * n) / sum(n) AS v
+  FROM (SELECT *, sum(x * n) OVER w / sum(n) OVER w AS m FROM hist WINDOW w AS (PARTITION BY measure)) GROUP BY measure),
 lloyd AS (
   WITH RECURSIVE step(measure, k, it, c, moving) AS (
     SELECT measure, k, 0, list_sort(list_distinct(list_transform(range(0, k), lambda i:
@@ -304,17 +309,16 @@ SQL["top_customers"] = f"""
 WITH {RFM} SELECT CustomerID, Recency, Frequency, {r('Revenue', 2)} AS Revenue FROM rfm
 ORDER BY rfm.Revenue DESC, CustomerID LIMIT 5000"""
 
-NICE_STEP = """CASE WHEN hi - lo <= 0 THEN 1.0
-    WHEN (hi - lo) / p <= 10 THEN p WHEN (hi - lo) / (2 * p) <= 10 THEN 2 * p
-    WHEN (hi - lo) / (5 * p) <= 10 THEN 5 * p ELSE 10 * p END"""
+NICE_STEP = "CASE WHEN hi - lo <= 0 THEN 1.0 " + " ".join(
+    f"WHEN floor(hi / ({m}.0 * p) + 1e-9) - floor(lo / ({m}.0 * p) + 1e-9) < 10 THEN {m}.0 * p" for m in (1, 2, 5, 10)
+) + " ELSE 20.0 * p END"
 
 SQL["histogram"] = f"""
 WITH {RFM}, {LONG},
-top AS (SELECT measure, x FROM long QUALIFY row_number() OVER (PARTITION BY measure ORDER BY x DESC, CustomerID) <= 5000),
 grid AS (SELECT measure, {NICE_STEP} AS step FROM (
-  SELECT measure, min(x) AS lo, max(x) AS hi, pow(10, floor(log10((max(x) - min(x)) / 10))) AS p FROM top GROUP BY measure) g)
-SELECT measure, floor(x / step) * step AS bin_start, (floor(x / step) + 1) * step AS bin_end, count(*) AS count
-FROM top JOIN grid USING (measure) GROUP BY ALL"""
+  SELECT measure, min(x) AS lo, max(x) AS hi, pow(10, floor(log10((max(x) - min(x)) / 10))) AS p FROM long GROUP BY measure) g)
+SELECT measure, floor(x / step + 1e-9) * step AS bin_start, (floor(x / step + 1e-9) + 1) * step AS bin_end, count(*) AS count
+FROM long JOIN grid USING (measure) GROUP BY ALL"""
 
 SQL["elbow"] = f"""
 WITH {RFM}, {lloyd('range(1, 10)', 1000)}
@@ -603,6 +607,41 @@ SELECT o_custkey, {r('any_value(rr)')} AS relative_risk,
 FROM risks, months GROUP BY o_custkey"""
 
 
+STRATA_HAZARD = f"""{CUSTOMERS},
+base AS (SELECT o_custkey, region, duration AS t, event AS e, (segment = 'BUILDING')::INT AS building FROM people),
+centre AS (SELECT avg(building) AS c FROM base),
+own AS (SELECT region, t, CAST(sum(e) AS BIGINT) AS d, sum(exp(-0.3 * (building - c))) AS w FROM base, centre GROUP BY region, t),
+hz AS MATERIALIZED (
+  SELECT region, t, sum(d / s0) OVER (PARTITION BY region ORDER BY t) AS h
+  FROM (SELECT region, t, d, sum(w) OVER (PARTITION BY region ORDER BY t DESC) AS s0 FROM own))"""
+
+
+def strata_months(horizon: int) -> str:
+    return f"""
+months AS (
+  SELECT r.region, m, coalesce((SELECT max(h) FROM hz WHERE hz.region = r.region AND t <= m), 0) AS h
+  FROM (SELECT DISTINCT region FROM hz) r, range(1, {horizon}) g(m))"""
+
+
+SQL["clv_payback_stratified"] = f"""
+WITH {STRATA_HAZARD}, {strata_months(60)},
+profiles AS (SELECT * FROM (VALUES (0, 0, 0.10), (1, 1, 0.05)) p(row, building, rate)),
+curves AS (
+  SELECT region, row, rate, 0 AS m, CAST(1 AS DOUBLE) AS survival FROM (SELECT DISTINCT region FROM hz), profiles
+  UNION ALL SELECT region, row, rate, m, round_even(exp(-h * exp(-0.3 * (building - c))), 2) FROM months, profiles, centre),
+priced AS (SELECT *, round_even(survival * 30, 2) AS expected FROM curves),
+valued AS (SELECT *, round_even(expected / pow(1 + CAST(rate AS DOUBLE) / 12, m), 2) AS npv FROM priced)
+SELECT region, CAST(row AS INTEGER) AS scenario, CAST(m + 1 AS INTEGER) AS contract_month, survival,
+  CAST(30 AS DOUBLE) AS monthly_profit, {r('expected', 2)} AS expected_profit, {r('npv', 2)} AS npv,
+  {r('sum(npv) OVER (PARTITION BY region, row ORDER BY m)', 2)} AS cumulative_npv FROM valued"""
+SQL["customer_ltv_stratified"] = f"""
+WITH {STRATA_HAZARD}, {strata_months(36)},
+risks AS (SELECT o_custkey, region, exp(-0.3 * (building - c)) AS rr FROM base, centre)
+SELECT o_custkey, {r('any_value(rr)')} AS relative_risk,
+  {r('30 + sum(round_even(round_even(round_even(exp(-h * rr), 2) * 30, 2) / pow(1 + 0.1::DOUBLE / 12, m), 2))', 2)} AS lifetime_value
+FROM risks JOIN months USING (region) GROUP BY o_custkey"""
+
+
 # --- dataset profile ----------------------------------------------------------------
 
 HOLES = """
@@ -610,7 +649,9 @@ holes AS (
   SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price,
     CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority, o_orderstatus AS status, 1 AS "constant" FROM orders)"""
 
-NUMBERS = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+NUMBERS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+)
 LONG_LINES = "lines AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM lineitem" for c in NUMBERS
 ) + ")"
@@ -659,8 +700,12 @@ SQL["profile_histogram"] = f"""
 WITH {LONG_LINES},
 grid AS (SELECT "column", {NICE_STEP} AS step FROM (
   SELECT "column", min(x) AS lo, max(x) AS hi, pow(10, floor(log10((max(x) - min(x)) / 10))) AS p FROM lines GROUP BY "column") g)
-SELECT "column", floor(x / step) * step AS bin_start, (floor(x / step) + 1) * step AS bin_end, count(*) AS count
+SELECT "column", floor(x / step + 1e-9) * step AS bin_start, (floor(x / step + 1e-9) + 1) * step AS bin_end, count(*) AS count
 FROM lines JOIN grid USING ("column") GROUP BY ALL"""
+SQL["profile_dates"] = """
+SELECT 'l_shipdate' AS "column", count(l_shipdate) AS count, count(*) - count(l_shipdate) AS missing,
+  count(DISTINCT l_shipdate) AS "distinct", min(l_shipdate) AS first, max(l_shipdate) AS last,
+  datesub('day', min(l_shipdate), max(l_shipdate)) AS range_days FROM lineitem"""
 SQL["profile_missing"] = f"""
 WITH {HOLES}""" + " UNION ALL ".join(
     f"""

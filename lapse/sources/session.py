@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise `df` so that later jobs, and retries after a lost executor,
-    start from the written copy.
+    """Write `df` to the shared folder, so that later jobs, and retries after a lost
+    executor, start from the written copy.
 
-    The folder is the session's `spark.checkpoint.dir`. Only a local master
-    may fall back to a temporary folder; on a cluster without a configured
-    folder the table is persisted with its lineage instead.
+    The copy goes when the frame is no longer referenced, if the session has
+    `spark.cleaner.referenceTracking.cleanCheckpoints`, or with the folder.
     """
-    spark = df.sparkSession
-    if not _checkpoint_folder(spark):
-        if not spark.sparkContext.master.startswith("local"):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lapse-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _checkpoint_folder(spark: SparkSession) -> str | None:
-    folder = spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in `spark.checkpoint.dir`, which all executors see.
+
+    Where none is named, a local master (one process, one machine) gets a temporary
+    one that goes with the process; a cluster is refused.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lapse-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder

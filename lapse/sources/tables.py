@@ -5,14 +5,18 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from lapse.functions.scalars import text_literal
+
 FORMAT = "parquet"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, positional: bool = False) -> DataFrame:
-    """CSV with a header, without an inference scan over the rows.
+    """CSV with a header, without an inference scan over the rows. The files of a folder must
+    have the same header.
 
     Columns are bound by header name and cast; text that does not fit becomes
     NULL, and a column missing from the file is added as NULL and reported.
@@ -20,7 +24,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, positional: boo
     """
     if positional:
         return spark.read.schema(schema).option("header", True).csv(path)
-    raw = spark.read.option("header", True).csv(path)
+    # every file must have the header of the first; the read fails where one differs
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:
         warnings.warn(f"{path} has no column {', '.join(missing)}: filled with NULL", stacklevel=2)
@@ -42,7 +47,13 @@ def read_snapshot(spark: SparkSession, path: str, drop: Sequence[str] = ()) -> D
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = FORMAT) -> None:
-    """Replace the files at `path`, which must not be what `df` reads."""
+    """Replace the files at `path`; refused if `df` reads them."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    folder = fs.makeQualified(target).toUri().getPath().rstrip("/") + "/"
+    if any(hadoop.Path(f).toUri().getPath().startswith(folder) for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by the frame that would replace it; write a version instead")
     df.write.format(fmt).mode("overwrite").save(path)
 
 
@@ -50,14 +61,31 @@ def write_version(df: DataFrame, base: str, fmt: str = FORMAT) -> str:
     """Write `df` as the next version folder under `base` and return its path.
 
     The folder read before stays intact, so a table may be rewritten from
-    itself and its columns may change; a failed write leaves no half version
-    behind because the folder number is only used once it holds _SUCCESS.
+    itself and its columns may change. A writer first claims its number, so two
+    writers never share a folder; a version counts once it holds _SUCCESS, so a
+    failed write leaves a gap in the numbers and no half version.
     """
-    path = f"{base}/v={(latest_version(df.sparkSession, base) or 0) + 1}"
+    path = f"{base}/v={claim_version(df.sparkSession, base)}"
     df.write.format(fmt).mode("overwrite").save(path)
     return path
 
 
+def claim_version(spark: SparkSession, base: str) -> int:
+    """The next version number under `base`, taken by creating a marker that must not exist yet."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    number = (latest_version(spark, base) or 0) + 1
+    while True:
+        marker = hadoop.Path(f"{base}/_claims/v={number}")
+        fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            fs.create(marker, False).close()
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            number += 1
+
+
 def mark_finished(spark: SparkSession, path: str) -> None:
     """Put the end-of-write marker into a folder, as a DataFrame writer does."""
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
@@ -99,9 +127,24 @@ def create_database(spark: SparkSession, name: str, replace: bool = False) -> No
 
 
 def register(spark: SparkSession, table: str, path: str, fmt: str = FORMAT) -> None:
-    """(Re)point an external table at `path`; the files are never dropped with it."""
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION '{path}'")
+    """(Re)point an external table at `path`; the files are never dropped with it.
+
+    A table whose columns stay, or are joined by new ones at the end, is altered in place, so
+    readers find a table at all times. Only where a column goes or changes is it dropped and created.
+    """
+    where = text_literal(path)
+    if spark.catalog.tableExists(table):
+        have = [(f.name, f.dataType) for f in spark.table(table).schema]
+        new = spark.read.format(fmt).load(path).schema
+        if [(f.name, f.dataType) for f in new][: len(have)] == have:
+            added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.fields[len(have) :])
+            if added:
+                spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({added})")
+            spark.sql(f"ALTER TABLE {table} SET LOCATION {where}")
+            spark.catalog.refreshTable(table)
+            return
+        spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION {where}")
 
 
 def save_managed(df: DataFrame, table: str, fmt: str = FORMAT) -> None:
