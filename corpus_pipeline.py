@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.llm import language, lines, packing, pii, simhash
-from lapse.llm.common import shared_folder
+from lapse.sources.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

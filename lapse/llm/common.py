@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -59,18 +58,6 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 <<
             yield batch.slice(at, step)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`. Only a local master may do without it: it gets a
-    temporary folder of its own."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lapse-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def words(text: Column) -> Column:
     """Runs of characters other than space and 0x09-0x0D, in order."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.llm import bpe, fingerprint, language, lines, packing, pii, quality, sharding, simhash, warc
-from lapse.llm.common import shared_folder, table
-from lapse.sources.session import pin
+from lapse.llm.common import table
+from lapse.sources.session import pin, shared_folder
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
