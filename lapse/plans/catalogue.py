@@ -366,6 +366,12 @@ def hazard_ratios(spark, root):
     return cox.hazard_ratios(spark, cox.fit_cox(_lapses(spark, root), "duration", "event", ["building", "asia", "balance"]))
 
 
+@query
+def hazard_ratios_flags(spark, root):
+    model = cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"])
+    return _round(cox.hazard_ratios(spark, model), 5, "exp_coef", "exp_lower", "exp_upper")
+
+
 @query
 def concordance(spark, root):
     counts = conc.concordance(retail.customers_survival(spark, root), "duration", "event", "acctbal")
@@ -439,7 +445,20 @@ def aft_summary(spark, root):
 @query
 def aft_median(spark, root):
     model = aft.fit_aft(_lapses(spark, root), "duration", "event", ["building", "asia"], shift=HALF)
-    return aft.median(spark, model)
+    table = _round(aft.median(spark, model), 3, "median")
+    return table.withColumn("exp_median_ref", F.format_string("%.2e", "exp_median_ref"))
+
+
+@query
+def aft_coefficients(spark, root):
+    """Location and shape of two families with 0/1 covariates."""
+    lapses = _lapses(spark, root)
+    rows = []
+    for family in ("loglogistic", "weibull"):
+        model = aft.fit_aft(lapses, "duration", "event", ["building", "asia"], family, shift=HALF)
+        terms = [*zip([*model.covariates, "Intercept"], model.coef), ("ln shape", model.log_shape)]
+        rows += [(family, term, float(value)) for term, value in terms]
+    return _round(spark.createDataFrame(rows, "family string, term string, coef double"), 4, "coef")
 
 
 @query

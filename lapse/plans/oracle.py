@@ -573,6 +573,55 @@ tests AS (
 SELECT 'urgent' AS covariate, transform, {r('statistic', 5)} AS statistic, {r(erfc('sqrt(statistic / 2)'), 5)} AS p FROM tests"""
 
 
+SQL["hazard_ratios_flags"] = f"""
+WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {coefficients(_FLAGS)}
+SELECT covariate, {r('exp(coef)', 5)} AS exp_coef, {r(f'exp(coef - {Z95} * se)', 5)} AS exp_lower,
+  {r(f'exp(coef + {Z95} * se)', 5)} AS exp_upper FROM coefs"""
+
+AFT_ROWS = f"""{CUSTOMERS},
+cells AS MATERIALIZED (
+  SELECT ln(duration + 0.5) AS y, event AS e, (segment = 'BUILDING')::INT AS x1, (region = 'ASIA')::INT AS x2,
+    count(*) AS n FROM people GROUP BY ALL)"""
+# first and second derivative of the log likelihood of one subject in the standard error z
+AFT_TERMS = {
+    "loglogistic": ("e - (1 + e) / (1 + exp(-z))", "-(1 + e) / (1 + exp(-z)) / (1 + exp(z))"),
+    "weibull": ("e - exp(z)", "-exp(z)"),
+}
+
+
+def aft_fit(family: str, steps: int = 400) -> str:
+    """<family>(b0, b1, b2, c): Newton steps in one parameter after the other, from the mean log time on."""
+    u, w = AFT_TERMS[family]
+    return f"""
+{family} AS (
+  WITH RECURSIVE step(it, b0, b1, b2, c) AS (
+    SELECT 0, (SELECT sum(n * y) / sum(n) FROM cells), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT it + 1, b0 + CASE it % 4 WHEN 0 THEN move ELSE 0 END, b1 + CASE it % 4 WHEN 1 THEN move ELSE 0 END,
+      b2 + CASE it % 4 WHEN 2 THEN move ELSE 0 END, c + CASE it % 4 WHEN 3 THEN move ELSE 0 END
+    FROM (
+      SELECT it, b0, b1, b2, c, greatest(-1, least(1, CASE it % 4
+        WHEN 0 THEN sum(-n * u) / exp(c) / -sum(n * w) WHEN 1 THEN sum(-n * u * x1) / exp(c) / -sum(n * w * x1)
+        WHEN 2 THEN sum(-n * u * x2) / exp(c) / -sum(n * w * x2)
+        ELSE sum(n * (e + u * z)) / abs(sum(n * (w * z * z + u * z))) END)) AS move
+      FROM (SELECT *, {u} AS u, {w} AS w FROM (
+        SELECT step.*, cells.*, (y - (b0 + b1 * x1 + b2 * x2)) * exp(c) AS z FROM step, cells WHERE it < {steps}))
+      GROUP BY it, b0, b1, b2, c))
+  SELECT * FROM step WHERE it = {steps})"""
+
+
+SQL["aft_coefficients"] = f"""
+WITH {AFT_ROWS}, {aft_fit('loglogistic')}, {aft_fit('weibull')},
+fits AS (SELECT 'loglogistic' AS family, * FROM loglogistic UNION ALL SELECT 'weibull', * FROM weibull)
+SELECT family, unnest(['building', 'asia', 'Intercept', 'ln shape']) AS term,
+  unnest([{r('b1', 4)}, {r('b2', 4)}, {r('b0', 4)}, {r('c', 4)}]) AS coef FROM fits"""
+SQL["aft_median"] = f"""
+WITH {AFT_ROWS}, {aft_fit('loglogistic')},
+m AS (SELECT exp(any_value(b0) + any_value(b1) * sum(n * x1) / sum(n) + any_value(b2) * sum(n * x2) / sum(n)) AS median
+      FROM cells, loglogistic)
+SELECT 'loglogistic' AS family, {r('median', 3)} AS median, printf('%.2e', exp(median)) AS exp_median_ref FROM m"""
+
+
 # --- lifetime value -----------------------------------------------------------------
 
 
