@@ -122,6 +122,25 @@ def clean_transactions(spark, root):
     )
 
 
+@query
+def clean_raw_transactions(spark, root):
+    """Ids as numbers with holes (NULL and NaN), dates as text, some of which is none."""
+    key = F.col("CustomerID")
+    raw = retail.transactions(spark, root).select(
+        F.when(key % 10 == 3, None).when(key % 10 == 7, float("nan")).otherwise(key.cast("double")).alias("CustomerID"),
+        F.when(F.col("InvoiceNo") % 5 == 0, "unknown")
+        .otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
+        .alias("InvoiceDate"),
+    )
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return prep.clean_transactions(raw).groupBy("CustomerID").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count("InvoiceDate").alias("dated"),
+        day(F.min("InvoiceDate")).alias("first"),
+        day(F.max("InvoiceDate")).alias("last"),
+    )
+
+
 @query
 def distinct_customers(spark, root):
     return prep.distinct_values(prep.clean_transactions(retail.transactions(spark, root)), "CustomerID")
@@ -609,6 +628,19 @@ def profile_correlation(spark, root):
     return _round(pearson.unionByName(spearman).unionByName(cramer), 6, "value")
 
 
+@query
+def profile_correlation_holes(spark, root):
+    """Two numeric columns with holes in different rows and one without."""
+    orders = retail.table(spark, root, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_totalprice") > 100_000, F.round("o_totalprice", -3)).alias("price"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 50).alias("bucket"),
+    )
+    found = profile.Profile(orders)
+    pearson = found.pearson().withColumn("method", F.lit("pearson"))
+    return _round(pearson.unionByName(found.spearman().withColumn("method", F.lit("spearman"))), 6, "value")
+
+
 @query
 def profile_interactions(spark, root):
     return _lineitem(spark, root).interactions()

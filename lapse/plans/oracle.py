@@ -198,6 +198,12 @@ SQL["preview"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
 SQL["clean_transactions"] = f"""
 WITH {LINES}
 SELECT CustomerID, count(*) AS lines, min(InvoiceDate) AS first, max(InvoiceDate) AS last FROM lines GROUP BY CustomerID"""
+SQL["clean_raw_transactions"] = f"""
+WITH {LINES},
+raw AS (SELECT CAST(CAST(CustomerID AS DOUBLE) AS VARCHAR) AS CustomerID,
+    CASE WHEN InvoiceNo % 5 <> 0 THEN strftime(InvoiceDate, '%Y-%m-%d') END AS day
+  FROM lines WHERE CAST(CustomerID AS BIGINT) % 10 NOT IN (3, 7))
+SELECT CustomerID, count(*) AS lines, count(day) AS dated, min(day) AS first, max(day) AS last FROM raw GROUP BY CustomerID"""
 SQL["distinct_customers"] = f"WITH {LINES} SELECT DISTINCT CustomerID FROM lines"
 SQL["churn_flag"] = """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ChurnBool FROM lineitem"""
@@ -785,6 +791,19 @@ SQL["profile_correlation"] = (
     + f" UNION ALL SELECT 'l_returnflag', 'l_linestatus', 'cramers_v', "
     f"{r('sqrt((sum(n * n / (CAST(nu AS DOUBLE) * nv)) - 1) / (SELECT least(count(DISTINCT u), count(DISTINCT v)) - 1 FROM cells))')} FROM margins"
 )
+SQL["profile_correlation_holes"] = """
+WITH h AS (
+  SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN round(o_totalprice, -3) END AS price,
+    CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 50 END AS bucket FROM orders)""" + " UNION ALL ".join(
+    f"""
+SELECT '{a}' AS a, '{b}' AS b, '{method}' AS method, {r('corr(x, y)')} AS value FROM (
+  SELECT {x} AS x, {y} AS y FROM h WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+    for a, b in pairs(("o_orderkey", "price", "bucket"))
+    for method, x, y in (
+        ("pearson", a, b),
+        ("spearman", *(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2" for c in (a, b))),
+    )
+)
 SQL["profile_interactions"] = (
     "WITH box AS (SELECT "
     + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMBERS)
