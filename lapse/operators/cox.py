@@ -229,12 +229,13 @@ def fit_cox(
     max_iter: int = 50,
     precision: float = 1e-7,
     rows_per_slice: int = 0,
+    runaway: float = RUNAWAY,
 ) -> CoxModel:
     """Newton-Raphson with step halving from beta = 0; no penalty.
 
     A covariate that does not vary, or covariates that determine each other,
     make the information singular and are refused; so is a likelihood that
-    keeps rising as a coefficient runs away.
+    keeps rising as a coefficient runs away (beyond `runaway` per standard deviation).
     """
     covariates, strata = list(covariates), list(strata)
     p = len(covariates)
@@ -269,7 +270,7 @@ def fit_cox(
             step = step / 2
         beta = beta + step
         value, gradient, information = tried
-        if np.max(np.abs(beta)) > RUNAWAY:
+        if np.max(np.abs(beta)) > runaway:
             raise ValueError("the likelihood is monotone: a covariate separates the events")
         if np.max(np.abs(step)) < precision or newton_gain < precision**2:
             break

@@ -28,6 +28,7 @@ def shapley_values(
     n_examples: int = 100,
     n_background: int = 100,
     seed: int = 460409061,
+    most_features: int = MOST_FEATURES,
 ) -> DataFrame:
     """One row per example and feature: key, feature, value, shapley.
 
@@ -35,8 +36,8 @@ def shapley_values(
     Missing values are first filled with the mode of the background's source.
     """
     p = len(features)
-    if p > MOST_FEATURES:
-        raise ValueError(f"exact values need 2^{p} coalitions; at most {MOST_FEATURES} features")
+    if p > most_features:
+        raise ValueError(f"exact values need 2^{p} coalitions; at most {most_features} features")
     asked = fill_mode(sample_n(examples, key, n_examples, seed), features, background).select(key, *features)
     reference = fill_mode(sample_n(background, key, n_background, seed), features, background)
     # n_background rows by construction

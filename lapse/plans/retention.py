@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lapse.operators import classify, clv, cox, kaplan_meier, prep, rfm
 from lapse.operators.logrank import logrank
 from lapse.sources import schemas, tables
+from lapse.sources.session import pin
 
 
 def load_medallion(
@@ -56,6 +57,8 @@ def survival_report(
     customers: DataFrame, duration: str, event: str, variables: Sequence[str]
 ) -> dict[str, DataFrame]:
     """Population curve, its median, one curve per level of each variable, and all pairwise tests."""
+    # read once, not once per variable
+    customers = pin(customers.select(duration, event, *variables))
     curve = kaplan_meier.km_curve(customers, duration, event)
     report = {
         "curve": curve,
