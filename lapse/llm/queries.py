@@ -98,4 +98,19 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hexadecimal digits are four letters.
+_LETTERS = " || ".join(
+    f"substr('{_BASE32}', 1 + CAST((CAST('0x' || substr(h, {at}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER), 1)"
+    for at in range(1, 41, 5)
+    for shift in (15, 10, 5, 0)
+)
+
+SQL: dict[str, str] = {
+    "op7_warc": f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}
