@@ -26,6 +26,8 @@ HASHES = 3
 #: One mask is at most 64 bits wide; further languages (the rarest) are not learned.
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: Code points worked on at a time: arrays take some hundred bytes for each, whatever the length of a text.
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,21 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
+def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts, long ones in pieces, a chunk at a time: (index of the text, piece)."""
+    index, pieces, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), CHUNK):
+            pieces.append(text[at : at + CHUNK])
+            index.append(i)
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield np.array(index), pieces
+                index, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(index), pieces
+
+
 def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts, lower case, each run of other characters one space;
     the first position of each text, and whether it has a letter."""
@@ -112,17 +129,16 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
-            names, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            points, starts, _ = _folded(texts)
+            names = batch.column("lang").to_pylist()
             of = {name: i for i, name in enumerate(sorted(set(names)))}
             number = np.array([of[name] for name in names])
-            for h, doc in _ngrams(points, starts):
-                for name, i in of.items():
-                    grams, n = np.unique(h[number[doc] == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))],
-                        names=["lang", "gram", "n"],
-                    )
+            for index, pieces in _chunks(batch.column("text").to_pylist()):
+                points, starts, _ = _folded(pieces)
+                for h, doc in _ngrams(points, starts):
+                    for name, i in of.items():
+                        grams, n = np.unique(h[number[index[doc]] == i], return_counts=True)
+                        columns = [pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
     grams = docs.where(picked).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -142,15 +158,17 @@ def train(
 def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and corrected share of known n-grams of each text; the commoner language wins a tie."""
     n = len(texts)
-    points, starts, has = _folded([t or "" for t in texts])
-    total, hits = np.zeros(n), np.zeros((n, len(model.languages)))
-    for h, doc in _ngrams(points, starts):
-        mask = None
-        for at in _slots(h, len(model.masks)):
-            mask = model.masks[at] if mask is None else mask & model.masks[at]
-        total += np.bincount(doc, minlength=n)
-        for i in range(len(model.languages)):
-            hits[:, i] += np.bincount(doc, (mask >> mask.dtype.type(i)) & mask.dtype.type(1), minlength=n)
+    total, hits, has = np.zeros(n), np.zeros((n, len(model.languages))), np.zeros(n, bool)
+    for index, pieces in _chunks([t or "" for t in texts]):
+        points, starts, lettered = _folded(pieces)
+        np.logical_or.at(has, index, lettered)
+        for h, piece in _ngrams(points, starts):
+            doc, mask = index[piece], None
+            for at in _slots(h, len(model.masks)):
+                mask = model.masks[at] if mask is None else mask & model.masks[at]
+            total += np.bincount(doc, minlength=n)
+            for i in range(len(model.languages)):
+                hits[:, i] += np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) > 0], minlength=n)
     if not model.languages:
         return [UNKNOWN] * n, np.zeros(n)
     false = np.array(model.false_rate)

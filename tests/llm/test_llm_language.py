@@ -35,6 +35,13 @@ def test_each_text_stands_alone(model):
     assert np.allclose(score, [s for _, (s,) in alone])
 
 
+def test_long_texts_are_cut_into_pieces(model, monkeypatch):
+    whole = language.classify([EN * 50, DE, "x"], model)
+    monkeypatch.setattr(language, "CHUNK", 300)
+    names, score = language.classify([EN * 50, DE, "x"], model)
+    assert names == whole[0] and np.allclose(score, whole[1], atol=0.05)
+
+
 def test_false_positives_are_corrected(spark):
     """A filter so small that every language claims foreign n-grams still tells them apart."""
     rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(40)]
