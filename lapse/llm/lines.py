@@ -143,7 +143,8 @@ def removals(docs: DataFrame, text: str, key: str, rule: Chunking) -> DataFrame:
     # a hash that stands for two different texts is not trusted
     same = texts.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     same = same.where("texts = 1 and n > 1").select("lo", "hi")
-    later = listed.join(repeated.join(same, ["lo", "hi"]), ["lo", "hi"])
+    # written, so that both sides of the next join are dealt for it and a hot chunk's partition can be split
+    later = listed.join(pin(repeated.join(same, ["lo", "hi"])), ["lo", "hi"])
     later = later.where(~F.struct("key", "at").eqNullSafe(F.col("first")))
     return later.groupBy("key").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("removed"))
 
