@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapse.sources.session import pin
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,13 +49,16 @@ def captures(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     rows = pages.select(F.col(key).cast("string").alias("page"), F.col(key).alias("_key"), F.col(url).alias("url"),
                         body.alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.encode("payload", "UTF-8")))
-    # repeated rows are numbered, so that each has an identifier of its own
-    again = Window.partitionBy("_key", "digest").orderBy("url")
-    rows = rows.withColumn("number", F.row_number().over(again))
-    rows = rows.withColumn("record", _urn(F.col("page"), F.col("digest"), F.col("number")))
     known = pages.select(F.col(key).alias("_key"), sha1_base32(F.encode(body, "UTF-8")).alias("_digest"))
-    repeated = known.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    repeated = repeated.where("_n > 1")
+    known = pin(known.groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("_n")))
+    # repeated rows are numbered, so that each has an identifier of its own; without any, payloads stay in place
+    number = F.lit(1)
+    if not known.where("_n > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("_key", "digest").orderBy("url"))
+    rows = rows.withColumn("number", number)
+    rows = rows.withColumn("record", _urn(F.col("page"), F.col("digest"), F.col("number")))
+    repeated = known.groupBy("_digest").agg(F.min("_key").alias("_first"), F.sum("_n").alias("_n"))
+    repeated = repeated.where("_n > 1").drop("_n")
     rows = rows.join(repeated, F.col("digest") == F.col("_digest"), "left")
     first = _urn(F.col("_first").cast("string"), F.col("digest"), F.lit(1))
     return rows.withColumn("refers", F.when(F.col("_digest").isNotNull() & (first != F.col("record")), first))
