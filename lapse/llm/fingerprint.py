@@ -112,14 +112,15 @@ def edited_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", p
     first as many of the next document, by ascending key (null first; ties by text); after the last
     comes the first. A single document is its own next one. Null text: as empty.
 
-    Keys are cut into `parts` ranges at their quantiles. Rows go to their range and are read in
-    order, each with the next; the first rows of a range also go to the range before it. So a text
-    is shuffled once and a task holds two at a time, however long the table.
+    Keys are cut into four ranges per task (of `parts` tasks) at their quantiles. Rows go to their
+    range and are read in order, each with the next; the first rows of a range also go to the range
+    before it. So a text is shuffled once and a task holds two at a time, however long the table.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    ranges = 4 * parts
+    cuts = docs.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
     cuts = sorted({int(c) for c in cuts})
     part = F.when(F.col("key").isNull(), F.lit(0))
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
