@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapse.functions.scalars import text_literal
 from lapse.operators.describe import quantiles
-from lapse.operators.running import ROWS_PER_SLICE
 from lapse.sources.session import pin
 
 Centroids = dict[tuple[str, int], list[float]]
@@ -45,13 +44,17 @@ def fit_kmeans(
     spread = _variances(counts)
     centroids = _seeds(counts, ks)
     moving = dict(centroids)
-    for _ in range(max_iter):
-        if not moving:
-            break
-        moved = _lloyd_step(counts, moving)
-        shifts = {key: sum((a - b) ** 2 for a, b in zip(moving[key], moved[key])) for key in moved}
-        centroids.update(moved)
-        moving = {key: moved[key] for key in moved if shifts[key] > tol * spread[key[0]]}
+    held = counts.persist()
+    try:
+        for _ in range(max_iter):
+            if not moving:
+                break
+            moved = _lloyd_step(held, moving)
+            shifts = {key: sum((a - b) ** 2 for a, b in zip(moving[key], moved[key])) for key in moved}
+            centroids.update(moved)
+            moving = {key: moved[key] for key in moved if shifts[key] > tol * spread[key[0]]}
+    finally:
+        held.unpersist()
     if moving:
         warnings.warn(f"{len(moving)} of {len(centroids)} fits still moved after {max_iter} steps", stacklevel=2)
     return centroids
@@ -147,8 +150,6 @@ def elbow(
 ) -> DataFrame:
     """Inertia for each measure and each k, all fitted side by side."""
     counts = pin(value_counts(df, measures))
-    # each step is one job over this table: as few tasks as its length asks for
-    counts = counts.coalesce(1 + counts.count() // ROWS_PER_SLICE)
     return inertia(counts, fit_kmeans(counts, ks, max_iter))
 
 
