@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a document all of whose lines stand elsewhere goes with them."""
-    found = lines.deduplicate(docs.select(*COLUMNS))
+    """Repeated runs of lines go; a document all of whose lines stand elsewhere goes with them."""
+    found = lines.deduplicate(docs.select(*COLUMNS), rule=lines.Chunking(runs=True))
     found = found.where((F.col("lines_removed") == 0) | (F.trim("text") != ""))
     return _measured(found)
 

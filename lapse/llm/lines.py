@@ -5,6 +5,12 @@ ends, so the cuts depend on the lines around them and not on where a passage
 stands in its document. A line of `long_words` words or more is a chunk of its
 own. Chunks that occur more than once in the corpus are compared byte by byte;
 the occurrence with the least (document key, position) stays, the others go.
+
+A passage rarely begins and ends where chunks do. With `Chunking(runs=True)` the
+units compared are therefore every two successive lines that are not blank, and
+every long line: a passage that stands elsewhere is covered by its units whatever
+lines are around it. Units of a document that share a line are one run, and a
+run's words decide whether it goes.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ class Chunking:
     divisor: int = 2
     long_words: int = 32
     min_words: int = 16
+    #: Compare pairs of lines and remove runs of them; otherwise compare and remove whole chunks.
+    runs: bool = False
     #: Bits of the filter that spares most chunks the byte comparison; its size does not grow with the input.
     filter_bits: int = 1 << 24
 
@@ -70,10 +78,42 @@ def chunks(text: str, rule: Chunking) -> list[tuple[int, int, bool]]:
     return found
 
 
+def pairs(text: str, rule: Chunking) -> list[tuple[int, int, bool]]:
+    """(first line, line after the last, True) of each line of `long_words` words, and of each line
+    that is not blank with the next such line and the blank ones between; by first line."""
+    found: list[tuple[int, int, bool]] = []
+    last = -1
+    for i, line in enumerate(text.split("\n")):
+        n = len(line.split())
+        if n:
+            if last >= 0:
+                found.append((last, i + 1, True))
+            if n >= rule.long_words:
+                found.append((i, i + 1, True))
+            last = i
+    return found
+
+
+def runs(lines: list[str], spans: list[tuple[int, int]], rule: Chunking) -> list[tuple[int, int]]:
+    """Spans that share a line, joined, where they have `min_words` words in two lines or more or
+    are a long line; the whole text where no line is left that is not blank."""
+    joined: list[list[int]] = []
+    for first, end in sorted(spans):
+        if joined and first < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([first, end])
+    # a span of one line is a long line
+    go = [(a, b) for a, b in joined if b - a == 1 or sum(len(x.split()) for x in lines[a:b]) >= rule.min_words]
+    edges = [0, *(x for span in go for x in span), len(lines)]
+    kept = zip(edges[::2], edges[1::2], strict=True)
+    return go if any(x.split() for a, b in kept for x in lines[a:b]) else [(0, len(lines))]
+
+
 def _hashed(text: str, rule: Chunking) -> Iterator[tuple[int, int, int, str]]:
     """(position, lower and upper half of the 128-bit hash, text) of the chunks worth removing."""
     lines = text.split("\n")
-    for at, (first, end, worth) in enumerate(chunks(text, rule)):
+    for at, (first, end, worth) in enumerate((pairs if rule.runs else chunks)(text, rule)):
         if worth:
             body = "\n".join(lines[first:end])
             h = xxhash.xxh3_128_intdigest(body.encode("utf-8", "surrogatepass"))
@@ -154,7 +194,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", rule:
 
     The first occurrence by (key, position) stays; a null key comes first. Rows that share a key
     count as one document and lose the same chunks. Null text stays null, empty text stays empty;
-    a text whose chunks all go becomes empty. Documents without repeated chunks are unchanged.
+    a text whose chunks all go becomes empty. With `rule.runs` the chunks are runs of lines each of which
+    stands earlier next to the same line; a line that goes is kept in an earlier place. Documents without repeated chunks are unchanged.
     """
     rule = rule or Chunking()
     docs = docs.drop("lines_removed")
@@ -170,9 +211,11 @@ def _cutter(rule: Chunking, column: str, removals: str) -> Callable:
         if text is None or not removed:
             return text, 0
         wanted = {(r["at"], r["lo"], r["hi"]) for r in removed}
-        spans = chunks(text, rule)
+        spans = (pairs if rule.runs else chunks)(text, rule)
         go = [spans[at][:2] for at, lo, hi, _ in _hashed(text, rule) if (at, lo, hi) in wanted]
         lines: list[str | None] = list(text.split("\n"))
+        if rule.runs and go:
+            go = runs(lines, go, rule)
         for first, end in go:
             lines[first:end] = [None] * (end - first)
         return "\n".join(x for x in lines if x is not None), sum(end - first for first, end in go)

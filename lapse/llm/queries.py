@@ -73,7 +73,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicate(docs).select("doc_id", "lines_removed", "text")
+    return lines.deduplicate(docs, rule=lines.Chunking(runs=True)).select("doc_id", "lines_removed", "text")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

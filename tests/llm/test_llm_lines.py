@@ -132,3 +132,58 @@ def test_query(spark):
     got = [(r["doc_id"], r["text"], r["lines_removed"]) for r in op8_line_dedup(spark, edge.SMALL).collect()]
     want = plain([(r["doc_id"], r["text"]) for r in edge.small(spark).collect()], Chunking())
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def planted(rng, count, words, lines_):
+    """Two documents each that share a passage of `lines_` lines of `words` words between other lines."""
+    rows, wanted = [], []
+    for i in range(count):
+        passage = [sentence(rng, words) for _ in range(lines_)]
+        wanted.append(passage)
+        for j in range(2):
+            body = [*(sentence(rng, 10) for _ in range(rng.randint(1, 3))), *passage, sentence(rng, 12)]
+            rows.append((2 * i + j, "\n".join(body)))
+    return rows, wanted
+
+
+@pytest.mark.parametrize("words,lines_", [(26, 2), (20, 3), (15, 4), (12, 5), (10, 6), (9, 40)])
+def test_runs_take_whole_passages(spark, words, lines_):
+    rows, wanted = planted(random.Random(words), 20, words, lines_)
+    got = {k: (t, n) for k, t, n in run(spark, rows, Chunking(runs=True))}
+    for i, passage in enumerate(wanted):
+        before = rows[2 * i + 1][1].split("\n")
+        assert got[2 * i] == (rows[2 * i][1], 0)
+        assert got[2 * i + 1] == ("\n".join(x for x in before if x not in passage), lines_)
+
+
+def test_runs_leave_short_repeats_and_one_copy(spark):
+    rng = random.Random(3)
+    a, b, c, d = (sentence(rng, 7) for _ in range(4))
+    own = lambda: sentence(rng, 9)
+    long = sentence(rng, 40)
+    rows = [
+        (1, f"{own()}\n{a}\n{b}\n{own()}"), (2, f"{own()}\n{a}\n{b}\n{own()}"),  # 14 words in two lines
+        (3, f"{c}\n\n{own()}"), (4, f"{own()}\n\n{c}\n\n{own()}"),  # a single short line
+        (5, f"\n{a}\n\n{d}\n{c}\n"), (6, f"\n{a}\n\n{d}\n{c}\n"),  # a copy with blank lines
+        (7, f"{long}\n{own()}"), (8, f"{own()}\n{long}"),
+        (9, "\n".join([a + b] * 4)),
+    ]
+    got = {k: (t, n) for k, t, n in run(spark, rows, Chunking(runs=True))}
+    for k in (1, 2, 3, 4, 5, 7):
+        assert got[k] == (rows[k - 1][1], 0)
+    assert got[6] == ("", 6) and got[8] == (rows[7][1].split("\n")[0], 1)
+    assert got[9][0].split("\n")[0] == a + b
+
+
+@pytest.mark.skipif(not edge.have_data(), reason="test tables not present")
+def test_query_removes_all_that_chunks_do(spark):
+    """On the test table every line that goes stays in an earlier document, and no fewer go than by chunks."""
+    from lapse.llm.queries import op8_line_dedup
+
+    rows = [(r["doc_id"], r["text"]) for r in edge.small(spark).collect()]
+    by_chunks = {k: n for k, _, n in plain(rows, Chunking())}
+    got = {r["doc_id"]: r for r in op8_line_dedup(spark, edge.SMALL).collect()}
+    assert all(got[k]["lines_removed"] >= n for k, n in by_chunks.items())
+    assert sum(r["lines_removed"] for r in got.values()) > sum(by_chunks.values())
+    kept = {x for r in got.values() for x in (r["text"] or "").split("\n")}
+    assert all(x in kept for _, t in rows for x in (t or "").split("\n") if x.split())
