@@ -140,16 +140,31 @@ def _chain(nodes: list[Mention]) -> list[tuple[int, int]]:
 
 
 def _skips(nodes: list[Mention]) -> list[tuple[int, int]]:
-    """Each mention and the next one with its key: as many edges as mentions at most."""
+    """Each mention outside the base and the first match of each kind with its key, so that a match
+    speaks to every repeat directly; where there is none, the next mention with its key. Matches with
+    one key are linked in turn. At most as many edges as mentions times kinds."""
+    hubs = _hubs(nodes)
     seen: dict[str, int] = {}
     edges = []
     for i, m in enumerate(nodes):
+        if not m.label and m.key in hubs:
+            edges += [(hub, i) for hub in hubs[m.key].values()]
+            continue
         if m.key in seen:
             edges.append((seen[m.key], i))
         seen[m.key] = i
     return edges
 
 
+def _hubs(nodes: list[Mention]) -> dict[str, dict[int, int]]:
+    """By key and label, the first base mention."""
+    found: dict[str, dict[int, int]] = {}
+    for i, m in enumerate(nodes):
+        if m.label:
+            found.setdefault(m.key, {}).setdefault(m.label, i)
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     unary: dict[str, np.ndarray]
@@ -206,11 +221,12 @@ def _association(counts: np.ndarray) -> np.ndarray:
 
 
 def marginals(nodes: list[Mention], model: Model, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
-    """Label probabilities of each mention by loopy sum-product; base mentions are clamped."""
+    """Label probabilities of each mention by loopy sum-product; base mentions are clamped. Messages pass
+    until they settle, at most `rounds` times and four times for each mention (no path is longer)."""
     own = np.stack([model.unary.get(m.shape, model.unseen) for m in nodes])
     for i, m in enumerate(nodes):
         if m.label:
-            own[i] = -50.0
+            own[i] = -np.inf  # certain, however many repeats speak against it
             own[i, m.label] = 0.0
     chain, skip = _chain(nodes), _skips(nodes)
     if not chain and not skip:
@@ -222,7 +238,7 @@ def marginals(nodes: list[Mention], model: Model, rounds: int = 30, damping: flo
     reverse = np.concatenate([np.arange(edges, 2 * edges), np.arange(edges)])
     factor = np.concatenate([np.stack([model.chain] * len(chain) + [model.skip] * len(skip))] * 2)
     message = np.zeros((2 * edges, len(LABELS)))
-    for _ in range(rounds):
+    for _ in range(rounds + 4 * len(nodes)):
         belief = own.copy()
         np.add.at(belief, target, message)
         # what a node knows without its receiver's own message

@@ -128,3 +128,35 @@ def test_query(spark):
         assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
         assert set(listed.split(",")) <= set(r["spans"].split(","))
+
+
+def repeats(n, gap="Nothing here. " * 10):
+    return "Call +1 (437) 555-0689 today. " + gap + gap.join(f"Again 437-555-0689, number {i}. " for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 10, 100])
+def test_every_repeat_takes_the_label(spark, n):
+    """However often a number is repeated, each repeat hears of the match."""
+    text = repeats(n)
+    base, added = pii.spans(text, pii.train(edge.empty(spark)))
+    assert [text[s:e] for _, s, e in base] == ["+1 (437) 555-0689"]
+    assert [(k, text[s:e]) for k, s, e in added] == [("phone", "437-555-0689")] * n
+
+
+def test_messages_settle_on_long_paths(model):
+    """A chain of neighbours longer than the rounds: messages agree with a forward-backward pass."""
+    import numpy as np
+
+    nodes = pii.mentions(" ".join(f"{1000000 + i * 7919} x" for i in range(300)), [])
+    chain = np.full((5, 5), -4.0) + np.eye(5) * 4.0
+    far = pii.Model({}, np.log(np.full(5, 0.2)), chain, chain)
+    own = np.tile(far.unseen, (len(nodes), 1))
+    nodes[0] = pii.Mention(nodes[0].start, nodes[0].end, 4, nodes[0].shape, nodes[0].key)
+    own[0] = -np.inf
+    own[0, 4] = 0.0
+    joint = np.exp(chain)
+    want = [np.eye(5)[4]]
+    for _ in nodes[1:]:
+        want.append(want[-1] @ joint / joint[0].sum())
+    assert len(pii._chain(nodes)) == len(nodes) - 1 and not pii._skips(nodes)
+    assert np.allclose(pii.marginals(nodes, far), want, atol=1e-2)
