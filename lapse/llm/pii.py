@@ -9,7 +9,9 @@ sum-product messages pass until they settle; a mention outside the base whose
 label is probable enough becomes an added span.
 
 The potentials are trained piecewise: each factor is fitted by itself to counts
-over pattern-labelled documents.
+over pattern-labelled documents. A mention that resembles a match of its document
+has no known label: it teaches nothing, and what is learned from unmatched
+mentions of its shape, which resemble no match, is not held against it.
 """
 
 from __future__ import annotations
@@ -165,6 +167,12 @@ def _hubs(nodes: list[Mention]) -> dict[str, dict[int, int]]:
     return found
 
 
+def _unknown(nodes: list[Mention]) -> list[bool]:
+    """Whether a mention is outside the base and has the key of a base mention."""
+    hubs = _hubs(nodes)
+    return [not m.label and m.key in hubs for m in nodes]
+
+
 @dataclass(frozen=True)
 class Model:
     unary: dict[str, np.ndarray]
@@ -188,9 +196,11 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
             n: Counter = Counter()
             for t in batch.column("text").to_pylist():
                 nodes = mentions(t, base_spans(t))
-                n.update(("unary", m.shape, m.label, 0) for m in nodes)
-                n.update(("chain", "", nodes[i].label, nodes[j].label) for i, j in _chain(nodes))
-                n.update(("skip", "", nodes[i].label, nodes[j].label) for i, j in _skips(nodes))
+                unknown = _unknown(nodes)
+                n.update(("unary", m.shape, m.label, 0) for m, u in zip(nodes, unknown, strict=True) if not u)
+                for factor, pairs in (("chain", _chain(nodes)), ("skip", _skips(nodes))):
+                    known = ((i, j) for i, j in pairs if not (unknown[i] or unknown[j]))
+                    n.update((factor, "", nodes[i].label, nodes[j].label) for i, j in known)
             rows = [(*k, v) for k, v in n.items()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
@@ -223,7 +233,9 @@ def _association(counts: np.ndarray) -> np.ndarray:
 def marginals(nodes: list[Mention], model: Model, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
     """Label probabilities of each mention by loopy sum-product; base mentions are clamped. Messages pass
     until they settle, at most `rounds` times and four times for each mention (no path is longer)."""
-    own = np.stack([model.unary.get(m.shape, model.unseen) for m in nodes])
+    unknown = _unknown(nodes)
+    shapes = (None if u else m.shape for m, u in zip(nodes, unknown, strict=True))
+    own = np.stack([model.unary.get(shape, model.unseen) for shape in shapes])
     for i, m in enumerate(nodes):
         if m.label:
             own[i] = -np.inf  # certain, however many repeats speak against it

@@ -160,3 +160,24 @@ def test_messages_settle_on_long_paths(model):
         want.append(want[-1] @ joint / joint[0].sum())
     assert len(pii._chain(nodes)) == len(nodes) - 1 and not pii._skips(nodes)
     assert np.allclose(pii.marginals(nodes, far), want, atol=1e-2)
+
+
+def test_many_unprefixed_numbers_hide_no_repeat(spark):
+    """A model trained on thousands of numbers without a match, and on repeats, still adds repeats only."""
+    import random
+
+    rng = random.Random(5)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    filler = "nothing here " * 10
+    rows = [(i, f"Order {number()} and {filler} again {number()}, see {number()}.") for i in range(2000)]
+    rows += [(5000 + i, repeats(3).replace("437-555-0689", number())) for i in range(200)]
+    for i in range(200):
+        own = number()
+        rows.append((6000 + i, f"Call +1 {own} now. {filler} Or {own}. {filler} Or {own}."))
+    trained = pii.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    for n in (1, 3, 10):
+        text = repeats(n)
+        assert [(k, text[s:e]) for k, s, e in pii.spans(text, trained)[1]] == [("phone", "437-555-0689")] * n
+    assert all(pii.spans(t, trained)[1] == [] for _, t in rows[:300])
+    near = f"Call +1 (437) 555-0689, order {number()} or {number()}."
+    assert pii.spans(near, trained)[1] == []
