@@ -17,14 +17,12 @@ from lapse.sources.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A document in none of the learned languages has less than half its n-grams in any of their filters.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language: no text, no letter or too few known n-grams goes."""
-    found = language.predict(docs.select(*COLUMNS), language.train(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    model = language.train(docs)
+    found = language.predict(docs.select(*COLUMNS), model)
+    return found.where(language.accepted(model, F.col("lang_pred"), F.col("score"))).select(*COLUMNS)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,23 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     held = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["held_out"]]
     assert np.mean(held) > 0.98
+
+
+def test_languages_with_many_ngrams_are_kept(spark):
+    """Far more distinct n-grams than a list's least length: clean documents stay, labelled or not, others go."""
+    import random
+
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    words = ["".join(chr(rng.randint(0x4E00, 0x5600)) for _ in range(rng.randint(1, 3))) for _ in range(1500)]
+    text = lambda: "".join(rng.choices(words, k=40))
+    foreign = lambda: " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(20))
+    rows = [(i, text(), "zh") for i in range(1500)] + [(2000 + i, EN, "en") for i in range(300)]
+    rows += [(3000 + i, text(), None) for i in range(200)] + [(4000 + i, foreign(), None) for i in range(50)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], edge.COLUMNS)
+    model = language.train(docs)
+    assert len(model.masks) > 1 << 20 and dict(zip(model.languages, model.least, strict=True))["en"] == 0.5
+    kept = {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()}
+    assert len([i for i in kept if i < 1500]) >= 1480 and len([i for i in kept if 3000 <= i < 4000]) >= 190
+    assert not [i for i in kept if i >= 4000] and len([i for i in kept if 2000 <= i < 3000]) == 300
