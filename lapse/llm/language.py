@@ -2,8 +2,8 @@
 
 Training keeps, per language, the commonest letter n-grams, as many as cover most
 of what was seen of the language, and sets their bits in
-a bit-sliced Bloom filter: one table of `slots` bit masks in which bit l belongs
-to language l. Looking up an n-gram reads `HASHES` masks and ANDs them, which
+a bit-sliced Bloom filter: one table of `slots` bit masks, of as many words as
+there are 64 languages, in which bit l belongs to language l. Looking up an n-gram reads `HASHES` masks and ANDs them, which
 gives every language that contains it at once. Per document the set bits are
 counted by language; each count is corrected for that language's false-positive
 rate, and the largest corrected share decides. Labelled rows that a first fit has
@@ -26,8 +26,8 @@ from lapse.sources.session import pin
 
 ORDERS = (3, 4)
 HASHES = 3
-#: One mask is at most 64 bits wide; further languages (the rarest) are not learned.
-MAX_LANGUAGES = 64
+#: Bits of one word of a mask; a mask has as many words as the languages need.
+WORD = 64
 UNKNOWN = "und"
 #: An n-gram list holds so much of a language's sampled occurrences, whatever its length.
 COVERAGE = 0.9
@@ -133,14 +133,12 @@ def train(
     has more than `slots` masks, 16 for each n-gram of the longest list."""
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
     docs = docs.where("text is not null and lang is not null")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = tuple(r["lang"] for r in counts)
     if not languages:
-        return Model((), np.zeros(slots, np.uint64), ())
-    picked = F.lit(False)
-    for r in counts:
-        share = min(1.0, rows_per_language / r["count"])
-        picked = F.when(F.col("lang") == r["lang"], F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).otherwise(picked)
+        return Model((), np.zeros((slots, 1), np.uint64), ())
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
+    picked = F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -179,13 +177,15 @@ def _fit(grams: DataFrame, n: str, languages: tuple[str, ...], shortest: int, sl
     longest = int(np.bincount(of).max()) if len(of) else 0
     while longest > shortest and slots < 16 * longest:
         slots *= 2
-    masks = np.zeros(slots, np.uint64)
+    width = next((w for w in (8, 16, 32) if len(languages) <= w), WORD)
+    masks = np.zeros((slots, -(-len(languages) // WORD)), f"uint{width}")
+    rates = []
     for i in range(len(languages)):
+        word, bit = masks[:, i // WORD], masks.dtype.type(1 << i % WORD)
         for at in _slots(hashes[of == i], slots):
-            masks[at] |= np.uint64(1 << i)
-    rates = tuple(float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) ** HASHES for i in range(len(languages)))
-    width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-    return Model(languages, masks.astype(f"uint{width}"), rates)
+            word[at] |= bit
+        rates.append(float((word & bit > 0).mean()) ** HASHES)
+    return Model(languages, masks, tuple(rates))
 
 
 def _least(rows: DataFrame, model: Model) -> tuple[float, ...]:
@@ -218,7 +218,8 @@ def _shares(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarr
                 mask = model.masks[at] if mask is None else mask & model.masks[at]
             total += np.bincount(doc, minlength=n)
             for i in range(len(model.languages)):
-                hits[:, i] += np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) > 0], minlength=n)
+                bit = mask.dtype.type(1 << i % WORD)
+                hits[:, i] += np.bincount(doc[mask[:, i // WORD] & bit > 0], minlength=n)
     false = np.array(model.false_rate)
     share = (hits / np.maximum(total, 1)[:, None] - false) / np.maximum(1 - false, 1e-9)
     return np.clip(share, 0.0, 1.0), has

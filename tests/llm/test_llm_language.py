@@ -102,3 +102,17 @@ def test_languages_with_many_ngrams_are_kept(spark):
     kept = {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()}
     assert len([i for i in kept if i < 1500]) >= 1480 and len([i for i in kept if 3000 <= i < 4000]) >= 190
     assert not [i for i in kept if i >= 4000] and len([i for i in kept if 2000 <= i < 3000]) == 300
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    """Every labelled language is learned, also the rarest of 150."""
+    import random
+
+    rng = random.Random(13)
+    words = {f"l{i:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for i in range(150)}
+    rows = [(n, " ".join(rng.choices(w, k=12)), name) for i, (name, w) in enumerate(words.items()) for n in range(3 + i % 2)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.languages) == sorted(words) and model.masks.shape[1] == 3
+    names, score = language.classify([" ".join(w) for w in words.values()], model)
+    assert names == list(words) and (score > 0.5).all()
