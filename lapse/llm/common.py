@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,3 +71,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bitmap of `bits` (a power of two) that holds the hashes of `column`: a filter without false
+    negatives whose size, on the driver and when broadcast, does not grow with the table."""
+    slot = hashes.select(F.col(column).bitwiseAND(F.lit(bits - 1).cast("long")).alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("held")
+    )
+    out = np.zeros(max(1, bits // 64), np.int64)
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("held").to_numpy()
+    return out.view(np.uint64)
+
+
+def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be in the bitmap."""
+    slot = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """The texts of a batch in UTF-8; null is empty."""
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
