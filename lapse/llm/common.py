@@ -50,10 +50,10 @@ def row_index(
     )
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that `column` holds about `limit` bytes at most (one row at least)."""
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str | None, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that `column`, or all columns, hold about `limit` bytes at most (one row at least)."""
     for batch in batches:
-        per_row = max(1, batch.column(column).nbytes // max(1, batch.num_rows))
+        per_row = max(1, (batch.column(column) if column else batch).nbytes // max(1, batch.num_rows))
         step = max(1, limit // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)

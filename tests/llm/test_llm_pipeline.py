@@ -5,9 +5,10 @@ import edge
 import pytest
 
 import corpus_pipeline as pipeline
-from lapse.llm import lines, packing, pii, simhash
+from lapse.llm import packing, pii, simhash
 
 sys.path.insert(0, os.path.dirname(__file__))
+from test_llm_lines import hashed  # noqa: E402
 from test_llm_lines import plain as plain_lines  # noqa: E402
 from test_llm_simhash import plain_components, plain_fingerprint  # noqa: E402
 
@@ -53,10 +54,10 @@ def test_language_keeps_clean_documents(done):
     assert len([r for r in real if r["doc_id"] in kept]) >= 0.99 * len(real)
 
 
-def test_lines(done):
+def test_lines(spark, done):
     before, after, _ = done["lines"]
-    want = plain_lines([(r["doc_id"], r["text"]) for r in before], lines.Chunking())
-    want = [(k, t, len(t)) for k, t, n in want if not n or t.strip(" ")]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in before], "doc_id long, text string")
+    want = [(k, t, len(t)) for k, t, n in plain_lines(hashed(docs)) if not n or t.strip(" ")]
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in after), key=str) == sorted(want, key=str)
 
 
