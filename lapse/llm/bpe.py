@@ -31,6 +31,10 @@ END = "</w>"
 MOST_NODES = 250_000
 MOST_PAIRS = 200_000
 MOST_WORDS = 200_000
+#: Letters of a word that leave nodes in the trie, and letters of a word that is remembered.
+LONG_WORD = 256
+#: Byte letters are below 2^9.
+LETTER_BITS = 9
 
 _NEVER = 1 << 60
 
@@ -107,43 +111,53 @@ class Vocabulary:
 
 
 class Trie:
-    """Prefixes of the words met so far. A node is found by its letters and holds where its last token
-    starts; the encoding of what stands before is that of the node there."""
+    """Prefixes of the words met so far. A node is found by its parent and its letter and holds where its
+    last token starts; the encoding of what stands before is that of the node there."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.sides: dict[str, tuple[Side, Side, bool] | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.nodes: dict[str, int] = {}
+        #: (parent << LETTER_BITS | letter) to a node, and by node where its last token starts; node 0 is the root.
+        self.nodes: dict[int, int] = {}
+        self.starts = [0]
         #: By token, and "" for the start of a word: whether another token can stand next.
         self.after: dict[str, dict[str, bool]] = {"": {}}
-        self.sides: dict[str, tuple[Side, Side, bool] | None] = {}
         self.pairs = 0
+        self.sides.clear()
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word (in byte letters). Words in sorted order are the depth-first
-        walk: what a word shares with the one before stays on the path."""
-        if len(self.nodes) > MOST_NODES or self.pairs > MOST_PAIRS:
-            self.clear()
-        nodes, after = self.nodes, self.after
-        # along the path: where the last token starts, and what can follow it
-        tokens, starts, follows, before = {}, [0], [after[""]], ""
+        walk: what a word shares with the one before stays on the path. Words of more than
+        `LONG_WORD` letters leave no nodes."""
+        # along the path: the node, where the last token starts, and what can follow it
+        tokens: dict[str, list[str]] = {}
+        path, starts, follows, before = [0], [0], [self.after[""]], ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
+            if len(self.nodes) > MOST_NODES or self.pairs > MOST_PAIRS:
+                self.clear()
+                path, starts, follows, before = [0], [0], [self.after[""]], ""
+            shared, most = 0, min(len(before), len(word), LONG_WORD)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del starts[shared + 1 :], follows[shared + 1 :]
+            del path[shared + 1 :], starts[shared + 1 :], follows[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                prefix = word[:depth]
-                start = nodes.get(prefix)
-                if start is None:
-                    start = nodes[prefix] = self._start(word, depth, starts, follows, "")
+                kept = depth <= LONG_WORD
+                key = path[-1] << LETTER_BITS | ord(word[depth - 1])
+                node = self.nodes.get(key) if kept else None
+                start = self._start(word, depth, starts, follows, "") if node is None else self.starts[node]
+                if kept:
+                    if node is None:
+                        node = self.nodes[key] = len(self.starts)
+                        self.starts.append(start)
+                    path.append(node)
                 starts.append(start)
                 token = word[start:depth]
-                follow = after.get(token)
+                follow = self.after.get(token)
                 if follow is None:
-                    follow = after[token] = {}
+                    follow = self.after[token] = {}
                 follows.append(follow)
             at = self._start(word, len(word), starts, follows, END)
             found = [word[at:] + END]
@@ -213,6 +227,8 @@ class Encoder:
         self.names = {t: str(i) for t, i in self.vocabulary.ids.items()}
         #: Ids joined by spaces, by word; a zero byte comes before words in byte letters, two before special strings.
         self.known: dict[str, str] = {}
+        #: Words met before those, from which they are taken over when they are met again.
+        self.older: dict[str, str] = {}
 
     def _words(self, text: str) -> list[str]:
         rules, words = self.vocabulary, []
@@ -242,11 +258,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, joined by spaces."""
         cut = [self._words(t) for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        self._learn({w for words in cut for w in words if w not in known})
-        return [" ".join([known[w] for w in words]) for words in cut]
+        if 2 * len(self.known) > MOST_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for words in cut for w in words if w not in known}
+        for w in new & older.keys():
+            known[w] = older[w]
+        new -= older.keys()
+        self._learn(new)
+        found = [" ".join([known[w] for w in words]) for words in cut]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}

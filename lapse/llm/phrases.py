@@ -35,6 +35,8 @@ _FOLD = bytes.maketrans(
     _BORDER * len(SEPARATORS) + bytes(range(ord("a"), ord("z") + 1)),
 )
 _BATCH = 8 << 20
+#: Bits of a phrase's hash that are shuffled; phrases that share them are candidates together.
+_HASH = np.uint64(2**48 - 1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -56,48 +58,52 @@ def _groups(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, list[
     yield from found.items()
 
 
-class Level:
-    """Distinct phrases of one length in some texts, and where they stand."""
-
-    def __init__(self, words: list[bytes], hashes: np.ndarray, at: np.ndarray, stands: np.ndarray, counts: np.ndarray):
-        self.words, self.hashes, self.counts = words, hashes, counts
-        #: By token: the phrase that begins there, and whether one does.
-        self.at, self.stands = at, stands
+class Phrases:
+    """The phrases that stand in some texts of one language: of one word at first, then longer ones."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        found: list[bytes] = [_BORDER]
+        for text in texts:
+            found += tokens(text)
+            found.append(_BORDER)
+        number = dict.fromkeys(found)
+        number = dict(zip(number, range(len(number)), strict=True))
+        self.words = list(number)
+        self.ids = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        hashes = _mix(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words)))
+        self.size = 1
+        #: By token: the hash of the phrase that begins there, and whether one does.
+        self.first = self.hashes = hashes[self.ids]
+        self.stands = self.ids != number[_BORDER]
 
     def keep(self, bits: np.ndarray) -> None:
-        passed = held(bits, self.hashes)
-        self.stands &= passed[self.at]
-        self.passed = passed
-
-
-def first_level(lang: str, texts: list[bytes]) -> tuple[Level, np.ndarray]:
-    found: list[bytes] = [_BORDER]
-    for text in texts:
-        found += tokens(text)
-        found.append(_BORDER)
-    number = dict.fromkeys(found)
-    number = dict(zip(number, range(len(number)), strict=True))
-    at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-    words = list(number)
-    seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    hashes = _mix(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words)))
-    return Level(words, hashes, at, at != number[_BORDER], np.bincount(at, minlength=len(words))), at
-
-
-def next_level(shorter: Level, first: Level, size: int, named: bool) -> Level:
-    """Phrases of `size` words both of whose shorter parts stand; `named`: with their texts."""
-    n = max(0, len(first.at) - size + 1)
-    both = shorter.stands[:n] & shorter.stands[1 : n + 1]
-    where = np.flatnonzero(both)
-    key = (shorter.at[where] << 32) | first.at[where + size - 1]
-    distinct, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    left, right = distinct >> 32, distinct & 0xFFFFFFFF
-    hashes = _mix(shorter.hashes[left] * np.uint64(0xD6E8FEB86659FD93) + first.hashes[right])
-    texts = [shorter.words[a] + b" " + first.words[b] for a, b in zip(left, right, strict=True)] if named else []
-    # one entry more, so that an empty level can be looked up
-    at, stands = np.full(len(first.at), len(distinct)), np.zeros(len(first.at), bool)
-    at[where], stands[where] = inverse, True
-    return Level([*texts, b""], np.append(hashes, np.uint64(0)), at, stands, np.append(counts, 0))
+        """Only phrases that may be in the bitmap."""
+        at = np.flatnonzero(self.stands)
+        self.stands[at] = held(bits, self.hashes[at])
+
+    def longer(self) -> None:
+        """One word more; both shorter parts have to stand."""
+        self.stands = self.stands[:-1] & self.stands[1:]
+        self.hashes = _mix(self.hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.first[self.size :])
+        self.size += 1
+
+    def counted(self) -> tuple[list[bytes], np.ndarray]:
+        """Distinct phrases by their words, and how often each stands."""
+        at = np.flatnonzero(self.stands)
+        parts = [self.ids[at + j] for j in range(self.size)]
+        bits = max(1, len(self.words).bit_length())
+        if bits * self.size < 64:
+            key = parts[0]
+            for part in parts[1:]:
+                key = key << bits | part
+            key, counts = np.unique(key, return_counts=True)
+            parts = [key >> bits * (self.size - 1 - j) & (1 << bits) - 1 for j in range(self.size)]
+        else:
+            rows, counts = np.unique(np.stack(parts), axis=1, return_counts=True)
+            parts = list(rows)
+        names = [[self.words[i] for i in part.tolist()] for part in parts]
+        return list(map(b" ".join, zip(*names, strict=True))), counts
 
 
 def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,58 +135,50 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
 
 
-def _miner(filters: list, size: int) -> Callable:
-    """Counts of the phrases of `size` words in a batch, by shard and hash."""
+def _miner(filters: list) -> Callable:
+    """Counts of the phrases in a batch that are a word longer than the last filter's; a key is the shard and 48 bits of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _BATCH):
             for (lang, shard), texts in _groups(batch, ["lang", "shard"]):
-                level, first = _up_to(lang, texts, filters, size - 1, False)
-                found = next_level(level, first, size, False)
-                hashes, counts = found.hashes[:-1], found.counts[:-1]
+                found = Phrases(lang, texts)
+                for bits in filters:
+                    found.keep(bits.value)
+                    found.longer()
+                keys = (found.hashes[found.stands] & _HASH) | np.uint64(shard << 48)
+                keys, counts = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
-                    names=["shard", "h", "n"],
+                    [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], names=["h", "n"]
                 )
 
     return run
 
 
-def _up_to(lang: str, texts: list[bytes], filters: list, size: int, named: bool) -> tuple[Level, Level]:
-    level, _ = first_level(lang, texts)
-    first = level
-    first.keep(filters[0].value)
-    for words in range(2, size + 1):
-        level = next_level(level, first, words, named)
-        level.keep(filters[words - 1].value)
-    return level, first
-
-
 def _phrase_counter(filters: list) -> Callable:
     """Counts of the candidates of a batch, by language and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _BATCH):
             for (lang,), texts in _groups(batch, ["lang"]):
-                level, _ = first_level(lang, texts)
-                first = level
-                first.keep(filters[0].value)
-                for size in range(2, len(filters) + 1):
-                    level = next_level(level, first, size, True)
-                    level.keep(filters[size - 1].value)
-                    chosen = np.flatnonzero(level.passed[:-1])
-                    yield _counted(lang, [level.words[i] for i in chosen], level.counts[chosen])
+                found = Phrases(lang, texts)
+                found.keep(filters[0].value)
+                for bits in filters[1:]:
+                    found.longer()
+                    found.keep(bits.value)
+                    yield _counted(lang, *found.counted())
 
     return run
 
 
 def frequent(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, support: int = 10, shards: int = 4,
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, support: int = 10, shards: int = 3,
     filter_bits: int = 1 << 26,
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: (lang, phrase, f) of every phrase of 1 to `max_words` words with f >= `support`, and
     (lang, n), all word occurrences. A null `lang` is `und`; null texts have no words."""
     named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
+    if not 1 <= shards < 1 << 15:
+        raise ValueError("a shard's number has 15 bits")
     docs = docs.select(named.alias("lang"), F.col(text).alias("text")).where("text <> ''")
     context = docs.sparkSession.sparkContext
     counted = "lang string, phrase string, f long"
@@ -190,8 +188,8 @@ def frequent(
     filters = [context.broadcast(bitmap(often.mapInArrow(_word_hashes, "h long"), "h", filter_bits))]
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
     local = -(-support // shards)
-    for size in range(2, max_words + 1):
-        mined = dealt.mapInArrow(_miner(filters, size), "shard int, h long, n long").groupBy("shard", "h")
+    while len(filters) < max_words:
+        mined = dealt.mapInArrow(_miner(list(filters)), "h long, n int").groupBy("h")
         found = mined.agg(F.sum("n").alias("n")).where(F.col("n") >= local).select("h")
         filters.append(context.broadcast(bitmap(found, "h", filter_bits)))
     phrases = docs.mapInArrow(_phrase_counter(filters), counted).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -204,7 +202,7 @@ def _part(words: Column, start, length) -> Column:
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, support: int = 10, shards: int = 4,
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, support: int = 10, shards: int = 3,
     inside: int = 50, top: int = 2000, filter_bits: int = 1 << 26,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to `max_words` words.
@@ -220,7 +218,7 @@ def collocations(
     counts, totals = frequent(docs, text, lang, max_words, support, shards, filter_bits)
     phrases = counts.withColumn("words", F.split("phrase", " ")).withColumn("size", F.size("words"))
     phrases = phrases.where("size > 1")
-    part = lambda name: counts.select(
+    counted = lambda name: counts.select(
         F.col("lang").alias(f"{name}_lang"), F.col("phrase").alias(f"{name}_phrase"), F.col("f").alias(name)
     )
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
@@ -228,7 +226,7 @@ def collocations(
     cuts = cuts.withColumn("rest", _part(F.col("words"), F.col("k") + 1, F.col("size") - F.col("k")))
     for name, column in (("l", "first"), ("r", "rest")):
         same = (F.col("lang") == F.col(f"{name}_lang")) & (F.col(column) == F.col(f"{name}_phrase"))
-        cuts = cuts.join(part(name), same)
+        cuts = cuts.join(counted(name), same)
     # a <= l, r < 10^16: products have at most 38 digits
     exact = "(cast(1000000 as decimal(7,0)) * (cast(f as decimal(16,0)) * cast(f as decimal(16,0))))"
     score = F.expr(f"{exact} div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))").cast("long")
@@ -242,9 +240,14 @@ def collocations(
     around = around.agg(F.max("f").alias("outer"))
     kept = best.join(around, (F.col("lang") == F.col("o_lang")) & (F.col("phrase") == F.col("o_phrase")), "left")
     kept = kept.where(F.col("outer").isNull() | (100 * F.col("outer") < inside * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = F.desc("score"), F.desc("a"), "phrase"
     ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each of 16 parts first: one task sees at most 16 * top rows of a language
+    part = F.pmod(F.xxhash64("phrase"), F.lit(16)).alias("part")
+    ranked = ranked.select("*", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order)).alias("rank"))
+    ranked = ranked.where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -66,6 +66,26 @@ def test_bounded_memory_changes_nothing(library, own, monkeypatch):
     same(library, own, ODD)
 
 
+@pytest.mark.parametrize("letters", ["a", "acgt", "=", "wordles"])
+def test_a_word_of_a_million_letters(library, letters):
+    """Memory grows with the letters, not with their square, and nothing of the word is kept."""
+    import random
+    import tracemalloc
+
+    own = bpe.Encoder(bpe.read_vocabulary(PATH))
+    word = "".join(random.Random(len(letters)).choices(letters, k=1_000_000))
+    own.encode(["some words", word[:300]])
+    tracemalloc.start()
+    (ids,) = own.encode([word])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and all(len(w) <= bpe.LONG_WORD for w in own.known)
+    assert len(own.trie.nodes) <= 3 * bpe.LONG_WORD
+    want = library.encode(word[:20_000], add_special_tokens=False).ids
+    assert own.encode([word[:20_000]]) == [" ".join(map(str, want))]
+    assert ids.split()[: len(want) - 50] == [str(i) for i in want[:-50]]
+
+
 def test_prefixes_are_shared(own):
     own.trie.clear()
     own.trie.encode(["international", "internationale", "internet"])
