@@ -28,6 +28,8 @@ from lapse.sources.session import pin
 
 # deaths at one time whose terms are added one by one
 EFRON_TERMS = 16
+# rows of a risk table that count as observations: entries have a negative count
+_EXITS = "greatest(n, 0L)"
 # a log hazard per standard deviation beyond this is a likelihood without a maximum
 RUNAWAY = 15.0
 
@@ -77,20 +79,32 @@ def risk_table(
     covariates: Sequence[str],
     strata: Sequence[str] = (),
     rows_per_slice: int = 0,
+    entry: str | None = None,
 ) -> DataFrame:
     """(_stratum0.., t, e, x0.., n), materialised and sliced along t. Rows with a missing
-    duration, event or covariate are left out."""
-    collapsed = (
-        df.where(present(df, duration, event, *covariates))
-        .groupBy(
+    duration, event or covariate are left out.
+
+    With `entry` a row is at risk after that time and up to its duration; rows in which the entry
+    is not before the duration are left out. An entry is a row of its own with a negative count: summed
+    from the last time down, exits less entries are those at risk.
+    """
+    df = df.where(present(df, duration, event, *covariates, *([entry] if entry else [])))
+    if entry:
+        df = df.where(F.col(entry) < F.col(duration))
+
+    def collapsed(time: str, happened, weight: int) -> DataFrame:
+        rows = df.groupBy(
             *[F.col(f"`{s}`").alias(key) for s, key in zip(strata, _stratum_keys(strata))],
-            F.col(duration).alias("t"),
-            F.col(event).cast("int").alias("e"),
+            F.col(time).alias("t"),
+            happened.cast("int").alias("e"),
             *[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(covariates)],
         )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return sliced(pin(collapsed), "t", rows_per_slice)
+        return rows.agg((F.count(F.lit(1)) * weight).alias("n"))
+
+    table = collapsed(duration, F.col(event), 1)
+    if entry:
+        table = table.union(collapsed(entry, F.lit(0), -1))
+    return sliced(pin(table), "t", rows_per_slice)
 
 
 def _stratum_keys(strata: Sequence[str]) -> list[str]:
@@ -99,7 +113,7 @@ def _stratum_keys(strata: Sequence[str]) -> list[str]:
 
 
 def _scales(table: DataFrame, means: Sequence[float]) -> list[float]:
-    deviations = [f"sqrt(sum(n * pow(x{j} - {m!r}D, 2)) / sum(n))" for j, m in enumerate(means)]
+    deviations = [f"sqrt(sum({_EXITS} * pow(x{j} - {m!r}D, 2)) / sum({_EXITS}))" for j, m in enumerate(means)]
     row = table.agg(*[F.expr(d).alias(f"s{j}") for j, d in enumerate(deviations)]).first() if means else ()
     return [float(s) for s in row]
 
@@ -230,20 +244,25 @@ def fit_cox(
     precision: float = 1e-7,
     rows_per_slice: int = 0,
     runaway: float = RUNAWAY,
+    entry: str | None = None,
 ) -> CoxModel:
     """Newton-Raphson with step halving from beta = 0; no penalty.
 
+    With `entry` the rows are episodes (entry, duration] and the covariates may differ between the
+    episodes of a subject (see `episodes`); a subject whose covariates stay the same may be cut anywhere
+    without a change in the coefficients. `baseline_hazard` holds for such a fit, `ph_test` does not.
+
     A covariate that does not vary, or covariates that determine each other,
     make the information singular and are refused; so is a likelihood that
     keeps rising as a coefficient runs away (beyond `runaway` per standard deviation).
     """
     covariates, strata = list(covariates), list(strata)
     p = len(covariates)
-    table = risk_table(df, duration, event, covariates, strata, rows_per_slice)
+    table = risk_table(df, duration, event, covariates, strata, rows_per_slice, entry)
     sizes = table.agg(
-        F.expr("sum(n) AS n"),
+        F.expr(f"sum({_EXITS}) AS n"),
         F.expr("sum(n * e) AS events"),
-        *[F.expr(f"sum(n * x{j}) / sum(n) AS m{j}") for j in range(p)],
+        *[F.expr(f"sum({_EXITS} * x{j}) / sum({_EXITS}) AS m{j}") for j in range(p)],
     ).first()
     if not sizes["events"]:
         raise ValueError("no event was observed")
@@ -368,8 +387,8 @@ def at_fixed(
     table = risk_table(df, duration, event, covariates, strata, rows_per_slice)
     p = len(covariates)
     sizes = table.agg(
-        F.expr("sum(n) AS n"), F.expr("sum(n * e) AS events"),
-        *[F.expr(f"sum(n * x{j}) / sum(n) AS m{j}") for j in range(p)],
+        F.expr(f"sum({_EXITS}) AS n"), F.expr("sum(n * e) AS events"),
+        *[F.expr(f"sum({_EXITS} * x{j}) / sum({_EXITS}) AS m{j}") for j in range(p)],
     ).first()
     means, ones = [float(sizes[f"m{j}"]) for j in range(p)], [1.0] * p
     beta = np.array([float(coef[c]) for c in covariates])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapse.functions.tails import normal_quantile
-from lapse.operators.running import present, running_totals, same_keys_join, sliced
+from lapse.operators.running import SLICE, carried, present, running_totals, same_keys_join, sliced
 from lapse.sources.session import pin
 
 
@@ -162,6 +162,37 @@ def at_times(
     )
 
 
+def at_rows(
+    rows: DataFrame,
+    time: str,
+    curve: DataFrame,
+    values: dict[str, float],
+    keys: Sequence[str] = (),
+    t: str = "t",
+    rows_per_slice: int = 0,
+) -> DataFrame:
+    """`rows` with the value of a curve at each row's own `time` (a clashing column is replaced).
+
+    `values` maps each value column to what holds before the first step. The distinct (keys, time) of the rows
+    and the steps of the curve are put on one axis, and the last step is carried along it by slices, so neither a
+    long curve nor a group with most of the rows is one task. A row whose time is missing, or whose keys no
+    curve has, gets NULL.
+    """
+    rows = rows.drop(*values)
+    kind = rows.schema[time].dataType.simpleString()
+    asked = rows.where(present(rows, time)).select(*keys, F.col(time).cast("double").alias("_t"), F.lit(True).alias("_asked"))
+    steps = curve.select(*keys, F.col(t).cast("double").alias("_t"), F.struct(*values).alias("_v"))
+    both = asked.unionByName(steps, allowMissingColumns=True).groupBy(*keys, "_t")
+    axis = sliced(pin(both.agg(F.max("_asked").alias("_asked"), F.first("_v", ignorenulls=True).alias("_v"))), "_t", rows_per_slice)
+    found = carried(axis, "_t", {"_held": "_v"}, keys).where("_asked").drop(SLICE, "_asked", "_v")
+    known = curve.select(*keys).distinct().withColumn("_known", F.lit(True))
+    found = same_keys_join(found, known, keys) if keys else found.withColumn("_known", F.lit(True))
+    found = found.select(*keys, F.col("_t").cast(kind).alias(time), *[
+        F.coalesce(F.col(f"_held.{name}"), F.lit(start)).alias(name) for name, start in values.items()
+    ])
+    return same_keys_join(rows, found, [*keys, time], "left")
+
+
 def _inside(curve: DataFrame) -> DataFrame:
     """Steps where both ln t and the transforms of S are finite."""
     return curve.where((F.col("t") > 0) & (F.col("survival") > 0) & (F.col("survival") < 1))

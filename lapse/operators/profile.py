@@ -38,6 +38,13 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _finite(name: str) -> str:
+    """The value as a double; NULL where it is missing, NaN or infinite, which count as not present everywhere."""
+    x = f"double({_quoted(name)})"
+    # NaN sorts above infinity, so one comparison leaves both out
+    return f"if(abs({x}) < double('infinity'), {x}, NULL)"
+
+
 def pair_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Correlation of every two columns (doubles) of `df`, called by `names` in the result (a, b, value),
     over the rows where both are present; NULL when either does not vary there.
@@ -127,8 +134,8 @@ class Profile:
     @cached_property
     def numbers(self) -> DataFrame:
         """(column, x, n) over the numeric columns, materialised."""
-        cells = [F.struct(F.lit(c).alias("column"), F.col(_quoted(c)).cast("double").alias("x")) for c in self.numeric]
-        return pin(self._value_counts(cells, "x"))
+        cells = [F.struct(F.lit(c).alias("column"), F.expr(_finite(c)).alias("x")) for c in self.numeric]
+        return pin(self._value_counts(cells, "x", "double"))
 
     @cached_property
     def number_rows(self) -> int:
@@ -137,10 +144,12 @@ class Profile:
     @cached_property
     def texts(self) -> DataFrame:
         """(column, x, n) over the categorical columns, materialised."""
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("x")) for c in self.categorical]
-        return pin(self._value_counts(cells, "x"))
+        cells = [F.struct(F.lit(c).alias("column"), F.col(_quoted(c)).cast("string").alias("x")) for c in self.categorical]
+        return pin(self._value_counts(cells, "x", "string"))
 
-    def _value_counts(self, cells: list[Column], value: str) -> DataFrame:
+    def _value_counts(self, cells: list[Column], value: str, kind: str) -> DataFrame:
+        if not cells:
+            return self._empty(f"column string, {value} {kind}, n long")
         return (
             self.df.select(F.inline(F.array(*cells)))
             .where(F.col(value).isNotNull())
@@ -148,16 +157,24 @@ class Profile:
             .agg(F.count(F.lit(1)).alias("n"))
         )
 
+    def _empty(self, schema: str) -> DataFrame:
+        """What a section gives that has no columns to speak of."""
+        return self.df.sparkSession.createDataFrame([], schema)
+
     def _per_column(self, columns: Sequence[str], aggregates: dict[str, str]) -> DataFrame:
         """One scan of aggregates over every column, turned into one row per column.
 
-        `{c}` in an aggregate stands for the quoted column.
+        `{c}` in an aggregate stands for the quoted column, `{x}` for its finite values. No columns: no rows.
         """
+        if not columns:
+            nothing = {"c": "CAST(NULL AS DOUBLE)", "x": "CAST(NULL AS DOUBLE)"}
+            blank = self.df.agg(F.lit("").alias("column"), *[F.expr(e.format(**nothing)).alias(n) for n, e in aggregates.items()])
+            return blank.where(F.lit(False))
         wide = self.df.agg(
             *[
                 F.struct(
                     F.lit(c).alias("column"),
-                    *[F.expr(e.format(c=_quoted(c))).alias(name) for name, e in aggregates.items()],
+                    *[F.expr(e.format(c=_quoted(c), x=_finite(c))).alias(name) for name, e in aggregates.items()],
                 ).alias(f"_{i}")
                 for i, c in enumerate(columns)
             ]
@@ -185,25 +202,26 @@ class Profile:
         """Counts, moments, range and shape of each numeric column.
 
         std and variance are sample estimates, skewness and kurtosis are
-        bias-corrected, mad is the median absolute deviation from the median.
+        bias-corrected, mad is the median absolute deviation from the median. Only finite values count;
+        NaN is missing, infinite values are counted by themselves.
         """
         aggregates = {
-            "count": "count({c})",
-            "missing": "count_if({c} IS NULL)",
-            "mean": "avg({c})",
-            "std": "stddev_samp({c})",
-            "variance": "var_samp({c})",
-            "min": "double(min({c}))",
-            "max": "double(max({c}))",
-            "sum": "double(sum({c}))",
+            "count": "count({x})",
+            "missing": "count_if({c} IS NULL OR isnan(double({c})))",
+            "mean": "avg({x})",
+            "std": "stddev_samp({x})",
+            "variance": "var_samp({x})",
+            "min": "min({x})",
+            "max": "max({x})",
+            "sum": "sum({x})",
             "zeros": "count_if({c} = 0)",
-            "negatives": "count_if({c} < 0)",
+            "negatives": "count_if({x} < 0)",
             "infinite": "count_if(abs(double({c})) = double('infinity'))",
-            "_g1": "skewness({c})",
-            "_g2": "kurtosis({c})",
+            "_g1": "skewness({x})",
+            "_g2": "kurtosis({x})",
         }
         if approximate_distinct:
-            aggregates["distinct"] = "approx_count_distinct({c})"
+            aggregates["distinct"] = "approx_count_distinct({x})"
         stats = self._per_column(self.numeric, aggregates)
         if not approximate_distinct:
             distinct = self.numbers.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
@@ -270,12 +288,7 @@ class Profile:
         )
 
     def _all_values(self) -> DataFrame:
-        parts = []
-        if self.numeric:
-            parts.append(self.numbers.withColumn("x", F.col("x").cast("string")))
-        if self.categorical:
-            parts.append(self.texts)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return self.numbers.withColumn("x", F.col("x").cast("string")).unionByName(self.texts)
 
     def extremes(self, n: int = 5) -> DataFrame:
         """The n smallest and n largest distinct values of every numeric column."""
@@ -295,7 +308,7 @@ class Profile:
     def missing(self) -> DataFrame:
         """Missing count and share of every column."""
         stats = self._per_column(self.df.columns, {"missing": "count_if({c} IS NULL)", "_rows": "count(1)"})
-        return stats.select("column", "missing", (F.col("missing") / F.col("_rows")).alias("share"))
+        return stats.select("column", "missing", F.try_divide("missing", "_rows").alias("share"))
 
     def missing_correlation(self) -> DataFrame:
         """Correlation of the null indicators of every two columns (NULL when one never varies)."""
@@ -308,18 +321,20 @@ class Profile:
         return pair_correlation(self._doubles(), self.numeric)
 
     def _doubles(self) -> DataFrame:
-        """The numeric columns as c0, c1, ..."""
-        return self.df.select(*[F.col(_quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(self.numeric)])
+        """The numeric columns as c0, c1, ..., their finite values only."""
+        return self.df.select(*[F.expr(_finite(c)).alias(f"c{i}") for i, c in enumerate(self.numeric)])
 
     def spearman(self) -> DataFrame:
         """Rank correlation (average ranks) of every two numeric columns, over the rows where both are
-        present; NaN counts as missing.
+        present and finite.
 
         A column is ranked once among all its values and once among the rows that have each column
         with holes, from one table of counts per value; a pair then reads the ranks it needs.
         """
         names = [f"c{i}" for i in range(len(self.numeric))]
-        rows = self._doubles().select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+        if len(names) < 2:
+            return self._empty("a string, b string, value double")
+        rows = self._doubles()
         held = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in names]).first()
         holes = [i for i, c in enumerate(names) if held[c] < held["rows"]]
         # entry 0: among all rows; entry h + 1: among the rows that have column holes[h]
@@ -356,11 +371,13 @@ class Profile:
     def cramers_v(self) -> DataFrame:
         """Association of every two categorical columns: a, b, chi2, value, corrected value."""
         pairs = list(combinations(self.categorical, 2))
+        if not pairs:
+            return self._empty("a string, b string, chi2 double, value double, corrected double")
         cells = F.array(
             *[
                 F.struct(
                     F.lit(a).alias("a"), F.lit(b).alias("b"),
-                    F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v"),
+                    F.col(_quoted(a)).cast("string").alias("u"), F.col(_quoted(b)).cast("string").alias("v"),
                 )
                 for a, b in pairs
             ]
@@ -394,8 +411,9 @@ class Profile:
         """Counts on a bins x bins grid for every two numeric columns: a, b, a_bin, b_bin, n. Missing
         and infinite values are left out."""
         names = [f"c{i}" for i in range(len(self.numeric))]
-        # NaN sorts above infinity, so one comparison leaves both out
-        values = self._doubles().select(*[F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in names])
+        if len(names) < 2:
+            return self._empty("a string, b string, a_bin int, b_bin int, n long")
+        values = self._doubles()
         bounds = values.agg(*[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names])
         box = bounds.select(F.struct(*bounds.columns)).scalar()
 
@@ -452,7 +470,8 @@ class Profile:
             f"if(is_text AND distinct > {HIGH_CARDINALITY}, 'high cardinality', NULL)",
             f"if(zeros > {MOSTLY} * count, 'mostly zero', NULL)",
             f"if(missing > {MOSTLY} * (count + missing), 'mostly missing', NULL)",
-            f"if(abs(skewness) > {SKEWED}, 'skewed', NULL)",
+            # a column that does not vary has no skewness
+            f"if(NOT isnan(skewness) AND abs(skewness) > {SKEWED}, 'skewed', NULL)",
         )
         per_column = numbers.unionByName(texts).selectExpr("column", f"explode(array({', '.join(rules)})) AS alert")
         correlated = self.pearson().where(F.abs("value") > CORRELATED).select(

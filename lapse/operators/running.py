@@ -95,6 +95,37 @@ def running_totals(
     )
 
 
+def carried(df: DataFrame, order: str, columns: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """Add `{new column: column}`: the last value that is not NULL at or before a row of a `sliced` table with one
+    row per (keys, order)."""
+    before = (Window.unboundedPreceding, 0)
+    if SLICE not in df.columns:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*before)
+        return df.withColumns({name: F.last(c, ignorenulls=True).over(window) for name, c in columns.items()})
+    inside = Window.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(*before)
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*keys, SLICE).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{name}") for name, c in columns.items()]
+    )
+    lead_in = ends.select(
+        *keys, SLICE, *[F.last(f"_end_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in columns]
+    )
+    local = df.withColumns({name: F.last(c, ignorenulls=True).over(inside) for name, c in columns.items()})
+    joined = lookup_join(local, lead_in, [*keys, SLICE])
+    return joined.withColumns({n: F.coalesce(n, f"_before_{n}") for n in columns}).drop(*[f"_before_{n}" for n in columns])
+
+
+def following(df: DataFrame, order: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add `name`: the place along `order` of the next row of a `sliced` table with one row per (keys, order)."""
+    if SLICE not in df.columns:
+        return df.withColumn(name, F.lead(order).over(Window.partitionBy(*keys).orderBy(order)))
+    later = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    starts = df.groupBy(*keys, SLICE).agg(F.min(order).alias("_start"))
+    starts = starts.select(*keys, SLICE, F.min("_start").over(later).alias("_later"))
+    local = df.withColumn(name, F.lead(order).over(Window.partitionBy(*keys, SLICE).orderBy(order)))
+    return lookup_join(local, starts, [*keys, SLICE]).withColumn(name, F.coalesce(name, "_later")).drop("_later")
+
+
 def lookup_join(left: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a long table with a table of one row per key.
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.scalars import rounded
-from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, evaluate, explain
+from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, episodes, evaluate, explain
 from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
@@ -373,6 +373,45 @@ def cox_stratified(spark, root):
     return _round(cox.summary(spark, model).select("covariate", "coef", "se"), 5, "coef", "se")
 
 
+def _episodes(spark, root):
+    return episodes.episodes(retail.order_spans(spark, root), retail.order_changes(spark, root), "id", ["urgent", "price"])
+
+
+KNOTS = (90, 180, 365, 730, 1460)
+
+
+@query
+def order_episodes(spark, root):
+    return _episodes(spark, root)
+
+
+@query
+def cox_time_varying(spark, root):
+    model = cox.fit_cox(_episodes(spark, root), "stop", "event", ["urgent"], entry="start")
+    return _round(cox.summary(spark, model).select("covariate", "coef", "exp_coef", "se", "z"), 5, "coef", "exp_coef", "se", "z")
+
+
+@query
+def piecewise_coefficients(spark, root):
+    model = episodes.fit_piecewise(_episodes(spark, root), "stop", "event", KNOTS, ["urgent"], "start")
+    table = episodes.piecewise_summary(spark, model).select("covariate", "coef", "exp_coef", "se", "z")
+    return _round(table, 5, "coef", "exp_coef", "se", "z")
+
+
+@query
+def piecewise_hazards(spark, root):
+    model = episodes.fit_piecewise(_episodes(spark, root), "stop", "event", KNOTS, ["urgent"], "start")
+    return _round(episodes.piecewise_hazards(spark, model), 9, "hazard")
+
+
+@query
+def km_at_rows(spark, root):
+    people = retail.customers_survival(spark, root)
+    curve = km.km_curve(people, "duration", "event", ["segment"])
+    rows = people.select("o_custkey", "segment", (F.col("duration") + F.col("o_custkey") % 7 - 3).alias("time"))
+    return _round(km.at_rows(rows, "time", curve, {"survival": 1.0}, ["segment"]), 6, "survival")
+
+
 @query
 def cox_summary(spark, root):
     table = cox.summary(spark, cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))

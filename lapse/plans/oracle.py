@@ -409,10 +409,11 @@ def hazard(coef: dict[str, float]) -> str:
 hz AS MATERIALIZED (SELECT t, sum(d / s0) OVER (ORDER BY t) AS h FROM rs)"""
 
 
-def newton(strata: str = "'all'") -> str:
-    """One 0/1 covariate `urgent` with Efron ties: fitted (beta, information) by recursion."""
+def newton(strata: str = "'all'", weight: str = "1") -> str:
+    """One 0/1 covariate `urgent` with Efron ties: fitted (beta, information) by recursion. `weight` is -1 for
+    the rows of `base` that enter and 1 for those that leave."""
     return f"""
-counts AS (SELECT {strata} AS s, t, sum(e) AS d, sum(e * urgent) AS d1, sum(urgent) AS n1, count(*) AS n FROM base GROUP BY ALL),
+counts AS (SELECT {strata} AS s, t, sum(e) AS d, sum(e * urgent) AS d1, sum(urgent * {weight}) AS n1, sum({weight}) AS n FROM base GROUP BY ALL),
 risk AS MATERIALIZED (
   SELECT s, t, CAST(d AS BIGINT) AS d, CAST(d1 AS DOUBLE) AS d1, d - d1 AS d0,
     CAST(sum(n1) OVER (PARTITION BY s ORDER BY t DESC) AS DOUBLE) AS r1,
@@ -439,6 +440,56 @@ SQL["cox_stratified"] = f"""
 WITH {GAP_ROWS}, {newton('segment')}
 SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('1 / sqrt(info)', 5)} AS se FROM fit"""
 
+EPISODES = """
+dated AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderpriority = '1-URGENT' AS urgent, o_totalprice / 100000 AS price
+  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL),
+spans AS (SELECT id, min(day) AS first, max(day) AS last, (SELECT max(day) FROM dated) - max(day) AS quiet FROM dated GROUP BY id),
+ends AS (SELECT id, first, (last - first) + least(quiet, 180) AS stop, CAST(quiet > 180 AS INTEGER) AS event FROM spans),
+marks AS (SELECT id, day - first AS since, max(CAST(urgent AS INTEGER)) AS urgent, max(price) AS price, any_value(stop) AS stop, any_value(event) AS event
+  FROM dated JOIN ends USING (id) GROUP BY ALL),
+cut AS (SELECT *, lead(since) OVER (PARTITION BY id ORDER BY since) AS next FROM marks),
+episodes AS (SELECT id, since AS start, coalesce(next, stop) AS stop, CASE WHEN next IS NULL THEN event ELSE 0 END AS event, urgent, price
+  FROM cut WHERE since < stop)"""
+
+SQL["order_episodes"] = f"""
+WITH {EPISODES} SELECT id, CAST(start AS DOUBLE) AS start, CAST(stop AS DOUBLE) AS stop, event, urgent, price FROM episodes"""
+SQL["cox_time_varying"] = f"""
+WITH {EPISODES},
+base AS (SELECT stop AS t, event AS e, urgent, 1 AS k FROM episodes UNION ALL SELECT start, 0, urgent, -1 FROM episodes), {newton(weight='k')}
+SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('exp(beta)', 5)} AS exp_coef, {r('1 / sqrt(info)', 5)} AS se,
+  {r('beta * sqrt(info)', 5)} AS z FROM fit"""
+
+PIECES = f"""{EPISODES},
+knots(k, low, high) AS (VALUES (0, 0, 90), (1, 90, 180), (2, 180, 365), (3, 365, 730), (4, 730, 1460), (5, 1460, NULL)),
+parts AS MATERIALIZED (
+  SELECT k, low, high, CAST(sum(d) AS DOUBLE) AS d, CAST(sum(d * urgent) AS DOUBLE) AS d1,
+    CAST(sum(s * urgent) AS DOUBLE) AS t1, CAST(sum(s * (1 - urgent)) AS DOUBLE) AS t0
+  FROM (SELECT k, low, high, urgent, greatest(least(stop, coalesce(high, stop)) - greatest(start, low), 0) AS s,
+          CASE WHEN stop > low AND stop <= coalesce(high, stop) THEN event ELSE 0 END AS d FROM episodes, knots) x
+  GROUP BY ALL),
+mean AS (SELECT sum(t1) / sum(t0 + t1) AS m FROM parts),
+fit AS (
+  WITH RECURSIVE step(it, beta, info) AS (
+    SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+    UNION ALL
+    SELECT it + 1, beta + g / i, i FROM (
+      SELECT it, beta, sum(d1 - d * m) AS g, sum(d * m * (1 - m)) AS i FROM (
+        SELECT it, beta, d, d1, t1 * exp(beta) / (t0 + t1 * exp(beta)) AS m FROM step, parts WHERE it < 15 AND d > 0) a
+      GROUP BY it, beta) b)
+  SELECT * FROM step WHERE it = 15)"""
+SQL["piecewise_coefficients"] = f"""
+WITH {PIECES} SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('exp(beta)', 5)} AS exp_coef, {r('1 / sqrt(info)', 5)} AS se,
+  {r('beta * sqrt(info)', 5)} AS z FROM fit"""
+SQL["piecewise_hazards"] = f"""
+WITH {PIECES} SELECT CAST(low AS DOUBLE) AS lower, CAST(high AS DOUBLE) AS upper, t0 + t1 AS exposure, CAST(d AS BIGINT) AS events,
+  {r('d / (t0 * exp(-beta * m) + t1 * exp(beta * (1 - m)))', 9)} AS hazard FROM parts, fit, mean"""
+SQL["km_at_rows"] = f"""
+WITH {CUSTOMERS}, {curve('people', 'segment')},
+asked AS (SELECT o_custkey, segment, duration + o_custkey % 7 - 3 AS time FROM people)
+SELECT a.o_custkey, a.segment, a.time, {r('coalesce(c.survival, 1.0)', 6)} AS survival
+FROM asked a ASOF LEFT JOIN curve c ON a.segment = c.segment AND a.time >= c.t"""
+
+
 def newton_binary(base: str, names: tuple[str, ...], steps: int = 12) -> str:
     """Efron fit of up to three 0/1 covariates: final(b0.., i00.., ll) after `steps` Newton steps.
 

@@ -137,3 +137,29 @@ def scored_documents(spark: SparkSession, root: str) -> DataFrame:
         F.col("quality").alias("label"),
         (F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0))).alias("score"),
     )
+
+
+def order_spans(spark: SparkSession, root: str) -> DataFrame:
+    """One row per ordering customer: (id, start, stop, event), days since the first order; the event is a
+    lapse, 180 days after the last order, and who has not lapsed is followed to the newest order of all."""
+    orders = table(spark, root, "orders").where("o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+    newest = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
+    span = orders.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.min(F.to_date("o_orderdate")).alias("first"), F.max(F.to_date("o_orderdate")).alias("last")
+    )
+    quiet = F.datediff(newest, "last")
+    return span.select(
+        "id", F.lit(0).alias("start"),
+        (F.datediff("last", "first") + F.least(quiet, F.lit(180))).alias("stop"), (quiet > 180).cast("int").alias("event"),
+    )
+
+
+def order_changes(spark: SparkSession, root: str) -> DataFrame:
+    """What a customer's latest order says: (id, at, urgent, price), `at` in days since the first order and
+    `price` in hundred thousands; of orders on one day the urgent one and the dearest one count."""
+    orders = table(spark, root, "orders").where("o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+    first = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min(F.to_date("o_orderdate")).alias("first"))
+    return orders.join(first, F.col("o_custkey") == F.col("id")).select(
+        "id", F.datediff(F.to_date("o_orderdate"), F.col("first")).alias("at"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), (F.col("o_totalprice") / 100000).alias("price"),
+    )
