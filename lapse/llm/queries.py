@@ -59,8 +59,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder)
-    # payloads are not kept; their sizes and digests are those that the records state
-    records = pin(warc.read(spark, folder).drop("payload"))
+    # the payloads are checked against their digests while they are read, and not kept
+    records = pin(warc.sound(warc.read(spark, folder)).drop("payload"))
     found = warc.assemble(records)
     page = warc.field(F.col("metadata"), "page-id").cast("long")
     found = pin(found.select("capture_id", page.alias("page_id"), "response.*"))

@@ -229,6 +229,12 @@ def _row(header: dict[str, str], block: bytes) -> tuple:
             header.get("warc-target-uri"), digest, size, right, fields, payload)
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """`records` of `read`; a response whose payload does not have the digest that its record states is an error."""
+    damaged = F.raise_error(F.concat(F.lit("damaged payload in record "), F.col("record_id")))
+    return records.withColumn("payload_digest", F.when(F.col("digest_ok") == F.lit(False), damaged).otherwise(F.col("payload_digest")))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, request, response, metadata).
 

@@ -103,3 +103,11 @@ def test_query(spark):
         again = first[d] != p["page_id"]
         want.append((p["page_id"], len((p["html"] or "").encode()), d, "revisit" if again else "response", first[d] if again else None))
     assert sorted(map(tuple, op7_warc(spark, edge.SMALL).collect())) == sorted(want)
+
+
+def test_damaged_payloads_are_an_error(spark):
+    schema = "record_id string, digest_ok boolean, payload_digest string"
+    whole = spark.createDataFrame([("a", True, "X"), ("b", None, "Y"), ("c", True, None)], schema)
+    assert sorted(map(tuple, warc.sound(whole).collect())) == [("a", True, "X"), ("b", None, "Y"), ("c", True, None)]
+    with pytest.raises(Exception, match="damaged payload in record d"):
+        warc.sound(whole.union(spark.createDataFrame([("d", False, "Z")], schema))).collect()
