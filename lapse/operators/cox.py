@@ -323,6 +323,10 @@ def _solve(information: np.ndarray, right: np.ndarray) -> np.ndarray:
 # --- results as tables --------------------------------------------------------------
 
 
+def _exp(x: float) -> float:
+    return math.exp(x) if x < 709 else math.inf
+
+
 def coefficient_rows(names, coef, errors, alpha) -> list[tuple]:
     z_alpha = normal_quantile(1 - alpha / 2)
     rows = []
@@ -331,7 +335,7 @@ def coefficient_rows(names, coef, errors, alpha) -> list[tuple]:
         z, p = b / se, normal_two_sided(b / se)
         low, high = b - z_alpha * se, b + z_alpha * se
         rows.append(
-            (*((name,) if isinstance(name, str) else name), b, math.exp(b), se, low, high, math.exp(low), math.exp(high),
+            (*((name,) if isinstance(name, str) else name), b, _exp(b), se, low, high, _exp(low), _exp(high),
              z, p, surprise(p))
         )
     return rows

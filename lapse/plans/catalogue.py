@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.scalars import rounded
 from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, episodes, evaluate, explain
-from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm
+from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm, splines
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
 
@@ -404,6 +404,24 @@ def piecewise_hazards(spark, root):
     return _round(episodes.piecewise_hazards(spark, model), 9, "hazard")
 
 
+def _spline(spark, root):
+    return splines.fit_spline(_episodes(spark, root), "stop", "event", ["urgent"], 1, "start")
+
+
+@query
+def spline_coefficients(spark, root):
+    table = splines.summary(spark, _spline(spark, root)).where("covariate <> 'constant'")
+    return _round(table.select("covariate", "coef", "se"), 5, "coef", "se")
+
+
+@query
+def spline_hazards(spark, root):
+    """Hazard and survival of every episode at its end, with the covariates it has there."""
+    rows = _episodes(spark, root).select("id", "stop", "urgent")
+    found = splines.predict(rows, "stop", _spline(spark, root))
+    return _round(found, 6, "cumulative_hazard", "survival").withColumn("hazard", rounded(F.col("hazard"), 9))
+
+
 @query
 def km_at_rows(spark, root):
     people = retail.customers_survival(spark, root)

@@ -483,6 +483,56 @@ WITH {PIECES} SELECT 'urgent' AS covariate, {r('beta', 5)} AS coef, {r('exp(beta
 SQL["piecewise_hazards"] = f"""
 WITH {PIECES} SELECT CAST(low AS DOUBLE) AS lower, CAST(high AS DOUBLE) AS upper, t0 + t1 AS exposure, CAST(d AS BIGINT) AS events,
   {r('d / (t0 * exp(-beta * m) + t1 * exp(beta * (1 - m)))', 9)} AS hazard FROM parts, fit, mean"""
+def above(u: str, power: int) -> str:
+    """The one term of a restricted cubic spline with an inner knot `q`, or a third of its derivative."""
+    return f"(greatest({u} - q, 0) ** {power} - (1 - q) * greatest({u}, 0) ** {power} - q * greatest({u} - 1, 0) ** {power})"
+
+
+def spline(steps: int = 25) -> str:
+    """Newton steps in (log time, knot, urgent); the constant is solved out, so the twin sums other terms than the fit."""
+    names = ("1", "2", "3")
+    moved = "c1 * {0}1 + c2 * {0}2 + c3 * {0}3"
+    sums = [f"sum(n * (w * b{i} - w0 * a{i})) AS r{i}, sum(n * e * (b{i} + d{i} / sd)) AS g{i}" for i in names]
+    sums += [f"sum(n * (w * b{i} * b{j} - w0 * a{i} * a{j})) AS r{i}{j}, sum(n * e * d{i} * d{j} / sd ** 2) AS s{i}{j}"
+             for i in names for j in names if i <= j]
+    solved = [f"g{i} - dead * r{i} / r AS h{i}" for i in names]
+    solved += [f"s{i}{j} + dead * (r{i}{j} / r - r{i} * r{j} / r ** 2) AS m{i}{j}" for i in names for j in names if i <= j]
+    cofactors = """m22 * m33 - m23 * m23 AS k11, m13 * m23 - m12 * m33 AS k12, m12 * m23 - m13 * m22 AS k13,
+      m11 * m33 - m13 * m13 AS k22, m12 * m13 - m11 * m23 AS k23, m11 * m22 - m12 * m12 AS k33"""
+    return f"""{EPISODES},
+died AS (SELECT t, sum(n) OVER (ORDER BY t) AS c, sum(n) OVER () AS dead
+  FROM (SELECT stop AS t, count(*) AS n FROM episodes WHERE event = 1 GROUP BY stop) x),
+places AS (SELECT low, width, (mid - low) / width AS q FROM (
+  SELECT ln(min(t)) AS low, ln(max(t)) - ln(min(t)) AS width, ln(min(CASE WHEN c >= ceil(0.5 * dead) THEN t END)) AS mid FROM died) x),
+mean AS (SELECT avg(urgent) AS m FROM episodes),
+scaled AS (SELECT start > 0 AS late, event AS e, (ln(stop) - low) / width AS u, (ln(CASE WHEN start > 0 THEN start ELSE 1 END) - low) / width AS v,
+  urgent - m AS x, q, width FROM episodes, places, mean),
+terms AS MATERIALIZED (SELECT late, e, u AS b1, {above('u', 3)} AS b2, x AS b3, v AS a1, {above('v', 3)} AS a2, x AS a3,
+  1 / width AS d1, 3 / width * {above('u', 2)} AS d2, 0 AS d3, count(*) AS n FROM scaled GROUP BY ALL),
+fit AS (
+  WITH RECURSIVE step(it, c1, c2, c3, c0, e1, e2, e3) AS (
+    SELECT 0, (SELECT width FROM places), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT it + 1, c1 + (k11 * h1 + k12 * h2 + k13 * h3) / det, c2 + (k12 * h1 + k22 * h2 + k23 * h3) / det,
+      c3 + (k13 * h1 + k23 * h2 + k33 * h3) / det, c0, k11 / det, k22 / det, k33 / det
+    FROM (SELECT *, m11 * k11 + m12 * k12 + m13 * k13 AS det FROM (SELECT *, {cofactors} FROM (
+      SELECT it, c1, c2, c3, ln(dead / r) AS c0, {', '.join(solved)} FROM (
+        SELECT it, c1, c2, c3, sum(n * e) AS dead, sum(n * (w - w0)) AS r, {', '.join(sums)} FROM (
+          SELECT *, exp({moved.format('b')}) AS w, CASE WHEN late THEN exp({moved.format('a')}) ELSE 0 END AS w0, c1 * d1 + c2 * d2 AS sd
+          FROM step, terms WHERE it < {steps}) a
+        GROUP BY it, c1, c2, c3) b) c) d) f)
+  SELECT * FROM step WHERE it = {steps})"""
+
+
+SQL["spline_coefficients"] = f"""
+WITH {spline()}
+SELECT 'log_time' AS covariate, {r('c1', 5)} AS coef, {r('sqrt(e1)', 5)} AS se FROM fit
+UNION ALL SELECT 'knot_1', {r('c2', 5)}, {r('sqrt(e2)', 5)} FROM fit UNION ALL SELECT 'urgent', {r('c3', 5)}, {r('sqrt(e3)', 5)} FROM fit"""
+SQL["spline_hazards"] = f"""
+WITH {spline()},
+placed AS (SELECT id, stop, urgent, (ln(stop) - low) / width AS u, q, width, c0, c1, c2, c3, urgent - m AS x FROM episodes, places, mean, fit),
+risen AS (SELECT *, exp(c0 + c1 * u + c2 * {above('u', 3)} + c3 * x) AS h, (c1 + 3 * c2 * {above('u', 2)}) / width AS rise FROM placed)
+SELECT id, CAST(stop AS DOUBLE) AS stop, urgent, {r('h', 6)} AS cumulative_hazard, {r('exp(-h)', 6)} AS survival, {r('rise * h / stop', 9)} AS hazard FROM risen"""
 SQL["km_at_rows"] = f"""
 WITH {CUSTOMERS}, {curve('people', 'segment')},
 asked AS (SELECT o_custkey, segment, duration + o_custkey % 7 - 3 AS time FROM people)
