@@ -5,9 +5,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapse.functions.scalars import present_id, yes_flag
+from lapse.operators.running import lookup_join, running_totals, same_keys_join, sliced
+from lapse.sources.session import pin
 
 
 def clean_transactions(
@@ -89,6 +91,43 @@ def hash_split(
     )
 
 
+def stratified_split(
+    df: DataFrame, key: str, label: str, split: str = "split", train: int = 60, val: int = 20, cells: int = 1 << 16, rows_per_slice: int = 0
+) -> DataFrame:
+    """Add a train / val / test column whose shares hold within each value of the label, to the row.
+
+    Rows of a label are ordered by a hash of the key, and a split ends at the hash where its quota, rounded, is reached.
+    Counts per (label, cell of hashes) say which cell that is; only the rows of such cells are ordered. Rows of one key
+    and label stay together, so a quota is exceeded by at most the other rows of the key at its end. A NULL key is one
+    key, a NULL label one label. Unlike `hash_split`, new rows may move others. Reads the table three times, twice by two columns.
+    """
+    if df.columns.count(key) != 1 or df.columns.count(label) != 1:
+        raise ValueError("key and label are single columns")
+    hashed = F.coalesce(F.conv(F.substring(F.md5(F.col(f"`{key}`").cast("string")), 1, 15), 16, 10).cast("long"), F.lit(0))
+    rows = df.select(F.col(f"`{label}`").alias("_label"), hashed.alias("_h"))
+    cell = F.floor(F.col("_h") / F.lit((1 << 60) // cells)).cast("long")
+    counts = pin(rows.groupBy("_label", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")))
+    totals = counts.groupBy("_label").agg(F.sum("_n").alias("_all"))
+    quota = F.array(*[F.floor((F.col("_all") * share + 50) / 100) for share in (train, train + val)])
+    run = running_totals(sliced(counts, "_cell", rows_per_slice), "_cell", {"_c": "_n"}, ["_label"])
+    ends = lookup_join(run.select("_label", "_cell", "_n", "_c"), totals, ["_label"])
+    ends = ends.select("_label", "_cell", (F.col("_c") - F.col("_n")).alias("_before"), "_c", F.posexplode(quota).alias("_i", "_quota"))
+    ends = pin(ends.where("_before < _quota AND _quota <= _c").drop("_c"))
+
+    crossed = same_keys_join(rows.withColumn("_cell", cell), ends.select("_label", "_cell").distinct(), ["_label", "_cell"], "left_semi")
+    units = crossed.groupBy("_label", "_cell", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    units = units.withColumn("_c", F.sum("_n").over(Window.partitionBy("_label", "_cell").orderBy("_h")))
+    reached = same_keys_join(units, ends, ["_label", "_cell"]).where("_before + _c >= _quota")
+    cuts = reached.groupBy("_label").agg(
+        *[F.min(F.when(F.col("_i") == i, F.col("_h"))).alias(f"_cut{i}") for i in range(2)]
+    )
+    # a quota of 0 rows has no end: nothing is before it
+    cuts = same_keys_join(totals.select("_label"), cuts, ["_label"], "left")
+    found = lookup_join(df.withColumns({"_label": F.col(f"`{label}`"), "_h": hashed}), cuts, ["_label"])
+    within = [F.col("_h") <= F.coalesce(f"_cut{i}", F.lit(-1)) for i in range(2)]
+    return found.withColumn(split, F.when(within[0], "train").when(within[1], "val").otherwise("test")).drop("_label", "_h", "_cut0", "_cut1")
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Repeatable sample of exactly min(n, rows) rows: the n smallest salted key hashes."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))

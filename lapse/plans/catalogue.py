@@ -723,6 +723,12 @@ def _split_features(spark, root):
     return prep.hash_split(retail.churn_features(spark, root), "CustomerID")
 
 
+@query
+def stratified_split(spark, root):
+    rows = prep.stratified_split(retail.churn_features(spark, root), "CustomerID", "ChurnBool")
+    return rows.select("CustomerID", "ChurnBool", "split")
+
+
 def _fixed_scorer():
     return PipelineModel(
         [

@@ -236,6 +236,12 @@ SPLIT = f"""{FEATURES},
 split_features AS (
   SELECT *, CASE WHEN {bucket('CustomerID')} < 60 THEN 'train' WHEN {bucket('CustomerID')} < 80 THEN 'val' ELSE 'test' END AS split
   FROM features)"""
+SQL["stratified_split"] = f"""
+WITH {FEATURES},
+placed AS (SELECT CustomerID, ChurnBool, count(*) OVER (PARTITION BY ChurnBool) AS n, row_number() OVER (
+  PARTITION BY ChurnBool ORDER BY CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 15) AS BIGINT)) AS place FROM features)
+SELECT CustomerID, ChurnBool, CASE WHEN place <= (n * 60 + 50) // 100 THEN 'train' WHEN place <= (n * 80 + 50) // 100 THEN 'val' ELSE 'test' END AS split
+FROM placed"""
 SQL["hash_split"] = f"WITH {SPLIT} SELECT CustomerID, ChurnBool, split FROM split_features"
 
 
