@@ -172,7 +172,9 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fill_mode(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """Fill missing values with the column's mode."""
     mode = modes(df if fitted_on is None else fitted_on, columns)
-    return df.withColumns({c: F.coalesce(F.col(c), mode.select(c).scalar()) for c in columns})
+    # one value for all columns, so that the plan holds one aggregate however many there are
+    found = mode.select(F.struct(*[F.col(c).alias(f"m{j}") for j, c in enumerate(columns)])).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), found[f"m{j}"]) for j, c in enumerate(columns)})
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -819,3 +819,27 @@ def shapley_values(spark, root):
 @query
 def shapley_summary(spark, root):
     return _round(explain.shapley_summary(_shapley(spark, root)), 6, "mean_abs_shapley")
+
+
+WIDE = ["Tenure", "TotalSpend", "MonthlySpend", "Balance", "Tenure_2", "Spend_3", "Balance_2"]
+LEVELS = {"Segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "Region": ["AFRICA", "AMERICA", "ASIA", "EUROPE"]}
+
+
+@query
+def kernel_shapley(spark, root):
+    """Sixteen features, with products of two: the values that the kernel regression estimates are known in closed form."""
+    rows = prep.one_hot(_split_features(spark, root), ["Segment", "Region"], LEVELS).withColumns({
+        "Tenure_2": F.col("Tenure") * F.col("Tenure") / F.lit(100.0),
+        "Spend_3": F.col("CustomerID") % 3,
+        "Balance_2": F.col("Balance") * 2 - F.col("Tenure"),
+    })
+    features = [*WIDE, *[f"{c}_{v}" for c, values in LEVELS.items() for v in values]]
+
+    def predict(df):
+        linear = " + ".join(f"{(j + 1) / 10}D * `{c}` / {1e6 if 'Spend' in c and c != 'Spend_3' else 1e3}D" for j, c in enumerate(features))
+        return df.withColumn("prediction", F.expr(f"{linear} + 0.002D * Tenure * Spend_3 + 0.0001D * Segment_BUILDING * Balance"))
+
+    values = explain.kernel_shapley(
+        rows.where("split = 'val'"), rows.where("split = 'train'"), "CustomerID", features, predict, n_coalitions=200
+    )
+    return _round(values, 9, "value", "shapley")

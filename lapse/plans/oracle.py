@@ -1023,3 +1023,32 @@ shap AS (
   UNION ALL SELECT e.CustomerID, 'TotalSpend', e.TotalSpend, (v4 - v0) / 3 + (v5 - v1) / 6 + (v6 - v2) / 6 + (v7 - v3) / 3 FROM w JOIN e USING (CustomerID))"""
 SQL["shapley_values"] = f"WITH {SHAPLEY} SELECT CustomerID, feature, {r('value')} AS value, {r('shapley')} AS shapley FROM shap"
 SQL["shapley_summary"] = f"WITH {SHAPLEY} SELECT feature, {r('avg(abs(shapley))')} AS mean_abs_shapley FROM shap GROUP BY feature"
+
+
+def wide_shapley() -> str:
+    """Values of a model of linear terms and two products: a linear term's is its distance from the background's mean, a
+    product's is shared by its two features."""
+    numbers = {
+        "Tenure": "Tenure", "TotalSpend": "TotalSpend", "MonthlySpend": "MonthlySpend", "Balance": "Balance",
+        "Tenure_2": "Tenure * Tenure / 100", "Spend_3": "CustomerID % 3", "Balance_2": "Balance * 2 - Tenure",
+    }
+    levels = {"Segment": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), "Region": ("AFRICA", "AMERICA", "ASIA", "EUROPE")}
+    numbers |= {f"{c}_{v}": f"CAST({c} = '{v}' AS INTEGER)" for c, values in levels.items() for v in values}
+    pairs = {"Tenure": ("Spend_3", 0.002), "Spend_3": ("Tenure", 0.002), "Segment_BUILDING": ("Balance", 0.0001), "Balance": ("Segment_BUILDING", 0.0001)}
+    rows = []
+    for j, name in enumerate(numbers):
+        scale = 1e6 if name in ("TotalSpend", "MonthlySpend") else 1e3
+        term = f"{(j + 1) / 10} / {scale} * (e.{name} - b.{name})"
+        if name in pairs:
+            other, c = pairs[name]
+            term += f" + {c} / 2 * (e.{name} - b.{name}) * (e.{other} + b.{other})"
+        rows.append(f"SELECT e.CustomerID, '{name}' AS feature, CAST(any_value(e.{name}) AS DOUBLE) AS value, avg(CAST({term} AS DOUBLE)) AS shapley FROM e, b GROUP BY e.CustomerID")
+    columns = ", ".join(f"{x} AS {name}" for name, x in numbers.items())
+    return f"""{SPLIT},
+wide AS (SELECT CustomerID, split, md5(CAST(CustomerID AS VARCHAR) || ':460409061') AS h, {columns} FROM split_features),
+e AS (SELECT * FROM wide WHERE split = 'val' ORDER BY h, CustomerID LIMIT 100),
+b AS (SELECT * FROM wide WHERE split = 'train' ORDER BY h, CustomerID LIMIT 100),
+shap AS ({' UNION ALL '.join(rows)})"""
+
+
+SQL["kernel_shapley"] = f"WITH {wide_shapley()} SELECT CustomerID, feature, {r('value', 9)} AS value, {r('shapley', 9)} AS shapley FROM shap"
