@@ -660,10 +660,10 @@ centre AS (
   SELECT t, avg((s1_urgent - l / d * e1_urgent) / (s0 - l / d * e0)) AS urgent,
     avg((s1_building - l / d * e1_building) / (s0 - l / d * e0)) AS building
   FROM (SELECT *, unnest(range(d)) AS l FROM rs WHERE d > 0) GROUP BY t)
-SELECT w.t, 'urgent' AS covariate, w.urgent AS x, count(*) AS n, {r('avg(w.z_urgent - c.urgent)')} AS residual
+SELECT w.t, 'urgent' AS covariate, CAST(w.urgent AS DOUBLE) AS x, count(*) AS n, {r('avg(w.z_urgent - c.urgent)')} AS residual
 FROM weighted w JOIN centre c ON w.t = c.t WHERE e = 1 GROUP BY ALL
 UNION ALL
-SELECT w.t, 'building', w.building, count(*), {r('avg(w.z_building - c.building)')}
+SELECT w.t, 'building', CAST(w.building AS DOUBLE), count(*), {r('avg(w.z_building - c.building)')}
 FROM weighted w JOIN centre c ON w.t = c.t WHERE e = 1 GROUP BY ALL"""
 SQL["ph_test"] = f"""
 WITH {GAP_ROWS}, {risk_sets({'urgent': 0.15})},
