@@ -492,17 +492,22 @@ def ph_test(spark, root):
 
 @query
 def ph_report(spark, root):
-    return cox.ph_report(cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"]))
+    return _round(cox.ph_report(cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"])), 5, "p")
 
 
 # A gap of 0 days is a second order on the same day, a lifetime of 0 months a single order: half a unit.
 HALF = 0.5
 
 
+def _aft_table(table):
+    table = _round(table.drop("neg_log2_p"), 4, "coef", "se", "lower", "upper", "p")
+    return _round(table, 3, "exp_coef", "exp_lower", "exp_upper", "z")
+
+
 @query
 def aft_loglogistic(spark, root):
     model = aft.fit_aft(_gaps(spark, root), "duration", "event", ["urgent", "building"], shift=HALF)
-    return aft.summary(spark, model)
+    return _aft_table(aft.summary(spark, model))
 
 
 @query
@@ -515,7 +520,8 @@ def aft_summary(spark, root):
         scored = gaps.withColumn("score", aft.median_column(model))
         index = conc.concordance(scored, "duration", "event", "score").first()["concordance"]
         tables_.append(aft.metrics(spark, model, index))
-    return tables_[0].unionByName(tables_[1]).unionByName(tables_[2])
+    table = tables_[0].unionByName(tables_[1]).unionByName(tables_[2])
+    return _round(_round(table, 4, "log_likelihood", "aic", "lr_statistic", "lr_p", "lr_neg_log2_p"), 6, "concordance")
 
 
 @query
@@ -539,13 +545,20 @@ def aft_coefficients(spark, root):
 
 @query
 def aft_weibull(spark, root):
-    return aft.fit_weibull_library(_lapses(spark, root), "duration", "event", ["building", "asia"], shift=HALF)
+    fitted = aft.fit_weibull_library(_lapses(spark, root), "duration", "event", ["building", "asia"], shift=HALF)
+    return _round(fitted, 3, "coef")
+
+
+@query
+def aft_intervals(spark, root):
+    model = aft.fit_aft(_lapses(spark, root), "duration", "event", ["building", "asia"], "weibull", shift=HALF)
+    return _round(aft.intervals(spark, model), 4, "coef", "lower", "upper")
 
 
 @query
 def aft_lognormal(spark, root):
     model = aft.fit_aft(_lapses(spark, root), "duration", "event", ["building", "asia"], "lognormal", shift=HALF)
-    return aft.summary(spark, model)
+    return _aft_table(aft.summary(spark, model))
 
 
 # --- lifetime value -----------------------------------------------------------------

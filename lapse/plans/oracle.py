@@ -546,6 +546,21 @@ SELECT a.o_custkey, a.segment, a.time, {r('coalesce(c.survival, 1.0)', 6)} AS su
 FROM asked a ASOF LEFT JOIN curve c ON a.segment = c.segment AND a.time >= c.t"""
 
 
+def inverted(source: str, p: int, keep: str = "") -> str:
+    """Select with a00.. of a p by p matrix in one row replaced by its inverse (Gauss-Jordan in place)."""
+    for k in range(p):
+        cells = []
+        for i in range(p):
+            for j in range(p):
+                if i == k:
+                    cell = f"1 / a{k}{k}" if j == k else f"a{k}{j} / a{k}{k}"
+                else:
+                    cell = f"-a{i}{k} / a{k}{k}" if j == k else f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k}"
+                cells.append(f"{cell} AS a{i}{j}")
+        source = f"(SELECT {keep}{', '.join(cells)} FROM {source})"
+    return source
+
+
 def newton_binary(base: str, names: tuple[str, ...], steps: int = 12) -> str:
     """Efron fit of up to three 0/1 covariates: final(b0.., i00.., ll) after `steps` Newton steps.
 
@@ -686,6 +701,48 @@ tests AS (
 SELECT 'urgent' AS covariate, transform, {r('statistic', 5)} AS statistic, {r(erfc('sqrt(statistic / 2)'), 5)} AS p FROM tests"""
 
 
+def flag_tests(names: tuple[str, ...]) -> str:
+    """tests(covariate, transform, statistic) of a fit of 0/1 covariates (see `newton_binary`)."""
+    p, patterns = len(names), range(2 ** len(names))
+    on = [[j for j in range(p) if m >> j & 1] for m in patterns]
+    theta = [("exp(" + " + ".join(f"b{j}" for j in on[m]) + ")") if on[m] else "1.0" for m in patterns]
+    left = [f"(r{m} - l / d * d{m}) * {theta[m]}" for m in patterns]
+    means = ", ".join(
+        f"avg(({' + '.join(left[m] for m in patterns if j in on[m])}) / ({' + '.join(left)})) AS m{j}" for j in range(p)
+    )
+    full = ", ".join(f"i{min(j, k)}{max(j, k)} AS a{j}{k}" for j in range(p) for k in range(p))
+    patterns_ = " UNION ALL ".join(
+        f"SELECT t, d{m} AS n, {', '.join(f'{int(j in on[m])} - m{j} AS r{j}' for j in range(p))} FROM sets JOIN centre USING (t) WHERE d{m} > 0"
+        for m in patterns
+    )
+    scaled = " UNION ALL ".join(
+        f"SELECT '{x}' AS covariate, t, n, {' + '.join(f'a{j}{k} * r{k}' for k in range(p))} AS v, a{j}{j} AS variance FROM residuals, inverse"
+        for j, x in enumerate(names)
+    )
+    return f"""
+centre AS (SELECT t, {means} FROM ties, final GROUP BY t),
+inverse AS (SELECT * FROM {inverted(f'(SELECT {full} FROM final)', p)}),
+residuals AS ({patterns_}),
+scaled AS ({scaled}),
+times AS (
+  SELECT t, sum(n) OVER (ORDER BY t) - (n - 1) / 2 AS rank,
+    1 - exp(sum(CASE WHEN d = at_risk THEN -1e300 ELSE ln(1 - d / at_risk) END) OVER (ORDER BY t)) AS km
+  FROM (SELECT *, sum(n) OVER (ORDER BY t DESC) AS at_risk FROM (SELECT t, sum(e) AS d, count(*) AS n FROM base GROUP BY t))),
+tests AS (
+  SELECT covariate, transform, pow(sum(n * g * v) - sum(n * g) / sum(n) * sum(n * v), 2) * sum(n) / any_value(variance)
+    / (sum(n * g * g) - pow(sum(n * g), 2) / sum(n)) AS statistic
+  FROM (SELECT s.*, transform, CASE transform WHEN 'km' THEN km ELSE rank END AS g
+        FROM scaled s JOIN times USING (t), (VALUES ('km'), ('rank')) f(transform))
+  GROUP BY covariate, transform)"""
+
+
+SQL["ph_report"] = f"""
+WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {flag_tests(_FLAGS)},
+least AS (SELECT covariate, min({erfc('sqrt(statistic / 2)')}) AS p FROM tests GROUP BY covariate)
+SELECT covariate, {r('p', 5)} AS p, p < 0.05 AS violates,
+  CASE WHEN p < 0.05 THEN 'stratify on it, bin it, or let its effect vary with time' ELSE 'keep' END AS advice FROM least"""
+
+
 SQL["hazard_ratios_flags"] = f"""
 WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {coefficients(_FLAGS)}
 SELECT covariate, {r('exp(coef)', 5)} AS exp_coef, {r(f'exp(coef - {Z95} * se)', 5)} AS exp_lower,
@@ -699,26 +756,40 @@ cells AS MATERIALIZED (
 AFT_TERMS = {
     "loglogistic": ("e - (1 + e) / (1 + exp(-z))", "-(1 + e) / (1 + exp(-z)) / (1 + exp(z))"),
     "weibull": ("e - exp(z)", "-exp(z)"),
+    "lognormal": ("CASE WHEN e = 1 THEN -z ELSE -h END", "CASE WHEN e = 1 THEN -1 ELSE -h * (h - z) END"),
+}
+# log likelihood of one subject, but for e * (c - y)
+AFT_VALUES = {
+    "loglogistic": "e * z - (1 + e) * ln(1 + exp(z))",
+    "weibull": "e * z - exp(z)",
+    "lognormal": "CASE WHEN e = 1 THEN -z * z / 2 - ln(2 * pi()) / 2 ELSE -z * z / 2 - ln(2 * pi()) / 2 - ln(h) END",
+}
+# survival of the standard normal, by the sign of z, and its hazard h (of censored subjects only)
+_SIDE = erfc("least(abs(z), 8) / sqrt(2)").replace("range(0, 200)", "range(0, 100)")
+AFT_HAZARDS = {
+    "loglogistic": "0.0", "weibull": "0.0",
+    "lognormal": f"CASE WHEN e = 1 THEN 0.0 ELSE exp(-z * z / 2) / sqrt(2 * pi()) / (CASE WHEN z > 0 THEN {_SIDE} / 2 ELSE 1 - {_SIDE} / 2 END) END",
 }
 
 
-def aft_fit(family: str, steps: int = 400) -> str:
-    """<family>(b0, b1, b2, c): Newton steps in one parameter after the other, from the mean log time on."""
+def aft_fit(family: str, steps: int = 400, name: str = "", free: tuple[int, ...] = (0, 1, 2, 3)) -> str:
+    """<name>(b0, b1, b2, c): Newton steps in one parameter after the other, from the mean log time on."""
     u, w = AFT_TERMS[family]
+    turn = f"list_extract({list(free)}, it % {len(free)} + 1)"
     return f"""
-{family} AS (
+{name or family} AS MATERIALIZED (
   WITH RECURSIVE step(it, b0, b1, b2, c) AS (
     SELECT 0, (SELECT sum(n * y) / sum(n) FROM cells), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
     UNION ALL
-    SELECT it + 1, b0 + CASE it % 4 WHEN 0 THEN move ELSE 0 END, b1 + CASE it % 4 WHEN 1 THEN move ELSE 0 END,
-      b2 + CASE it % 4 WHEN 2 THEN move ELSE 0 END, c + CASE it % 4 WHEN 3 THEN move ELSE 0 END
+    SELECT it + 1, b0 + CASE {turn} WHEN 0 THEN move ELSE 0 END, b1 + CASE {turn} WHEN 1 THEN move ELSE 0 END,
+      b2 + CASE {turn} WHEN 2 THEN move ELSE 0 END, c + CASE {turn} WHEN 3 THEN move ELSE 0 END
     FROM (
-      SELECT it, b0, b1, b2, c, greatest(-1, least(1, CASE it % 4
-        WHEN 0 THEN sum(-n * u) / exp(c) / -sum(n * w) WHEN 1 THEN sum(-n * u * x1) / exp(c) / -sum(n * w * x1)
-        WHEN 2 THEN sum(-n * u * x2) / exp(c) / -sum(n * w * x2)
+      SELECT it, b0, b1, b2, c, greatest(-1, least(1, CASE {turn}
+        WHEN 0 THEN sum(-n * u) / exp(c) / -sum(n * w) WHEN 1 THEN sum(-n * u * x1) / exp(c) / -sum(n * w * x1 * x1)
+        WHEN 2 THEN sum(-n * u * x2) / exp(c) / -sum(n * w * x2 * x2)
         ELSE sum(n * (e + u * z)) / abs(sum(n * (w * z * z + u * z))) END)) AS move
-      FROM (SELECT *, {u} AS u, {w} AS w FROM (
-        SELECT step.*, cells.*, (y - (b0 + b1 * x1 + b2 * x2)) * exp(c) AS z FROM step, cells WHERE it < {steps}))
+      FROM (SELECT *, {u} AS u, {w} AS w FROM (SELECT *, {AFT_HAZARDS[family]} AS h FROM (
+        SELECT step.*, cells.*, (y - (b0 + b1 * x1 + b2 * x2)) * exp(c) AS z FROM step, cells WHERE it < {steps})))
       GROUP BY it, b0, b1, b2, c))
   SELECT * FROM step WHERE it = {steps})"""
 
@@ -735,6 +806,75 @@ m AS (SELECT exp(any_value(b0) + any_value(b1) * sum(n * x1) / sum(n) + any_valu
 SELECT 'loglogistic' AS family, {r('median', 3)} AS median, printf('%.2e', exp(median)) AS exp_median_ref FROM m"""
 
 
+def aft_at(family: str, fit: str) -> str:
+    """The rows with z and the terms of the likelihood at a fit."""
+    u, w = AFT_TERMS[family]
+    return f"""(SELECT *, {u} AS u, {w} AS w, {AFT_VALUES[family]} AS l FROM (SELECT *, {AFT_HAZARDS[family]} AS h FROM (
+  SELECT cells.*, b0, b1, b2, c, (y - (b0 + b1 * x1 + b2 * x2)) * exp(c) AS z FROM {fit}, cells)))"""
+
+
+def aft_table(rows: str, family: str, names: tuple[str, str], location: str, shape: str, columns: str) -> str:
+    """Coefficients with their errors from the information at the maximum."""
+    xs = ("1", "x1", "x2")
+    cells = [f"sum(-n * w * {xs[i]} * {xs[j]} * exp(2 * c)) AS a{i}{j}" for i in range(3) for j in range(3)]
+    cells += [f"sum(n * {xs[j]} * (w * z + u) * exp(c)) AS a{a}{b}" for j in range(3) for a, b in ((j, 3), (3, j))]
+    cells += ["sum(-n * (w * z * z + u * z)) AS a33"]
+    sign = "-" if family == "lognormal" else ""
+    return f"""
+WITH {rows}, {aft_fit(family)},
+information AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(c) AS c, {', '.join(cells)} FROM {aft_at(family, family)}),
+covariance AS (SELECT * FROM {inverted('information', 4, 'b0, b1, b2, c, ')}),
+coefs AS (
+  SELECT '{location}' AS parameter, '{names[0]}' AS covariate, b1 AS coef, sqrt(a11) AS se FROM covariance
+  UNION ALL SELECT '{location}', '{names[1]}', b2, sqrt(a22) FROM covariance
+  UNION ALL SELECT '{location}', 'Intercept', b0, sqrt(a00) FROM covariance
+  UNION ALL SELECT '{shape}', 'Intercept', {sign}c, sqrt(a33) FROM covariance),
+tested AS (SELECT *, CASE WHEN abs(coef / se) > 8 THEN 0 ELSE {erfc('abs(coef / se) / sqrt(2)')} END AS p FROM coefs)
+SELECT {columns} FROM tested"""
+
+
+_AFT_COLUMNS = f"""parameter, covariate, {r('coef', 4)} AS coef, {r('exp(coef)', 3)} AS exp_coef, {r('se', 4)} AS se,
+  {r(f'coef - {Z95} * se', 4)} AS lower, {r(f'coef + {Z95} * se', 4)} AS upper"""
+_AFT_TESTS = f"""{_AFT_COLUMNS}, {r(f'exp(coef - {Z95} * se)', 3)} AS exp_lower, {r(f'exp(coef + {Z95} * se)', 3)} AS exp_upper,
+  {r('coef / se', 3)} AS z, {r('p', 4)} AS p"""
+AFT_GAPS = f"""{GAPS},
+cells AS MATERIALIZED (
+  SELECT ln(duration + 0.5) AS y, event AS e, (priority = '1-URGENT')::INT AS x1, (segment = 'BUILDING')::INT AS x2,
+    count(*) AS n FROM gaps GROUP BY ALL)"""
+AFT_BALANCES = f"""{CUSTOMERS},
+cells AS MATERIALIZED (
+  SELECT ln(duration + 0.5) AS y, event AS e, (segment = 'BUILDING')::INT AS x1, (acctbal - mean) / std AS x2, count(*) AS n
+  FROM people, (SELECT avg(acctbal) AS mean, stddev_pop(acctbal) AS std FROM people) GROUP BY ALL)"""
+SQL["aft_loglogistic"] = aft_table(AFT_GAPS, "loglogistic", ("urgent", "building"), "alpha_", "beta_", _AFT_TESTS)
+SQL["aft_lognormal"] = aft_table(AFT_ROWS, "lognormal", ("building", "asia"), "mu_", "sigma_", _AFT_TESTS)
+SQL["aft_intervals"] = aft_table(
+    AFT_ROWS, "weibull", ("building", "asia"), "lambda_", "rho_",
+    f"parameter, covariate, {r('coef', 4)} AS coef, {r(f'coef - {Z95} * se', 4)} AS lower, {r(f'coef + {Z95} * se', 4)} AS upper",
+)
+SQL["aft_weibull"] = f"""
+WITH {AFT_ROWS}, {aft_fit('weibull')}
+SELECT unnest(['lambda_', 'lambda_', 'lambda_', 'rho_']) AS parameter, unnest(['building', 'asia', 'Intercept', 'Intercept']) AS covariate,
+  unnest([{r('b1', 3)}, {r('b2', 3)}, {r('b0', 3)}, {r('c', 3)}]) AS coef FROM weibull"""
+
+
+def aft_metrics(family: str) -> str:
+    value = f"SELECT sum(n * (e * (c - y) + l)) FROM {{}}"
+    return f"""
+SELECT '{family}' AS family, (SELECT sum(n)::BIGINT FROM cells) AS observations, (SELECT sum(n * e)::BIGINT FROM cells) AS events,
+  ({value.format(aft_at(family, family))}) AS ll, ({value.format(aft_at(family, family + '_null'))}) AS ll0,
+  (SELECT (sum(a.n * b.n) FILTER (a.s < b.s) + coalesce(sum(a.n * b.n) FILTER (a.s = b.s), 0) / 2) / sum(a.n * b.n)
+   FROM (SELECT *, b1 * x1 + b2 * x2 AS s FROM cells, {family}) a JOIN (SELECT *, b1 * x1 + b2 * x2 AS s FROM cells, {family}) b
+     ON a.e = 1 AND (b.y > a.y OR (b.y = a.y AND b.e = 0))) AS concordance"""
+
+
+SQL["aft_summary"] = f"""
+WITH {AFT_BALANCES}, {', '.join(aft_fit(f) + ', ' + aft_fit(f, name=f + '_null', free=(0, 3)) for f in AFT_TERMS)},
+found AS ({' UNION ALL '.join(aft_metrics(f) for f in AFT_TERMS)})
+SELECT family, observations, events, {r('ll', 4)} AS log_likelihood, {r('concordance')} AS concordance, {r('8 - 2 * ll', 4)} AS aic,
+  {r('2 * (ll - ll0)', 4)} AS lr_statistic, 2 AS lr_df, {r('exp(ll0 - ll)', 4)} AS lr_p, {r('(ll - ll0) / ln(2)', 4)} AS lr_neg_log2_p
+FROM found"""
+
+
 # --- lifetime value -----------------------------------------------------------------
 
 
