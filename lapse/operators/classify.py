@@ -7,17 +7,21 @@ executors and a stored model scores a table without Python in the row path.
 from __future__ import annotations
 
 import json
+import math
 import random
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, ImputerModel, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lapse.functions.scalars import log1p_exp
 from lapse.operators.evaluate import binary_metrics
 from lapse.operators.prep import moments
 from lapse.sources.session import pin
@@ -64,27 +68,94 @@ def fit_preprocessing(train: DataFrame, features: Sequence[str] = FEATURES) -> P
     return PipelineModel([coerce, imputer, standardise, VectorAssembler(inputCols=scaled, outputCol="features")])
 
 
-def learner(rounds: int, **overrides) -> GBTClassifier:
-    return GBTClassifier(labelCol="_label", maxIter=rounds, **{**PARAMETERS, **overrides})
+class Boosting:
+    """Boosted trees for logistic loss, grown round by round and continued at any time.
 
+    A round fits one tree of the built-in learner to the gradients at the margin so far, with the seed of
+    its number, so the first rounds are the same however far growing goes. The first rung comes from the built-in
+    booster, whose trees are the same and which bins the rows once for all of them; it cannot go on, later rungs can.
+    The margin of the finished rungs is a column of a pinned table; only the trees of the current rung are
+    evaluated in a round. The result is the built-in model, cut to as many rounds as are wanted.
+    """
 
-def boosted(rows: DataFrame, max_rounds: int, patience: int = PATIENCE, **overrides) -> GBTClassificationModel:
-    """The rounds with the least validation loss, found with `patience` rounds without a better one.
+    def __init__(self, rows: DataFrame, patience: int = PATIENCE, **overrides):
+        self.patience = patience
+        parameters = {**PARAMETERS, **overrides}
+        self.step, self.seed = parameters.pop("stepSize"), parameters.pop("seed")
+        self.parameters = parameters
+        self.rows = rows.select("features", "_label", "_is_val").withColumn("_margin", F.lit(0.0))
+        self.trees, self.weights, self.losses = [], [], []
+        self.stopped = False
+
+    @property
+    def best(self) -> int:
+        return best_round(self.losses, self.patience)[0]
+
+    def grow(self, rounds: int) -> Boosting:
+        """Add rungs until there are `rounds` rounds or the patience is used up. The first rung has
+        32 rounds, a later one 8 to 32, a fifth of those before it; a rung reads the validation rows once."""
+        while len(self.trees) < rounds and not self.stopped:
+            if self.trees:
+                self._rung(min(max(8, len(self.trees) // 5), 32, rounds - len(self.trees)))
+            else:
+                self._first_rung(min(32, rounds))
+            self.stopped = best_round(self.losses, self.patience)[1]
+        return self
+
+    def _first_rung(self, size: int) -> None:
+        learner = GBTClassifier(labelCol="_label", maxIter=size, stepSize=self.step, seed=self.seed, **self.parameters)
+        found = learner.fit(self.rows.where("NOT _is_val"))
+        validation = self.rows.where("_is_val")
+        self.trees, self.weights = list(found.trees), list(found.treeWeights)
+        self.losses = [math.inf] * size if validation.isEmpty() else found.evaluateEachIteration(validation)
+        margin = vector_to_array("rawPrediction")[1]
+        self.rows = pin(found.transform(self.rows).select("features", "_label", "_is_val", margin.alias("_margin")))
+
+    def _rung(self, size: int) -> None:
+        first = len(self.trees)
+        sign = F.col("_label") * 2 - 1
+        for m in range(first, first + size):
+            target = sign * 4 / (1 + F.exp(sign * F.col(f"_after_{m}") * 2))
+            points = self._margins(self.rows.where("NOT _is_val"), first).select("features", target.alias("_target"))
+            fitted = RandomForestRegressor(
+                labelCol="_target", numTrees=1, bootstrap=False, seed=self.seed + m, **self.parameters
+            ).fit(points)
+            self.trees.append(fitted.trees[0])
+            self.weights.append(self.step)
+        rounds = range(first + 1, first + size + 1)
+        validation = self._margins(self.rows.where("_is_val"), first)
+        losses = validation.agg(*[F.avg(2 * log1p_exp(sign * F.col(f"_after_{m}") * -2)) for m in rounds]).first()
+        self.losses += [math.inf if loss is None else loss for loss in losses]  # no validation rows
+        moved = self._margins(self.rows, first)
+        self.rows = pin(moved.select("features", "_label", "_is_val", F.col(f"_after_{first + size}").alias("_margin")))
+
+    def _margins(self, df: DataFrame, first: int) -> DataFrame:
+        """The rows, which hold the margin of the first `first` rounds, with the margin after each later round."""
+        df = df.withColumn(f"_after_{first}", F.col("_margin"))
+        for m in range(first, len(self.trees)):
+            df = self.trees[m].setPredictionCol(f"_tree_{m}").transform(df)
+            df = df.withColumn(f"_after_{m + 1}", F.col(f"_after_{m}") + F.col(f"_tree_{m}") * self.weights[m])
+        return df
+
+    def model(self, rounds: int | None = None) -> GBTClassificationModel:
+        """The model after `rounds` rounds, or after the best."""
+        n = rounds or self.best
+        context = SparkContext._active_spark_context
+        kind = context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+        trees = context._gateway.new_array(kind, n)
+        weights = context._gateway.new_array(context._jvm.double, n)
+        for i in range(n):
+            trees[i], weights[i] = self.trees[i]._java_obj, self.weights[i]
+        found = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            f"gbt_{self.seed}_{n}", trees, weights
+        )
+        found.set(found.getParam("labelCol"), "_label")
+        return GBTClassificationModel(found)
 
-    The learner's own early stopping gives up after one round, so rounds are grown without it, 8 and
-    then twice as many, until the losses after each round show that the patience is used up or the
-    limit is reached. Growing is deterministic: the first rounds are the same every time.
-    """
-    train, validation = rows.where("NOT _is_val"), rows.where("_is_val")
-    rounds = min(8, max_rounds)
-    while True:
-        model = learner(rounds, **overrides).fit(train)
-        losses = model.evaluateEachIteration(validation)
-        best, stopped = best_round(losses, patience)
-        if stopped or rounds == max_rounds:
-            break
-        rounds = min(2 * rounds, max_rounds)
-    return model if best == rounds else learner(best, **overrides).fit(train)
+
+def boosted(rows: DataFrame, max_rounds: int, patience: int = PATIENCE, **overrides) -> GBTClassificationModel:
+    """The rounds with the least validation loss, found with `patience` rounds without a better one."""
+    return Boosting(rows, patience, **overrides).grow(max_rounds).model()
 
 
 def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
@@ -134,30 +205,46 @@ def trials(
     features: Sequence[str] = FEATURES,
     max_rounds: int = MAX_ROUNDS,
     parallelism: int = 4,
+    first_rounds: int | None = None,
 ) -> tuple[DataFrame, PipelineModel]:
     """Fit every parameter set, score the validation split, and return the trials
-    (trial, parameters, metrics, best) with the model of the highest F1.
+    (trial, parameters, rounds grown, metrics, finished, best) with the model of the highest F1.
 
-    Preprocessing and its materialised table are shared; fits run side by side.
+    Preprocessing and its materialised table are shared; fits run side by side. With `first_rounds` the search halves:
+    every set grows that many rounds, the half with the lower validation loss goes on from the trees
+    it has to twice as many, and so on; the last two grow to the end. Only those can be the best; the
+    others keep the metrics of the rounds that they have.
     """
     preprocessing = fit_preprocessing(df.where(F.col(split) == "train"), features)
     rows = pin(_prepared(df, label, split, preprocessing))
     validation = rows.where("_is_val")
 
-    def run(parameters: Mapping):
-        model = boosted(rows, max_rounds, **parameters)
+    def score(found: Boosting):
+        model = found.model()
         scored = model.transform(validation).withColumn("p", vector_to_array("probability")[1])
         return model, binary_metrics(scored, "_label", "p").first()
 
+    searches = [Boosting(rows, **parameters) for parameters in grid]
+    going = list(range(len(searches)))
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, grid))
-    best = max(range(len(results)), key=lambda i: results[i][1]["f1"])
+        rounds = min(first_rounds or max_rounds, max_rounds)
+        while first_rounds and len(going) > 2 and rounds < max_rounds:
+            list(pool.map(lambda i: searches[i].grow(rounds), going))
+            going = sorted(going, key=lambda i: (min(searches[i].losses), i))[: (len(going) + 1) // 2]
+            rounds = min(2 * rounds, max_rounds)
+        list(pool.map(lambda i: searches[i].grow(max_rounds), going))
+        results = list(pool.map(score, searches))
+    best = max(sorted(going), key=lambda i: results[i][1]["f1"])
     table = df.sparkSession.createDataFrame(
         [
-            (i, json.dumps(dict(parameters), sort_keys=True), m["f1"], m["accuracy"], m["log_loss"], m["roc_auc"], i == best)
+            (
+                i, json.dumps(dict(parameters), sort_keys=True), len(searches[i].losses), m["f1"], m["accuracy"],
+                m["log_loss"], m["roc_auc"], i in going, i == best,
+            )
             for i, (parameters, (_, m)) in enumerate(zip(grid, results))
         ],
-        "trial int, parameters string, f1 double, accuracy double, log_loss double, roc_auc double, best boolean",
+        "trial int, parameters string, rounds int, f1 double, accuracy double, log_loss double, roc_auc double, "
+        "finished boolean, best boolean",
     )
     return table, PipelineModel([*preprocessing.stages, results[best][0]])
 

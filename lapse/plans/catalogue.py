@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -778,6 +779,34 @@ def trial_table(spark, root):
     return classify.trials(_split_features(spark, root), grid)[0]
 
 
+@query
+def trial_halving(spark, root):
+    """Four sets, of which two go on after eight rounds."""
+    grid = [{"maxDepth": depth, "stepSize": step, "minInstancesPerNode": 20} for depth in (2, 4) for step in (0.1, 0.3)]
+    return classify.trials(_split_features(spark, root), grid, max_rounds=24, first_rounds=8)[0]
+
+
+@query
+def boosted_stumps(spark, root):
+    """Boosting that SQL can follow: trees of one condition on one feature with few values, every row in every round."""
+    rows = _split_features(spark, root)
+    model = classify.train_gbt(
+        rows, features=["Tenure"], max_rounds=6, maxDepth=1, minInstancesPerNode=1, subsamplingRate=1.0, featureSubsetStrategy="all"
+    )
+    return _round(classify.batch_score(rows, model).select("CustomerID", "split", "prediction", "probability"), 6, "probability")
+
+
+@query
+def score_bayes(spark, root):
+    """Preprocessing with missing values and batch scores of a model with probability vectors."""
+    rows = _split_features(spark, root).withColumn("TotalSpend", F.when(F.col("Balance") > 0, F.col("TotalSpend")))
+    train = rows.where("split = 'train'")
+    ready = classify.fit_preprocessing(train)
+    bayes = NaiveBayes(modelType="gaussian", labelCol="ChurnBool").fit(ready.transform(train))
+    scored = classify.batch_score(rows, PipelineModel([*ready.stages, bayes]))
+    return _round(scored.select("CustomerID", "prediction", "probability", "Churn"), 5, "probability")
+
+
 @query
 def batch_score(spark, root):
     scored = classify.batch_score(_split_features(spark, root), _fixed_scorer())

@@ -868,7 +868,7 @@ SELECT '{family}' AS family, (SELECT sum(n)::BIGINT FROM cells) AS observations,
 
 
 SQL["aft_summary"] = f"""
-WITH {AFT_BALANCES}, {', '.join(aft_fit(f) + ', ' + aft_fit(f, name=f + '_null', free=(0, 3)) for f in AFT_TERMS)},
+WITH {AFT_BALANCES}, {', '.join(aft_fit(f, 160) + ', ' + aft_fit(f, 80, f + '_null', (0, 3)) for f in AFT_TERMS)},
 found AS ({' UNION ALL '.join(aft_metrics(f) for f in AFT_TERMS)})
 SELECT family, observations, events, {r('ll', 4)} AS log_likelihood, {r('concordance')} AS concordance, {r('8 - 2 * ll', 4)} AS aic,
   {r('2 * (ll - ll0)', 4)} AS lr_statistic, 2 AS lr_df, {r('exp(ll0 - ll)', 4)} AS lr_p, {r('(ll - ll0) / ln(2)', 4)} AS lr_neg_log2_p
@@ -1103,6 +1103,45 @@ SELECT CustomerID, {r('(Tenure - mt) / st')} AS Tenure, {r('(Balance - mb) / sb'
 SQL["batch_score"] = f"""
 WITH {SCORED} SELECT CustomerID, prediction, {r('probability', 8)} AS probability, prediction AS Churn FROM labelled"""
 
+
+
+def stumps(rounds: int) -> str:
+    steps = [f"""{SPLIT},
+f0 AS (SELECT CustomerID, split, CAST(Tenure AS DOUBLE) AS x, 2 * ChurnBool - 1 AS y, CAST(0 AS DOUBLE) AS f FROM split_features)"""]
+    for m in range(rounds):
+        steps.append(f"""
+g{m} AS (SELECT x, count(*) AS n, sum({'4 * y / (1 + exp(2 * y * f))' if m else 'y'}) AS s FROM f{m} WHERE split = 'train' GROUP BY x),
+c{m} AS (SELECT x, lead(x) OVER up AS nx, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s
+  FROM g{m} WINDOW up AS (ORDER BY x)),
+b{m} AS MATERIALIZED (SELECT (x + nx) / 2 AS cut, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM c{m} WHERE nx IS NOT NULL
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, x LIMIT 1),
+f{m + 1} AS MATERIALIZED (SELECT f{m}.* REPLACE (f + {0.1 if m else 1.0} * CASE WHEN x <= cut THEN lo ELSE hi END AS f) FROM f{m}, b{m})""")
+    grown = " UNION ALL ".join(f"SELECT {m} AS m, * FROM f{m}" for m in range(1, rounds + 1))
+    return ",".join(steps) + f""",
+grown AS ({grown}),
+best AS (SELECT m FROM grown WHERE split = 'val' GROUP BY m ORDER BY avg(ln(1 + exp(-2 * y * f))), m LIMIT 1)"""
+
+
+SQL["boosted_stumps"] = f"""
+WITH {stumps(6)}
+SELECT CustomerID, split, CASE WHEN f > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction, {r('1 / (1 + exp(-2 * f))')} AS probability
+FROM grown JOIN best USING (m)"""
+_BAYES = ("MonthlySpend", "Tenure", "TotalSpend")
+SQL["score_bayes"] = f"""
+WITH {SPLIT},
+holes AS (SELECT * REPLACE (CASE WHEN Balance > 0 THEN TotalSpend END AS TotalSpend) FROM split_features),
+means AS (SELECT {', '.join(f"avg({c}) AS {c}" for c in _BAYES)} FROM holes WHERE split = 'train'),
+filled AS (SELECT h.CustomerID, h.split, h.ChurnBool AS y, {', '.join(f'CAST(coalesce(h.{c}, m.{c}) AS DOUBLE) AS {c}' for c in _BAYES)} FROM holes h, means m),
+scale AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _BAYES)} FROM filled WHERE split = 'train'),
+ready AS (SELECT CustomerID, split, y, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _BAYES)} FROM filled, scale),
+total AS (SELECT count(*) AS n, 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _BAYES)}) AS eps FROM ready WHERE split = 'train'),
+classes AS MATERIALIZED (SELECT y, count(*) AS k, {', '.join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _BAYES)} FROM ready WHERE split = 'train' GROUP BY y),
+logs AS (
+  SELECT CustomerID, ln(k / n) - {' - '.join(f'(ln(2 * pi() * (v_{c} + eps)) + pow({c} - m_{c}, 2) / (v_{c} + eps)) / 2' for c in _BAYES)} AS l, c.y
+  FROM ready, classes c, total),
+odds AS (SELECT CustomerID, max(l) FILTER (y = 1) - max(l) FILTER (y = 0) AS d FROM logs GROUP BY CustomerID)
+SELECT CustomerID, (d > 0)::INT::DOUBLE AS prediction, {r('1 / (1 + exp(-d))', 5)} AS probability, (d > 0)::INT::DOUBLE AS Churn FROM odds"""
+
 METRICS = f"""{SCORED},
 m AS (
   SELECT split, count(*) AS n,
