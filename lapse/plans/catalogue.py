@@ -10,7 +10,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapse.functions.scalars import rounded
-from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, episodes, evaluate, explain
+from lapse.operators import aft, classify, clv, concordance as conc, cox, describe, episodes, evaluate, explain, sketches
 from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm, splines
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
@@ -712,6 +712,16 @@ def profile_correlation_holes(spark, root):
     return _round(pearson.unionByName(found.spearman().withColumn("method", F.lit("spearman"))), 6, "value")
 
 
+@query
+def profile_sketch(spark, root):
+    """Sketches of every partition of the orders, merged: what is exact in them, and the commonest of few values."""
+    orders = retail.table(spark, root, "orders").withColumn("price", F.when(F.col("o_totalprice") > 100_000, F.col("o_totalprice")))
+    merged = sketches.merge(sketches.sketch(orders.drop("o_orderdate"), ["o_orderstatus"]))
+    found = sketches.report(merged).select("column", "kind", "rows", "count", "missing", "mean", "std", "min", "max", "frequent")
+    few = F.when(F.col("column") == "o_orderpriority", F.col("frequent")[0]["count"]).alias("mode_count")
+    return _round(_round(found, 4, "mean", "std"), 2, "min", "max").select(*[c for c in found.columns if c != "frequent"], few)
+
+
 @query
 def profile_interactions(spark, root):
     return _lineitem(spark, root).interactions()

@@ -1008,6 +1008,19 @@ SQL["profile_dates"] = """
 SELECT 'l_shipdate' AS "column", count(l_shipdate) AS count, count(*) - count(l_shipdate) AS missing,
   count(DISTINCT l_shipdate) AS "distinct", min(l_shipdate) AS first, max(l_shipdate) AS last,
   datesub('day', min(l_shipdate), max(l_shipdate)) AS range_days FROM lineitem"""
+SKETCHED = {"o_orderkey": "number", "o_custkey": "number", "o_totalprice": "number", "price": "number", "o_orderpriority": "text"}
+SQL["profile_sketch"] = "WITH o AS (SELECT *, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS price FROM orders)" + " UNION ALL ".join(
+    f"""
+SELECT '{c}' AS "column", '{kind}' AS kind, count(*) AS rows, count({c}) AS count, count(*) - count({c}) AS missing, """
+    + (
+        f"""{r(f'avg({c})', 4)} AS mean, {r(f'stddev_samp({c})', 4)} AS std, {r(f'min({c})', 2)} AS min, {r(f'max({c})', 2)} AS max,
+  CAST(NULL AS BIGINT) AS mode_count FROM o"""
+        if kind == "number"
+        else f"""CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM o GROUP BY {c})) FROM o"""
+    )
+    for c, kind in SKETCHED.items()
+)
 SQL["profile_missing"] = f"""
 WITH {HOLES}""" + " UNION ALL ".join(
     f"""
