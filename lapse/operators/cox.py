@@ -524,6 +524,46 @@ def ph_test(model: CoxModel) -> DataFrame:
     )
 
 
+def smoothed_residuals(model: CoxModel, transform: str = "rank", bins: int = 100, reach: float = 0.2) -> DataFrame:
+    """The line through a plot of scaled Schoenfeld residuals: (covariate, g, residual, effect), a point per bin of `transform`
+    ("km", "rank" or "t") at its centre; `effect` adds the coefficient, so it estimates the effect at that time.
+
+    One aggregate gives the moments of every bin; each point is a local linear fit to the bins closer than
+    `reach` of the range, with tricube weights of their distance, so what follows is bins squared, not rows.
+    """
+    if transform not in ("km", "rank", "t"):
+        raise ValueError(f"unknown transform {transform}")
+    keys = [*model.keys, "t"]
+    rows = lookup_join(_schoenfeld(model), _time_transforms(model), keys).selectExpr(
+        "covariate", "n", "scaled AS r", f"double(`{transform}`) AS g"
+    )
+    rows = pin(rows)
+    ends = rows.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
+    span = (ends["hi"] - ends["lo"]) or 1.0 if ends["lo"] is not None else 1.0
+    lo = ends["lo"] or 0.0
+    binned = (
+        rows.selectExpr("covariate", "n", "r", f"(g - {lo!r}D) / {span!r}D AS u")
+        .groupBy("covariate", F.expr(f"least({bins - 1}, int(floor(u * {bins})))").alias("bin"))
+        .agg(*[F.expr(f"sum(n * {x})").alias(name) for name, x in
+               {"s0": "1", "s1": "u", "s2": "u * u", "r0": "r", "r1": "u * r"}.items()])
+    )
+    wide = max(1, math.ceil(reach * bins))
+    near = binned.withColumn(
+        "point", F.expr(f"explode(sequence(greatest(0, bin - {wide - 1}), least({bins - 1}, bin + {wide - 1})))")
+    ).selectExpr("*", f"(point + 0.5D) / {bins} AS x", f"pow(1 - pow(abs(bin - point) / {float(wide)!r}D, 3), 3) AS w")
+    sums = near.groupBy("covariate", "point", "x").agg(
+        F.expr("sum(w * s0) AS a0"), F.expr("sum(w * (s1 - x * s0)) AS a1"),
+        F.expr("sum(w * (s2 - 2 * x * s1 + x * x * s0)) AS a2"),
+        F.expr("sum(w * r0) AS b0"), F.expr("sum(w * (r1 - x * r0)) AS b1"),
+    )
+    # one value of g in reach has no slope: the weighted mean
+    level = "if(a0 * a2 - a1 * a1 > 1e-12D * a0 * a0, (a2 * b0 - a1 * b1) / (a0 * a2 - a1 * a1), b0 / a0)"
+    coef = F.create_map(*[F.lit(v) for name, b in zip(model.covariates, model.coef) for v in (name, float(b))])
+    return sums.select(
+        "covariate", F.expr(f"{lo!r}D + {span!r}D * x").alias("g"), F.expr(level).alias("residual")
+    ).withColumn("effect", F.col("residual") + coef[F.col("covariate")])
+
+
 def ph_report(model: CoxModel, p_value_threshold: float = 0.05) -> DataFrame:
     """Covariates with their smallest p over both transforms, and what to do about a violation."""
     tests = ph_test(model).groupBy("covariate").agg(F.min("p").alias("p"))

@@ -496,6 +496,12 @@ def ph_report(spark, root):
     return _round(cox.ph_report(cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"])), 5, "p")
 
 
+@query
+def smoothed_residuals(spark, root):
+    model = cox.fit_cox(_gaps(spark, root), "duration", "event", ["urgent", "building", "filled"])
+    return _round(cox.smoothed_residuals(model, "rank", 50), 4, "g", "residual", "effect")
+
+
 # A gap of 0 days is a second order on the same day, a lifetime of 0 months a single order: half a unit.
 HALF = 0.5
 

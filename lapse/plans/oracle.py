@@ -743,6 +743,19 @@ SELECT covariate, {r('p', 5)} AS p, p < 0.05 AS violates,
   CASE WHEN p < 0.05 THEN 'stratify on it, bin it, or let its effect vary with time' ELSE 'keep' END AS advice FROM least"""
 
 
+SQL["smoothed_residuals"] = f"""
+WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {flag_tests(_FLAGS)}, {coefficients(_FLAGS)},
+plot AS (SELECT covariate, n, v * (SELECT sum(e) FROM base) AS r, rank AS g FROM scaled JOIN times USING (t)),
+ends AS MATERIALIZED (SELECT min(g) AS lo, max(g) - min(g) AS span FROM plot),
+units AS (SELECT covariate, n, r, (g - lo) / span AS u, least(49, floor((g - lo) / span * 50)) AS bin FROM plot, ends),
+near AS (
+  SELECT covariate, n, r, point, u - (point + 0.5) / 50 AS u, pow(1 - pow(abs(bin - point) / 10.0::DOUBLE, 3), 3) AS w
+  FROM units, range(50) p(point) WHERE abs(bin - point) < 10),
+sums AS (
+  SELECT covariate, point, sum(w * n) AS a0, sum(w * n * u) AS a1, sum(w * n * u * u) AS a2, sum(w * n * r) AS b0, sum(w * n * u * r) AS b1
+  FROM near GROUP BY covariate, point)
+SELECT covariate, {r('lo + span * (point + 0.5) / 50', 4)} AS g, {r('(a2 * b0 - a1 * b1) / (a0 * a2 - a1 * a1)', 4)} AS residual,
+  {r('(a2 * b0 - a1 * b1) / (a0 * a2 - a1 * a1) + coef', 4)} AS effect FROM sums JOIN coefs USING (covariate), ends"""
 SQL["hazard_ratios_flags"] = f"""
 WITH {GAP_FLAGS}, {newton_binary('base', _FLAGS)}, {coefficients(_FLAGS)}
 SELECT covariate, {r('exp(coef)', 5)} AS exp_coef, {r(f'exp(coef - {Z95} * se)', 5)} AS exp_lower,
