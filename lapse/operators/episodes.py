@@ -2,8 +2,8 @@
 
 A subject is followed over (start, stop]. Changes of its covariates cut that span
 into episodes, each with the values in force. Subjects and changes lie on one time
-axis per subject; what was last known is carried along it by slices, so a subject
-with most of the changes is not one task, and no interval is compared with another.
+axis per subject; what was last known is carried along it, by slices where a subject
+has many changes, so that it is not one task, and no interval is compared with another.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def episodes(
     both = spans.unionByName(marks, allowMissingColumns=True).groupBy("_key", "_t").agg(
         F.max("_span").alias("_span"), *[F.max(f"_v{i}").alias(f"_v{i}") for i in range(len(values))]
     )
-    axis = sliced(pin(both), "_t", rows_per_slice)
+    axis = sliced(pin(both), "_t", rows_per_slice, ["_key"])
     held = carried(axis, "_t", {"_in": "_span"} | {f"_h{i}": f"_v{i}" for i in range(len(values))}, ["_key"])
     held = following(held, "_t", "_next", ["_key"]).where(F.col("_t") < F.col("_in.stop"))
     end = F.least(F.coalesce("_next", "_in.stop"), F.col("_in.stop"))

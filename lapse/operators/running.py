@@ -44,16 +44,20 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.coalesce(x.cast("double"), F.lit(float("-inf")))
 
 
-def sliced(df: DataFrame, order: str, rows_per_slice: int = 0) -> DataFrame:
+def sliced(df: DataFrame, order: str, rows_per_slice: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Add a slice number along `order` if the table is too long for one window.
 
     `df` must be materialised (see `pin`): it is counted, and read again for
     the cuts only when it is long. Rows without a value along `order` take the
-    place that sorting gives them, however many slices there are.
+    place that sorting gives them, however many slices there are. With `keys`, by which the
+    windows will go, a long table is left whole if none of its groups is too long.
     """
-    slices = -(-df.count() // (rows_per_slice or ROWS_PER_SLICE))
+    most = rows_per_slice or ROWS_PER_SLICE
+    slices = -(-df.count() // most)
     if slices <= 1:
         return df
+    if keys and df.groupBy(*keys).count().agg(F.max("count")).first()[0] <= most:
+        return df
     shares = [i / slices for i in range(1, slices)]
     df = df.withColumn("_order", _position(df, order))
     cuts = sorted({c for c in df.approxQuantile("_order", shares, 0.1 / slices) if math.isfinite(c)})

@@ -59,11 +59,15 @@ def _basis(log_time: str, knots: Sequence[float]) -> tuple[list[str], list[str]]
     return values, slopes
 
 
-def event_quantiles(df: DataFrame, duration: str, event: str, shares: Sequence[float], rows_per_slice: int = 0) -> list[float]:
+def event_quantiles(
+    df: DataFrame, duration: str, event: str, shares: Sequence[float], rows_per_slice: int = 0, weight: str | None = None
+) -> list[float]:
     """The least event time, for each share the least time by which that share of the events has happened, and the
-    greatest event time. Exact: events are collapsed to distinct times, and running counts go by slices."""
+    greatest event time. Exact: events are collapsed to distinct times, and running counts go by slices. A row stands
+    for as many as its `weight=` says."""
     events = df.where(present(df, duration, event) & (F.col(event) == 1))
-    counts = pin(events.groupBy(F.col(duration).cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    number = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = pin(events.groupBy(F.col(duration).cast("double").alias("t")).agg(number.alias("n")))
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         raise ValueError("no event was observed")
@@ -120,8 +124,7 @@ def fit_spline(
             raise ValueError(f"{name} does not vary")
 
     shares = [i / (knots + 1) for i in range(1, knots + 1)] if isinstance(knots, int) else []
-    # `rows` once more, not `table`: the quantiles count rows
-    first, *inner, last = event_quantiles(rows, "b", "e", shares, rows_per_slice)
+    first, *inner, last = event_quantiles(table, "b", "e", shares, rows_per_slice, "n")
     inner = inner if isinstance(knots, int) else [float(k) for k in knots]
     if first == last:
         raise ValueError("all events happened at one time")

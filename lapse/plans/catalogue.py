@@ -14,6 +14,7 @@ from lapse.operators import aft, classify, clv, concordance as conc, cox, descri
 from lapse.operators import kaplan_meier as km, kmeans, prep, profile, rfm, splines
 from lapse.operators.logrank import logrank
 from lapse.sources import retail, tables
+from lapse.sources.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -405,21 +406,21 @@ def piecewise_hazards(spark, root):
     return _round(episodes.piecewise_hazards(spark, model), 9, "hazard")
 
 
-def _spline(spark, root):
-    return splines.fit_spline(_episodes(spark, root), "stop", "event", ["urgent"], 1, "start")
+def _spline(rows):
+    return splines.fit_spline(rows, "stop", "event", ["urgent"], 1, "start")
 
 
 @query
 def spline_coefficients(spark, root):
-    table = splines.summary(spark, _spline(spark, root)).where("covariate <> 'constant'")
+    table = splines.summary(spark, _spline(_episodes(spark, root))).where("covariate <> 'constant'")
     return _round(table.select("covariate", "coef", "se"), 5, "coef", "se")
 
 
 @query
 def spline_hazards(spark, root):
     """Hazard and survival of every episode at its end, with the covariates it has there."""
-    rows = _episodes(spark, root).select("id", "stop", "urgent")
-    found = splines.predict(rows, "stop", _spline(spark, root))
+    rows = pin(_episodes(spark, root))  # read by the fit and by the prediction
+    found = splines.predict(rows.select("id", "stop", "urgent"), "stop", _spline(rows))
     return _round(found, 6, "cumulative_hazard", "survival").withColumn("hazard", rounded(F.col("hazard"), 9))
 
 

@@ -107,6 +107,15 @@ def test_knots_are_event_quantiles(spark):
         assert splines.event_quantiles(table, "stop", "event", shares, slices) == want
 
 
+def test_knots_of_weighted_rows(spark):
+    found = [(float(t % 17 + 1), t % 3 % 2, t % 4 + 1) for t in range(90)]
+    weighted = spark.createDataFrame(found, "stop double, event int, n int")
+    repeated = spark.createDataFrame([r[:2] for r in found for _ in range(r[2])], "stop double, event int")
+    shares = [0.1, 0.5, 0.8]
+    want = splines.event_quantiles(repeated, "stop", "event", shares)
+    assert splines.event_quantiles(weighted, "stop", "event", shares, weight="n") == want
+
+
 def test_prediction(spark):
     found = people(5, 400)
     model = splines.fit_spline(spark.createDataFrame(found, SCHEMA), "stop", "event", ["x"], [5.0, 12.0, 12.0, 1e6], "start")

@@ -92,6 +92,14 @@ def test_running_totals_by_slice(spark):
             assert got[k, v] == sum(x % 5 for x in span)
 
 
+def test_short_groups_need_no_slices(spark):
+    """A long table of short groups stays whole; one long group is reason enough to slice."""
+    df = pin(spark.createDataFrame([(k, v) for k in range(30) for v in range(5)], "k int, v int"))
+    assert "_slice" not in sliced(df, "v", 20, ["k"]).columns
+    longer = pin(df.unionByName(spark.createDataFrame([(0, v) for v in range(5, 30)], df.schema)))
+    assert "_slice" in sliced(longer, "v", 20, ["k"]).columns
+
+
 def test_step_lookup(spark):
     curve = km.km_curve(table(spark, K1), "t", "e")
     got = rows(km.at_times(curve, [0, 0.5, 2, 10], {"survival": 1.0}))
