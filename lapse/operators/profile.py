@@ -45,13 +45,14 @@ def _finite(name: str) -> str:
     return f"if(abs({x}) < double('infinity'), {x}, NULL)"
 
 
-def pair_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def pair_correlation(df: DataFrame, names: Sequence[str], place: tuple[float, float] | None = None) -> DataFrame:
     """Correlation of every two columns (doubles) of `df`, called by `names` in the result (a, b, value),
     over the rows where both are present; NULL when either does not vary there.
 
     Each batch of rows adds its matrix products to one set of sums per task, so plan and code do
     not grow with the columns; what is shuffled is a row per pair and task. Columns are first
-    centred and scaled as a whole, so a large mean costs no digits.
+    centred and scaled as a whole, so a large mean costs no digits; where the caller knows a centre and a scale for
+    all columns (`place`), `df` is read once instead of twice.
     """
     columns = df.columns
     if len(columns) < 2:
@@ -70,10 +71,12 @@ def pair_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["i", "n", "total", "low", "high"])
 
     rows = df.select(cells.alias("x"))
+    centre, scale = np.zeros(width), np.ones(width)
+    if place:
+        centre, scale = np.full(width, place[0]), np.full(width, place[1])
     wide = rows.mapInArrow(moments, "i int, n double, total double, low double, high double").groupBy("i")
     wide = wide.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
-    centre, scale = np.zeros(width), np.ones(width)
-    for r in wide.collect():
+    for r in [] if place else wide.collect():
         if r["n"] and math.isfinite(r["total"]):
             centre[r["i"]] = r["total"] / r["n"]
             scale[r["i"]] = (r["high"] - r["low"]) or 1.0
@@ -350,8 +353,10 @@ class Profile:
         rank = [(F.col(f"upto{k}") - (F.col(f"n{k}") - 1) / 2).alias(f"r{k}") for k in range(len(masks))]
         ranks = pin(ranks.select("column", "x", F.array(*rank).alias("ranks")))
         for i, c in enumerate(names):
-            own = ranks.where(F.col("column") == i).select(F.col("x").alias(c), F.col("ranks").alias(f"r{i}"))
-            rows = same_keys_join(rows, own, [c], "left")
+            # without holes a column has one rank, a number; the value is not carried on once it has its rank
+            found = F.col("ranks") if holes else F.col("ranks")[0]
+            own = ranks.where(F.col("column") == i).select(F.col("x").alias(c), found.alias(f"r{i}"))
+            rows = same_keys_join(rows, own, [c], "left").drop(c)
         entry = {j: 1 + h for h, j in enumerate(holes)}
 
         def picked(i: int, j: int) -> Column:
@@ -359,7 +364,9 @@ class Profile:
             return F.when(F.col(f"r{j}").isNotNull(), F.col(f"r{i}")[entry.get(j, 0)])
 
         if not holes:
-            return pair_correlation(rows.select(*[F.col(f"r{i}")[0].alias(c) for i, c in enumerate(names)]), self.numeric)
+            # ranks from 1 to n have a known mean, so the joined rows are made only once
+            place = ((held["rows"] + 1) / 2, float(max(held["rows"], 1)))
+            return pair_correlation(rows.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(names)]), self.numeric, place)
         parts = []
         for i, j in combinations(range(len(names)), 2):
             x, y = picked(i, j), picked(j, i)

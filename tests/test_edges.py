@@ -239,6 +239,21 @@ def test_boosting_grows_more_than_one_tree_and_reports_missing_features(spark):
         classify.batch_score(df.withColumn("TotalSpend", F.lit(None).cast("double")), model)
 
 
+def test_rank_correlation_makes_its_joined_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.sql("SELECT id * 7 % 50 AS a, id % 9 AS b, 1D * id AS c FROM range(200)").mapInArrow(counted, "a long, b long, c double")
+    got = {(r["a"], r["b"]): r["value"] for r in profile.Profile(df).spearman().collect()}
+    assert read.value == 3 * 200  # holes, counts per value, ranks of the rows
+    ranks = df.toPandas().corr("spearman")
+    assert all(abs(value - ranks.loc[pair]) < 1e-12 for pair, value in got.items()) and len(got) == 3
+
+
 def test_publishing(spark, tmp_path):
     base, name = f"{tmp_path}/t", "lapse_published"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
