@@ -74,8 +74,8 @@ class Boosting:
     A round fits one tree of the built-in learner to the gradients at the margin so far, with the seed of
     its number, so the first rounds are the same however far growing goes. The first rung comes from the built-in
     booster, whose trees are the same and which bins the rows once for all of them; it cannot go on, later rungs can.
-    The margin of the finished rungs is a column of a pinned table; only the trees of the current rung are
-    evaluated in a round. The result is the built-in model, cut to as many rounds as are wanted.
+    The margin is a column: pinned after a rung, held in the executors' storage in it, where a lost part comes again from the
+    pinned one. So a round evaluates one tree, its own. The result is the built-in model, cut to as many rounds as are wanted.
     """
 
     def __init__(self, rows: DataFrame, patience: int = PATIENCE, **overrides):
@@ -93,7 +93,7 @@ class Boosting:
 
     def grow(self, rounds: int) -> Boosting:
         """Add rungs until there are `rounds` rounds or the patience is used up. The first rung has
-        32 rounds, a later one 8 to 32, a fifth of those before it; a rung reads the validation rows once."""
+        32 rounds, a later one 8 to 32, a fifth of those before it."""
         while len(self.trees) < rounds and not self.stopped:
             if self.trees:
                 self._rung(min(max(8, len(self.trees) // 5), 32, rounds - len(self.trees)))
@@ -112,30 +112,31 @@ class Boosting:
         self.rows = pin(found.transform(self.rows).select("features", "_label", "_is_val", margin.alias("_margin")))
 
     def _rung(self, size: int) -> None:
-        first = len(self.trees)
         sign = F.col("_label") * 2 - 1
-        for m in range(first, first + size):
-            target = sign * 4 / (1 + F.exp(sign * F.col(f"_after_{m}") * 2))
-            points = self._margins(self.rows.where("NOT _is_val"), first).select("features", target.alias("_target"))
+        target = sign * 4 / (1 + F.exp(sign * F.col("_margin") * 2))
+        loss = F.avg(F.when(F.col("_is_val"), 2 * log1p_exp(sign * F.col("_margin") * -2)))
+        rows = self.rows
+        for m in range(len(self.trees), len(self.trees) + size):
+            points = rows.where("NOT _is_val").select("features", target.alias("_target"))
             fitted = RandomForestRegressor(
                 labelCol="_target", numTrees=1, bootstrap=False, seed=self.seed + m, **self.parameters
             ).fit(points)
             self.trees.append(fitted.trees[0])
             self.weights.append(self.step)
-        rounds = range(first + 1, first + size + 1)
-        validation = self._margins(self.rows.where("_is_val"), first)
-        losses = validation.agg(*[F.avg(2 * log1p_exp(sign * F.col(f"_after_{m}") * -2)) for m in rounds]).first()
-        self.losses += [math.inf if loss is None else loss for loss in losses]  # no validation rows
-        moved = self._margins(self.rows, first)
-        self.rows = pin(moved.select("features", "_label", "_is_val", F.col(f"_after_{first + size}").alias("_margin")))
-
-    def _margins(self, df: DataFrame, first: int) -> DataFrame:
-        """The rows, which hold the margin of the first `first` rounds, with the margin after each later round."""
-        df = df.withColumn(f"_after_{first}", F.col("_margin"))
-        for m in range(first, len(self.trees)):
-            df = self.trees[m].setPredictionCol(f"_tree_{m}").transform(df)
-            df = df.withColumn(f"_after_{m + 1}", F.col(f"_after_{m}") + F.col(f"_tree_{m}") * self.weights[m])
-        return df
+            moved = self._moved(rows, m).persist()
+            found = moved.agg(loss).first()[0]  # reads all rows, so the margin is held after it
+            self.losses.append(math.inf if found is None else found)  # no validation rows
+            if rows is not self.rows:
+                rows.unpersist()
+            rows = moved
+        self.rows = pin(rows)
+        rows.unpersist()
+
+    def _moved(self, rows: DataFrame, m: int) -> DataFrame:
+        """The rows with the margin moved by the tree of round `m` (from 0)."""
+        scored = self.trees[m].setPredictionCol("_tree").transform(rows)
+        margin = F.col("_margin") + F.col("_tree") * self.weights[m]
+        return scored.select("features", "_label", "_is_val", margin.alias("_margin"))
 
     def model(self, rounds: int | None = None) -> GBTClassificationModel:
         """The model after `rounds` rounds, or after the best."""

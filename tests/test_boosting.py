@@ -61,3 +61,16 @@ def test_halving_grows_only_the_better_half_to_the_end(spark):
     assert len(best) == 1 and best[0]["finished"]
     assert best[0]["f1"] == max(r["f1"] for r in rows if r["finished"])
     assert {"prediction", "probability"} <= set(classify.batch_score(df, model).columns)
+
+
+def test_a_round_evaluates_one_tree(prepared, monkeypatch):
+    """Growing on does not evaluate the trees of a rung once more in each of its rounds."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel
+
+    found = Boosting(prepared, patience=100, **SMALL).grow(2)
+    evaluated, transform = [], DecisionTreeRegressionModel.transform
+    monkeypatch.setattr(
+        DecisionTreeRegressionModel, "transform", lambda self, *args: evaluated.append(1) or transform(self, *args)
+    )
+    found.grow(10)
+    assert len(found.losses) == 10 and len(evaluated) == 8
