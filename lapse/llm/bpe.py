@@ -12,6 +12,7 @@ encodings are kept by a worker from batch to batch, up to a bounded size.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -27,7 +28,7 @@ from tokenizers import Tokenizer
 from lapse.llm.common import by_bytes
 
 END = "</w>"
-#: Trie nodes, token pairs and encoded words a worker holds; beyond that it starts anew. Results do not depend on it.
+#: Trie nodes, token pairs and encoded words a worker holds; beyond that it starts anew with these. Results do not depend on it.
 MOST_NODES = 250_000
 MOST_PAIRS = 200_000
 MOST_WORDS = 200_000
@@ -67,6 +68,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 Side = list[tuple[str, int]]
+Follow = dict[str, "Follow | bool"]
 
 
 class Vocabulary:
@@ -117,16 +119,26 @@ class Trie:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.sides: dict[str, tuple[Side, Side, bool] | None] = {}
+        self.after: dict[str, Follow] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Forget everything. Entries of `after` refer to each other, so they are emptied."""
+        for follow in self.after.values():
+            follow.clear()
+        #: By token, and "" for the start of a word: by token that may stand next, its own entry here, or False if it cannot.
+        self.after = {"": {}}
+        self.pairs = 0
+        self.sides.clear()
+        self.clear_nodes()
+
+    def clear_nodes(self) -> None:
+        """Forget the prefixes, not which tokens can stand next to each other."""
         #: (parent << LETTER_BITS | letter) to a node, and by node where its last token starts; node 0 is the root.
         self.nodes: dict[int, int] = {}
         self.starts = [0]
-        #: By token, and "" for the start of a word: whether another token can stand next.
-        self.after: dict[str, dict[str, bool]] = {"": {}}
-        self.pairs = 0
-        self.sides.clear()
+        #: By node, what can follow its last token.
+        self.follows = [self.after[""]]
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word (in byte letters). Words in sorted order are the depth-first
@@ -134,33 +146,61 @@ class Trie:
         `LONG_WORD` letters leave no nodes."""
         # along the path: the node, where the last token starts, and what can follow it
         tokens: dict[str, list[str]] = {}
+        ids, longest = self.vocabulary.ids, self.vocabulary.longest
         path, starts, follows, before = [0], [0], [self.after[""]], ""
         for word in sorted(words):
             if len(self.nodes) > MOST_NODES or self.pairs > MOST_PAIRS:
-                self.clear()
+                if self.pairs > MOST_PAIRS:
+                    self.clear()
+                else:
+                    self.clear_nodes()
                 path, starts, follows, before = [0], [0], [self.after[""]], ""
             shared, most = 0, min(len(before), len(word), LONG_WORD)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del path[shared + 1 :], starts[shared + 1 :], follows[shared + 1 :]
+            nodes, node_starts, node_follows, node = self.nodes, self.starts, self.follows, path[-1]
             for depth in range(shared + 1, len(word) + 1):
-                kept = depth <= LONG_WORD
-                key = path[-1] << LETTER_BITS | ord(word[depth - 1])
-                node = self.nodes.get(key) if kept else None
-                start = self._start(word, depth, starts, follows, "") if node is None else self.starts[node]
-                if kept:
-                    if node is None:
-                        node = self.nodes[key] = len(self.starts)
-                        self.starts.append(start)
-                    path.append(node)
+                if depth <= LONG_WORD:
+                    key = node << LETTER_BITS | ord(word[depth - 1])
+                    node = nodes.get(key)
+                    if node is not None:
+                        path.append(node)
+                        starts.append(node_starts[node])
+                        follows.append(node_follows[node])
+                        continue
+                # the one entry that ends at this depth and is compatible with what stands before it
+                for start in range(depth - 1, max(-1, depth - longest - 1), -1):
+                    token = word[start:depth]
+                    follow = follows[start].get(token)
+                    if follow is None:
+                        if token not in ids:
+                            continue
+                        follow = self._follow(word, start, starts, follows, token)
+                    if follow is not False:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
                 starts.append(start)
-                token = word[start:depth]
-                follow = self.after.get(token)
-                if follow is None:
-                    follow = self.after[token] = {}
                 follows.append(follow)
-            at = self._start(word, len(word), starts, follows, END)
-            found = [word[at:] + END]
+                if depth <= LONG_WORD:
+                    node = nodes[key] = len(node_starts)
+                    node_starts.append(start)
+                    node_follows.append(follow)
+                    path.append(node)
+            ended = word + END
+            for at in range(len(word) - 1, max(-1, len(word) - longest - 1), -1):
+                token = ended[at:]
+                follow = follows[at].get(token)
+                if follow is None:
+                    if token not in ids:
+                        continue
+                    follow = self._follow(word, at, starts, follows, token)
+                if follow is not False:
+                    break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            found = [token]
             while at:
                 start = starts[at]
                 found.append(word[start:at])
@@ -170,19 +210,16 @@ class Trie:
             before = word
         return tokens
 
-    def _start(self, word: str, depth: int, starts: list[int], follows: list[dict[str, bool]], end: str) -> int:
-        """Where the one entry starts that ends at this depth and is compatible with what stands before it."""
-        ids = self.vocabulary.ids
-        for start in range(depth - 1, max(-1, depth - self.vocabulary.longest - 1), -1):
-            token = word[start:depth] + end
-            if token in ids:
-                fits = follows[start].get(token)
-                if fits is None:
-                    fits = follows[start][token] = self._fits(word[starts[start] : start], token)
-                    self.pairs += 1
-                if fits:
-                    return start
-        raise ValueError(f"no token ends {word[:depth]!r}")
+    def _follow(self, word: str, start: int, starts: list[int], follows: list[Follow], token: str) -> Follow | bool:
+        """What can follow an entry that begins at `start`, or False if it does not fit what stands before it."""
+        found: Follow | bool = False
+        if self._fits(word[starts[start] : start], token):
+            found = self.after.get(token)
+            if found is None:
+                found = self.after[token] = {}
+        follows[start][token] = found
+        self.pairs += 1
+        return found
 
     def _sides(self, token: str) -> tuple[Side, Side, bool] | None:
         """A token's first and last symbols in turn, and whether their ranks rise; None if its letters
@@ -249,6 +286,8 @@ class Encoder:
                 self.known[w] = str(rules.special[w[2:]])
             elif w[0] == "\0":
                 spelt[w] = w[1:]
+            elif w.isascii() and w.isprintable():  # its own byte letters
+                spelt[w] = w
             else:
                 spelt[w] = "".join([rules.letters[b] for b in w.encode()])
         tokens, names = self.trie.encode(set(spelt.values())), self.names
@@ -256,7 +295,16 @@ class Encoder:
             self.known[w] = " ".join([names[t] for t in tokens[spelling]])
 
     def encode(self, texts: list[str]) -> list[str]:
-        """Ids of each text, joined by spaces."""
+        """Ids of each text, joined by spaces. No reference cycles are given up here, so they are not looked for meanwhile."""
+        looked = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if looked:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[str]:
         cut = [self._words(t) for t in texts]
         if 2 * len(self.known) > MOST_WORDS:
             self.known, self.older = {}, self.known
@@ -294,7 +342,11 @@ def token_names(file: str) -> dict[str, str]:
 
 def text_of(ids: str, names: dict[str, str]) -> str:
     """Tokens joined by spaces, as a tokenizer file without a decoder decodes; unknown ids are left out."""
-    return " ".join([names[i] for i in ids.split() if i in names])
+    known = ids.split()
+    try:
+        return " ".join(map(names.__getitem__, known))
+    except KeyError:
+        return " ".join([names[i] for i in known if i in names])
 
 
 def encode(docs: DataFrame, file: str, text: str = "text") -> DataFrame:

@@ -53,6 +53,17 @@ def test_letters_that_merge(library, own, text):
     same(library, own, [text])
 
 
+def test_full_trie_keeps_what_fits(library, monkeypatch):
+    """Prefixes are forgotten when there are too many of them; which tokens can follow each other need not be found again."""
+    texts = ["the thin tiger thinks other things", "another thinner tiger there"] * 2
+    roomy = bpe.Encoder(bpe.read_vocabulary(PATH))
+    roomy.encode(texts[:2])
+    monkeypatch.setattr(bpe, "MOST_NODES", 5)
+    tight = bpe.Encoder(bpe.read_vocabulary(PATH))
+    same(library, tight, texts)
+    assert len(tight.trie.nodes) < len(roomy.trie.nodes) and tight.trie.pairs == roomy.trie.pairs
+
+
 def test_every_plain_character(library, own):
     """The rules for plain text are the tokenizer's."""
     letters = [chr(c) for c in range(bpe.PLAIN + 40)]
